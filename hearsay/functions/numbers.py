@@ -58,7 +58,7 @@ def like_weight(likes: Column) -> Column:
 
 def percent_of(part: Column, total: Column) -> Column:
     """Share in percent with one decimal; 0 when there is no total."""
-    return F.coalesce(F.round(F.try_divide(part.cast("double"), total) * 100, 1), F.lit(0.0))
+    return F.coalesce(F.bround(F.try_divide(part.cast("double"), total) * 100, 1), F.lit(0.0))
 
 
 def percent_change(before: Column, after: Column) -> Column:

@@ -10,13 +10,22 @@ from hearsay.functions.labels import sentiment_bucket, sentiment_label
 NO_ACTIVITY = "No significant entity activity in this period."
 
 
+def _even(value: Column, decimals: int) -> Column:
+    """Rounded with ties to the even digit, where the formatter would round up.
+
+    A small negative number keeps its sign.
+    """
+    number = value.cast("double")
+    return F.when(number < 0, -F.bround(F.abs(number), decimals)).otherwise(F.bround(number, decimals))
+
+
 def signed(value: Column, decimals: int = 2) -> Column:
     """A number with an explicit sign, e.g. ``+0.25``."""
-    return F.format_string(f"%+.{decimals}f", value.cast("double"))
+    return F.format_string(f"%+.{decimals}f", _even(value, decimals))
 
 
 def fixed(value: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", value.cast("double"))
+    return F.format_string(f"%.{decimals}f", _even(value, decimals))
 
 
 def grouped(value: Column) -> Column:

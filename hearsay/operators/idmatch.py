@@ -109,7 +109,7 @@ def match_stats(matched: DataFrame) -> DataFrame:
         F.count_if(hit).alias("matched_comments"),
         F.count_if(F.col("match_tier") == "exact").alias("exact_matches"),
         F.count_if(F.col("match_tier") == "prefix").alias("prefix_matches"),
-        F.round(F.try_divide(F.count_if(hit).cast("double"), F.count(F.lit(1))) * 100, 1).alias("match_rate"),
+        F.bround(F.try_divide(F.count_if(hit).cast("double"), F.count(F.lit(1))) * 100, 1).alias("match_rate"),
     )
 
 

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from hearsay import fixed_values as fv
 from hearsay.functions.text import strip_hint
+from hearsay.sizing import let
 
 _PAIRS = "array<struct<name:string,score:double>>"
 _NAMES = "array<string>"
 _AMBIGUOUS = "array<struct<name:string,possible_entities:array<string>,confidence:double,reason:string>>"
 
 
-def is_complete_json(raw: Column) -> Column:
-    """Whether the response parses as it stands."""
-    return F.coalesce(F.try_parse_json(raw).isNotNull() & raw.rlike(r"[}\]\"\w]\s*$"), F.lit(False))
+def _complete(doc: Column, raw: Column) -> Column:
+    """Whether a response parsed as it stands, with nothing after the document."""
+    return F.coalesce(doc.isNotNull() & raw.rlike(r"[}\]\"\w]\s*$"), F.lit(False))
 
 
 def _pairs(value: Column) -> Column:
@@ -42,9 +43,8 @@ def _truthy(value: Column) -> Column:
     )
 
 
-def _parsed(raw: Column) -> Column:
+def _parsed(doc: Column) -> Column:
     """Fields of a complete response; absent or mistyped fields are NULL."""
-    doc = F.try_parse_json(raw)
 
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get(doc, f"$.{path}", kind)
@@ -82,13 +82,13 @@ def _recovered(raw: Column) -> Column:
     """
 
     def inside(key: str, opening: str, closing: str) -> Column:
-        return F.regexp_extract(raw, rf'"{key}"\s*:\s*\{opening}([^{closing}]*)\{closing}', 1)
+        return F.regexp_extract(raw, rf'"{key}"\s*:\s*\{opening}([^\{closing}]*)\{closing}', 1)
 
     def word(key: str) -> Column:
         return F.nullif(F.regexp_extract(raw, rf'"{key}"\s*:\s*"([^"]+)"', 1), F.lit(""))
 
     def quoted(key: str) -> Column:
-        return F.regexp_extract_all(inside(key, "[", r"\]"), F.lit(r'"([^"]+)"'), F.lit(1))
+        return F.regexp_extract_all(inside(key, "[", "]"), F.lit(r'"([^"]+)"'), F.lit(1))
 
     pair = r'"([^"]+)"\s*:\s*(-?\d+\.?\d*)'
     listed = inside("entity_scores", "{", "}")
@@ -163,11 +163,18 @@ def parse_responses(responses: DataFrame, raw: str = "raw_json") -> DataFrame:
 
     A missing response (a failed call) gives the all-neutral analysis.
     """
-    text = F.coalesce(F.col(raw), F.lit("{}"))
     keys = [c for c in responses.columns if c != raw]
-    staged = responses.withColumn("_ok", is_complete_json(text)).select(
-        *keys, "_ok", F.when(F.col("_ok"), _parsed(text)).otherwise(_recovered(text)).alias("_parts")
-    )
-    return staged.select(
-        *keys, (~F.col("_ok")).alias("recovered"), validated(F.col("_parts")).alias("analysis")
-    )
+    text = F.coalesce(F.col(raw), F.lit("{}"))
+    # Bind the text, the parsed document and its parts once each: every response
+    # is parsed a single time however many fields are read from it.
+    staged = responses.withColumn("_r", let(
+        F.struct(text.alias("raw"), F.try_parse_json(text).alias("doc")),
+        lambda r: let(
+            F.struct(
+                (~_complete(r["doc"], r["raw"])).alias("recovered"),
+                F.when(_complete(r["doc"], r["raw"]), _parsed(r["doc"])).otherwise(_recovered(r["raw"])).alias("parts"),
+            ),
+            lambda x: F.struct(x["recovered"].alias("recovered"), validated(x["parts"]).alias("analysis")),
+        ),
+    ))
+    return staged.select(*keys, "_r.recovered", "_r.analysis")

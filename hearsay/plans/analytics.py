@@ -110,9 +110,9 @@ def velocity(t: Tables, as_of, window_hours: int = fv.VELOCITY_HOURS, min_sample
         "entity_id",
         "entity_name",
         F.lit(window_hours).alias("window_hours"),
-        F.when(enough, F.round("recent_avg", 3)).alias("recent_sentiment"),
-        F.when(enough, F.round("previous_avg", 3)).alias("previous_sentiment"),
-        F.round("change", 1).alias("percent_change"),
+        F.when(enough, F.bround("recent_avg", 3)).alias("recent_sentiment"),
+        F.when(enough, F.bround("previous_avg", 3)).alias("previous_sentiment"),
+        F.bround("change", 1).alias("percent_change"),
         F.col("recent_count").alias("recent_sample_size"),
         F.col("previous_count").alias("previous_sample_size"),
         (F.abs("change") > fv.ALERT_PERCENT).alias("alert"),
@@ -135,9 +135,9 @@ def window_velocity(t: Tables, start, end, min_sample_size: int = 5) -> DataFram
         "entity_id",
         "entity_name",
         F.concat(F.to_date(low).cast("string"), F.lit(" to "), F.to_date(high).cast("string")).alias("brief_window"),
-        F.when(enough, F.round("first_half_avg", 3)).alias("first_half_sentiment"),
-        F.when(enough, F.round("second_half_avg", 3)).alias("second_half_sentiment"),
-        F.round("change", 1).alias("percent_change"),
+        F.when(enough, F.bround("first_half_avg", 3)).alias("first_half_sentiment"),
+        F.when(enough, F.bround("second_half_avg", 3)).alias("second_half_sentiment"),
+        F.bround("change", 1).alias("percent_change"),
         F.when(enough, F.when(F.col("change") > 0, "up").otherwise("down")).alias("trending"),
         F.when(~enough, "Insufficient data for brief window").alias("error"),
     )
@@ -309,7 +309,7 @@ def top_posts(t: Tables, start, end, limit: int = 10, platform: str | None = Non
             caption_preview(F.col("caption")).alias("caption"),
             "comment_count",
             F.coalesce("total_likes", F.lit(0)).alias("total_likes"),
-            F.round(F.coalesce("avg", F.lit(0.0)), 2).alias("avg_sentiment"),
+            F.bround(F.coalesce("avg", F.lit(0.0)), 2).alias("avg_sentiment"),
             F.coalesce("caption_entity", F.col("most.entity_name")).alias("top_entity"),
         )
     )
@@ -343,7 +343,7 @@ def post_distribution(t: Tables, start, end, min_signals: int = 5) -> DataFrame:
     """Posts per sentiment bucket, and the most positive and negative post."""
     scored = post_scores(t, start, end, min_signals)
     level = sentiment_bucket(F.col("avg_score"))
-    row = F.struct("post_id", F.round("avg_score", 2).alias("avg_sentiment"), "comment_count")
+    row = F.struct("post_id", F.bround("avg_score", 2).alias("avg_sentiment"), "comment_count")
     found = scored.agg(
         F.count_if(level == "positive").alias("positive_posts"),
         F.count_if(level == "neutral").alias("neutral_posts"),

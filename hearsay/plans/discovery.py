@@ -77,9 +77,9 @@ def dynamic_entities(
         F.col("name").alias("entity_name"),
         "entity_type",
         "mention_count",
-        F.round(F.coalesce("avg", F.lit(0.0)), 3).alias("avg_sentiment"),
+        F.bround(F.coalesce("avg", F.lit(0.0)), 3).alias("avg_sentiment"),
         "total_likes",
-        F.round(F.coalesce(weighted, F.lit(0.0)), 3).alias("weighted_sentiment"),
+        F.bround(F.coalesce(weighted, F.lit(0.0)), 3).alias("weighted_sentiment"),
         F.lit(False).alias("is_monitored"),
     )
     both = monitored.unionByName(discovered)

@@ -37,7 +37,7 @@ def completeness(t: Tables) -> DataFrame:
     return enriched.withColumn("total_comments", total).withColumn("percent", share).select(
         "total_comments", "enriched_comments",
         F.greatest(F.col("total_comments") - F.col("enriched_comments"), F.lit(0)).alias("pending_comments"),
-        F.round("percent", 1).alias("percent"), completeness_band(F.col("percent")).alias("band"),
+        F.bround("percent", 1).alias("percent"), completeness_band(F.col("percent")).alias("band"),
     )
 
 
@@ -152,12 +152,15 @@ def label_counts(analyses: DataFrame) -> DataFrame:
 
 def scored_name_stats(analyses: DataFrame, low: float = -0.5) -> DataFrame:
     """Count, average, extremes and share of low scores of each scored name."""
-    scores = analyses.select(F.explode("analysis.entity_scores").alias("entity_name", "score"))
+    # explode_outer: an inferred "map is not empty" filter would parse responses twice.
+    scores = analyses.select(F.explode_outer("analysis.entity_scores").alias("entity_name", "score")).filter(
+        F.col("entity_name").isNotNull()
+    )
     return scores.groupBy("entity_name").agg(
         F.count(F.lit(1)).alias("scores"),
         F.avg("score").alias("avg_score"),
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),
         F.count_if(F.col("score") < low).alias("low_scores"),
-        F.round(F.try_divide(F.count_if(F.col("score") < low) * F.lit(100.0), F.count(F.lit(1))), 1).alias("low_pct"),
+        F.bround(F.try_divide(F.count_if(F.col("score") < low) * F.lit(100.0), F.count(F.lit(1))), 1).alias("low_pct"),
     )

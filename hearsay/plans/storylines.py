@@ -65,7 +65,7 @@ def storylines(
     return out.select(
         F.initcap("storyline").alias("storyline"), "mention_count",
         F.coalesce(shown, F.lit("General")).alias("entities"),
-        F.round(F.col("mention_count") * 100.0 / F.col("_max"), 1).alias("intensity"),
+        F.bround(F.col("mention_count") * 100.0 / F.col("_max"), 1).alias("intensity"),
         trajectory(F.col("mention_count"), F.col("_max")).alias("trajectory"),
         F.lit("trending").alias("type"),
     )

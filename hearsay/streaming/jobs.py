@@ -151,8 +151,8 @@ def velocity_from_hours(
     change = percent_change(F.col("previous_avg"), F.col("recent_avg"))
     return rolled.filter(enough).withColumn("change", change).select(
         "entity_id", (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("as_of"),
-        F.round("recent_avg", 3).alias("recent_sentiment"), F.round("previous_avg", 3).alias("previous_sentiment"),
-        F.round("change", 1).alias("percent_change"), "recent_count", "previous_count",
+        F.bround("recent_avg", 3).alias("recent_sentiment"), F.bround("previous_avg", 3).alias("previous_sentiment"),
+        F.bround("change", 1).alias("percent_change"), "recent_count", "previous_count",
         (F.abs("change") > alert_percent).alias("alert"),
         F.when(F.col("change") > 0, "up").otherwise("down").alias("direction"),
     )

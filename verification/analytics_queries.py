@@ -60,9 +60,9 @@ def _velocity_sql(as_of: str, hours: int) -> str:
         THEN CASE WHEN p = 0 THEN 0 ELSE (r - p) / abs(p) * 100 END END AS ch
     FROM entities e LEFT JOIN sides s ON e.entity_id = s.entity_id)
   SELECT entity_id, name AS entity_name, CAST({hours} AS INTEGER) AS window_hours,
-    CASE WHEN ch IS NOT NULL THEN round(r, 3) END AS recent_sentiment,
-    CASE WHEN ch IS NOT NULL THEN round(p, 3) END AS previous_sentiment,
-    round(ch, 1) AS percent_change, rn AS recent_sample_size, pn AS previous_sample_size,
+    CASE WHEN ch IS NOT NULL THEN round_even(r, 3) END AS recent_sentiment,
+    CASE WHEN ch IS NOT NULL THEN round_even(p, 3) END AS previous_sentiment,
+    round_even(ch, 1) AS percent_change, rn AS recent_sample_size, pn AS previous_sample_size,
     abs(ch) > 30 AS alert, CASE WHEN ch IS NOT NULL THEN CASE WHEN ch > 0 THEN 'up' ELSE 'down' END END AS direction,
     CASE WHEN ch IS NULL THEN 'Insufficient data' END AS error
   FROM changed"""
@@ -94,8 +94,8 @@ _MIDDLE = "2024-01-16 18:00:00"
       THEN CASE WHEN a = 0 THEN 0 ELSE (b - a) / abs(a) * 100 END END AS ch
     FROM entities e LEFT JOIN sides s ON e.entity_id = s.entity_id)
   SELECT entity_id, name AS entity_name, '2024-01-08 to 2024-01-25' AS brief_window,
-    CASE WHEN ch IS NOT NULL THEN round(a, 3) END AS first_half_sentiment,
-    CASE WHEN ch IS NOT NULL THEN round(b, 3) END AS second_half_sentiment, round(ch, 1) AS percent_change,
+    CASE WHEN ch IS NOT NULL THEN round_even(a, 3) END AS first_half_sentiment,
+    CASE WHEN ch IS NOT NULL THEN round_even(b, 3) END AS second_half_sentiment, round_even(ch, 1) AS percent_change,
     CASE WHEN ch IS NOT NULL THEN CASE WHEN ch > 0 THEN 'up' ELSE 'down' END END AS trending,
     CASE WHEN ch IS NULL THEN 'Insufficient data for brief window' END AS error FROM changed""")
 def _(c):
@@ -177,7 +177,7 @@ def _top_posts_sql(platform: str, limit: int) -> str:
     FROM posts p JOIN entities e ON contains(lower(p.caption), lower(e.name)))
   SELECT row_number() OVER (ORDER BY v.comment_count DESC, v.post_id) AS rank, v.post_id, p.platform, p.url,
     CASE WHEN length(p.caption) > 100 THEN concat(substr(p.caption, 1, 100), '...') ELSE p.caption END AS caption,
-    v.comment_count, v.total_likes, round(coalesce(sc.a, 0), 2) AS avg_sentiment, coalesce(cap.name, ent.name) AS top_entity
+    v.comment_count, v.total_likes, round_even(coalesce(sc.a, 0), 2) AS avg_sentiment, coalesce(cap.name, ent.name) AS top_entity
   FROM vol v JOIN posts p ON v.post_id = p.post_id LEFT JOIN sc ON v.post_id = sc.post_id
   LEFT JOIN ent ON ent.post_id = v.post_id AND ent.rn = 1 LEFT JOIN cap ON cap.post_id = v.post_id AND cap.rn = 1"""
 
@@ -199,9 +199,9 @@ def _(c):
   tot AS (SELECT count(CASE WHEN a > 0.3 THEN 1 END) AS positive_posts,
     count(CASE WHEN a BETWEEN -0.3 AND 0.3 THEN 1 END) AS neutral_posts,
     count(CASE WHEN a < -0.3 THEN 1 END) AS negative_posts, count(*) AS total_posts FROM sc)
-  SELECT tot.*, hi.post_id AS most_positive_post_id, round(hi.a, 2) AS most_positive_avg_sentiment,
+  SELECT tot.*, hi.post_id AS most_positive_post_id, round_even(hi.a, 2) AS most_positive_avg_sentiment,
     hi.n AS most_positive_comment_count, lo.post_id AS most_negative_post_id,
-    round(lo.a, 2) AS most_negative_avg_sentiment, lo.n AS most_negative_comment_count,
+    round_even(lo.a, 2) AS most_negative_avg_sentiment, lo.n AS most_negative_comment_count,
     hp.url AS most_positive_url, substr(hp.caption, 1, 100) AS most_positive_caption,
     lp.url AS most_negative_url, substr(lp.caption, 1, 100) AS most_negative_caption
   FROM tot, hi, lo, posts hp, posts lp WHERE hp.post_id = hi.post_id AND lp.post_id = lo.post_id""")
@@ -232,9 +232,9 @@ def _distribution_sql(condition: str) -> str:
       count(CASE WHEN numeric_value BETWEEN -0.3 AND 0.3 THEN 1 END) AS neutral
     FROM facts f JOIN posts p ON f.post_id = p.post_id WHERE signal_type = 'sentiment' {condition})
   SELECT positive, negative, neutral, positive + negative + neutral AS total,
-    round(CAST(positive AS DOUBLE) / (positive + negative + neutral) * 100, 1) AS positive_pct,
-    round(CAST(negative AS DOUBLE) / (positive + negative + neutral) * 100, 1) AS negative_pct,
-    round(CAST(neutral AS DOUBLE) / (positive + negative + neutral) * 100, 1) AS neutral_pct FROM n"""
+    round_even(CAST(positive AS DOUBLE) / (positive + negative + neutral) * 100, 1) AS positive_pct,
+    round_even(CAST(negative AS DOUBLE) / (positive + negative + neutral) * 100, 1) AS negative_pct,
+    round_even(CAST(neutral AS DOUBLE) / (positive + negative + neutral) * 100, 1) AS neutral_pct FROM n"""
 
 
 @query("f15_score_distribution", _distribution_sql(""))
@@ -282,7 +282,7 @@ def _(c):
   WITH n AS (SELECT (SELECT count(*) FROM events) AS total_comments,
     (SELECT count(DISTINCT comment_id) FROM signals WHERE signal_type IN ('sentiment', 'toxicity')) AS enriched_comments)
   SELECT total_comments, enriched_comments, total_comments - enriched_comments AS pending_comments,
-    round(enriched_comments * CAST(100 AS DOUBLE) / total_comments, 1) AS percent,
+    round_even(enriched_comments * CAST(100 AS DOUBLE) / total_comments, 1) AS percent,
     CASE WHEN enriched_comments * 100.0 / total_comments >= 90 THEN 'good'
          WHEN enriched_comments * 100.0 / total_comments >= 50 THEN 'partial' ELSE 'low' END AS band FROM n""")
 def _(c):

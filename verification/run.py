@@ -47,7 +47,8 @@ def compare(spark_rows, oracle_rows):
     if c1 != c2:
         return f"columns differ: {c1} / {c2}"
     if len(r1) != len(r2):
-        only = [r for r in r1 if r not in set(r2)][:2], [r for r in r2 if r not in set(r1)][:2]
+        s1, s2 = set(map(repr, r1)), set(map(repr, r2))
+        only = sorted(s1 - s2)[:2], sorted(s2 - s1)[:2]
         return f"{len(r1)} rows / {len(r2)} rows; {str(only)[:1200]}"
     for a, b in zip(r1, r2):
         if a != b or [type(x) for x in a] != [type(x) for x in b]:
