@@ -12,6 +12,7 @@ from hearsay.functions.text import is_discovered_name, is_scored_name, strip
 from hearsay.keys import review_id, signal_id
 from hearsay.operators.matching import catalog_mentions, resolve_names
 from hearsay.operators.scoring import score_texts
+from hearsay.sizing import let, unnest
 
 _ITEM = (
     "struct<signal_type:string,entity_id:{id},entity_name:string,value:string,"
@@ -137,9 +138,8 @@ def signal_candidates(analysed: DataFrame) -> DataFrame:
         a["sarcasm"], F.array(row("sarcasm", None, None, F.lit("sarcasm"), F.lit(1.0), fv.SARCASM_CONFIDENCE))
     ).otherwise(none)
     items = F.concat(targeted, fallback, emotion, topics, toxicity, sarcasm)
-    out = analysed.select(
-        "comment_id", like_weight(F.col("likes")).alias("weight_score"), F.posexplode(items).alias("_ord", "s")
-    )
+    weight = like_weight(F.col("likes")).alias("weight_score")
+    out = unnest(analysed, ["comment_id", weight], items, "s", "_ord")
     return out.select("comment_id", "weight_score", "_ord", "s.*")
 
 
@@ -193,10 +193,8 @@ def review_items(analysed: DataFrame, run_ts: Column) -> DataFrame:
             F.format_string("Low confidence (%.2f) for entity assignment", s["confidence"]).alias("reason"),
         ),
     )
-    items = analysed.select(
-        "comment_id", F.col("text").alias("context"), F.col("caption").alias("post_caption"),
-        F.posexplode(F.concat(unsure, a["ambiguous_mentions"])).alias("_ord", "m"),
-    )
+    kept = ["comment_id", F.col("text").alias("context"), F.col("caption").alias("post_caption")]
+    items = unnest(analysed, kept, F.concat(unsure, a["ambiguous_mentions"]), "m", "_ord")
     rows = items.select(
         review_id(F.col("comment_id"), F.col("m.name")).alias("review_id"),
         "comment_id", F.col("m.name").alias("entity_mention"), "context", "post_caption",
@@ -218,13 +216,10 @@ def discovered_from_responses(analysed: DataFrame, entities: DataFrame) -> DataF
         F.transform(F.map_keys(a["entity_scores"]), lambda n: F.struct(
             n.alias("name"), strip(F.lower(n)).alias("key"), F.lit(False).alias("sure"))),
     )
-    once = F.filter(
-        F.col("_names"),
-        lambda x, i: F.array_position(F.transform(F.col("_names"), lambda y: y["key"]), x["key"]) == i + 1,
-    )
-    names = analysed.select("comment_id", "created_at", "text", listed.alias("_names")).select(
-        "comment_id", "created_at", "text", F.explode(once).alias("n")
-    )
+    once = let(listed, lambda names: F.filter(
+        names, lambda x, i: F.array_position(F.transform(names, lambda y: y["key"]), x["key"]) == i + 1
+    ))
+    names = unnest(analysed, ["comment_id", "created_at", "text"], once, "n")
     found = resolve_names(names.select("comment_id", "created_at", "text", "n.name", "n.sure"), "name", entities)
     return found.filter(F.col("sure") | F.col("resolved_entity_id").isNull()).filter(
         is_discovered_name(F.col("name"))

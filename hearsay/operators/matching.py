@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hearsay import fixed_values as fv
 from hearsay.functions.text import strip
 from hearsay.operators.textsearch import PACKED_TERMS, find_terms
-from hearsay.sizing import let, packed, within
+from hearsay.sizing import let, packed, unnest, within
 
 
 def _no_texts() -> Column:
@@ -209,10 +209,8 @@ def catalog_mentions(
         in_place = catalog_fits(entities)
     if not in_place:
         return _joined_mentions(comments, entities, posts, text)
-    found = mention_arrays(comments, entities, posts, text).select(
-        "comment_id", F.explode_outer("mentions").alias("m")
-    )
-    return found.filter(F.col("m.entity_id").isNotNull()).select("comment_id", "m.*")
+    found = mention_arrays(comments, entities, posts, text)
+    return unnest(found, ["comment_id"], F.col("mentions"), "m").select("comment_id", "m.*")
 
 
 def full_name_mentions(comments: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
@@ -238,7 +236,7 @@ def _joined_mentions(
     no_place = F.lit(None).cast(named.schema["ord"].dataType).alias("ord")
 
     keys = ["comment_id"] + (["post_id"] if posts is not None else [])
-    words = comments.select(*keys, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word"))
+    words = unnest(comments, keys, F.array_distinct(tokens(F.col(text))), "word")
     parts = catalog_name_parts(entities)
     wanted = parts.select("entity_id", F.lit(1).alias("tier"), F.col("first").alias("word"),
                           F.col("first_unique").alias("unique")).unionByName(
@@ -283,9 +281,7 @@ def capitalised_names(text: Column, min_words: int = 2) -> Column:
 
 def mine_mentions(comments: DataFrame, text: str = "text", entity_type: str = "PERSON") -> DataFrame:
     """Built-in annotator: (comment_id, name, entity_type, confidence) per candidate."""
-    return comments.select(
-        "comment_id", F.explode(capitalised_names(F.col(text))).alias("name")
-    ).select("comment_id", "name", F.lit(entity_type).alias("entity_type"),
+    return unnest(comments, ["comment_id"], capitalised_names(F.col(text)), "name").select("comment_id", "name", F.lit(entity_type).alias("entity_type"),
              F.lit(fv.CONFIDENCE_DISCOVERED).alias("confidence"))
 
 

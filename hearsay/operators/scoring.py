@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay import fixed_values as fv
+from hearsay.sizing import unnest
 
 Scorer = Callable[[DataFrame, str], DataFrame]
 _SCORERS: dict[str, Scorer] = {}
@@ -75,8 +76,8 @@ def word_polarity(df: DataFrame, key: str, text: str, words: DataFrame) -> DataF
     ``words`` is the caller's table ``(word, polarity, subjectivity)``. The
     tokens of a text sit in one task, so each task sends one row per text on.
     """
-    tokens = df.select(key, F.explode(
-        F.regexp_extract_all(F.lower(text), F.lit(fv.TOKEN_PATTERN), F.lit(0))).alias("word"))
+    found = F.regexp_extract_all(F.lower(text), F.lit(fv.TOKEN_PATTERN), F.lit(0))
+    tokens = unnest(df, [key], found, "word")
     return tokens.join(words, "word").groupBy(key).agg(
         F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity")
     )

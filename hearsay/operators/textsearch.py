@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.sizing import let, packed, within
+from hearsay.sizing import let, packed, unnest, within
 
 # Below this many terms a linear test per text is cheaper than a join.
 PACKED_TERMS = 400
@@ -38,14 +38,8 @@ def _find_packed(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
         F.struct(F.lower(text).alias("t"), F.col("_terms").alias("all")),
         lambda row: F.filter(row["all"], lambda x: F.contains(row["t"], x["term"])),
     )
-    # explode_outer plus a plain filter: the planner would otherwise repeat the
-    # whole search in an inferred "array is not empty" filter.
-    found = texts.withColumn("_terms", packed(terms, "ord")).select(
-        *keys, F.explode_outer(hits).alias("_hit")
-    )
-    return found.filter(F.col("_hit.ord").isNotNull()).select(
-        *keys, *[F.col(f"_hit.{c}").alias(c) for c in terms.columns]
-    )
+    found = unnest(texts.withColumn("_terms", packed(terms, "ord")), keys, hits, "_hit")
+    return found.select(*keys, *[F.col(f"_hit.{c}").alias(c) for c in terms.columns])
 
 
 def _find_joined(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -56,9 +50,7 @@ def _find_joined(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     grams = F.concat(
         *[F.regexp_extract_all(lowered, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]
     )
-    pieces = texts.select(
-        *keys, lowered.alias("_text"), F.explode(F.array_distinct(grams)).alias("_gram")
-    )
+    pieces = unnest(texts, [*keys, lowered.alias("_text")], F.array_distinct(grams), "_gram")
     keyed = terms.withColumn("_gram", F.substring("term", 1, GRAM))
     hit = pieces.join(keyed, "_gram").filter(F.contains(F.col("_text"), F.col("term")))
     return hit.select(*keys, *terms.columns)

@@ -36,6 +36,18 @@ def packed(df: DataFrame, order: str) -> Column:
     return rows.scalar()
 
 
+def unnest(df: DataFrame, keep: list, items: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element; elements are never NULL.
+
+    A plain explode makes the planner infer a "not empty" filter that evaluates
+    ``items`` again, so a costly array would be computed twice or more.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+    rows = df.select(*keep, F.posexplode_outer(items).alias(position, name))
+    return rows.filter(F.col(position).isNotNull())
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it inside ``body``.
 

@@ -28,14 +28,17 @@ def _start(df: DataFrame, batch, checkpoint: str, mode: str = "append", **trigge
     )
 
 
-def ingest_stream(records: DataFrame, root: str, checkpoint: str, delay: str = "7 days", **trigger) -> StreamingQuery:
+def ingest_stream(
+    records: DataFrame, root: str, checkpoint: str, delay: str = "7 days", dedup: bool = True, **trigger
+) -> StreamingQuery:
     """Merge raw comment records into the stored posts and comments.
 
-    Exact repeats are dropped within the delay; a repeat with other likes is an
-    update and passes. Only touched partitions are rewritten.
+    With ``dedup``, exact repeats are dropped within the delay before the merge;
+    a repeat with other likes is an update and passes. The merge itself is
+    idempotent either way and rewrites only the touched partitions.
     """
     key = ["platform", "external_post_id", "comment_author", "comment_text", "comment_timestamp", "like_count"]
-    fresh = records.withWatermark("comment_timestamp", delay).dropDuplicatesWithinWatermark(key)
+    fresh = records.withWatermark("comment_timestamp", delay).dropDuplicatesWithinWatermark(key) if dedup else records
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

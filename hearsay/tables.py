@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearsay.schemas import TABLE_SCHEMAS
 
@@ -57,7 +58,7 @@ def read_tables(spark: SparkSession, root: str, names: list[str] | None = None)
         schema = TABLE_SCHEMAS[name]
         for part in LAYOUT.get(name, []):
             if part not in schema.fieldNames():
-                kind = "int" if part == "bucket" else "date"
+                kind = T.IntegerType() if part == "bucket" else T.DateType()
                 schema = type(schema)(list(schema.fields)).add(part, kind)
         found[name] = spark.read.schema(schema).parquet(f"{root}/{name}")
     return Tables(**found)

@@ -1,4 +1,4 @@
 """Queries over the test tables, each with an independent SQL formulation."""
 
-from verification import analytics_queries, function_queries, text_queries  # noqa: F401
+from verification import analytics_queries, function_queries, table_queries, text_queries  # noqa: F401
 from verification.core import QUERIES  # noqa: F401

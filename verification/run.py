@@ -48,11 +48,11 @@ def compare(spark_rows, oracle_rows):
         return f"columns differ: {c1} / {c2}"
     if len(r1) != len(r2):
         s1, s2 = set(map(repr, r1)), set(map(repr, r2))
-        only = sorted(s1 - s2)[:2], sorted(s2 - s1)[:2]
+        only = [x[:300] for x in sorted(s1 - s2)[:2] + sorted(s2 - s1)[:2]]
         return f"{len(r1)} rows / {len(r2)} rows; {str(only)[:1200]}"
     for a, b in zip(r1, r2):
         if a != b or [type(x) for x in a] != [type(x) for x in b]:
-            diff = [(n, x, y) for n, x, y in zip(c1, a, b) if x != y or type(x) is not type(y)]
+            diff = [(n, str(x)[:200], str(y)[:200]) for n, x, y in zip(c1, a, b) if x != y or type(x) is not type(y)]
             return f"values differ: {str(diff)[:1200]}"
     return None
 
@@ -84,7 +84,7 @@ def main(argv=None) -> int:
             problem = compare(table_of(df.columns, rows), table_of(columns, got.fetchall()))
             oracle_took = time.time() - began
         except Exception as error:  # noqa: BLE001
-            problem, took, oracle_took, rows = f"{type(error).__name__}: {str(error)[:900]}", time.time() - began, 0, []
+            problem, took, oracle_took, rows = f"{type(error).__name__}: {str(error)[:500]}", time.time() - began, 0, []
         bad += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {len(rows)} rows {took:.1f}s / {oracle_took:.1f}s"
               + (f"\n     {problem}" if problem else ""), flush=True)

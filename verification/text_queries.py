@@ -235,8 +235,8 @@ _PARTS = """
       CASE WHEN lower(emotion) IN ('anger', 'disgust', 'joy', 'disappointment', 'sarcasm', 'neutral') THEN lower(emotion) ELSE 'neutral' END AS emotion,
       CASE WHEN lower(stance) IN ('support', 'oppose', 'neutral') THEN lower(stance) ELSE 'neutral' END AS stance,
       coalesce(sarcasm = 'true', false) AS sarcasm, greatest(0::DOUBLE, least(1::DOUBLE, coalesce(try_cast(toxicity AS DOUBLE), 0))) AS toxicity,
-      list_filter(regexp_extract_all(topics, '"([^"]*)"', 1), lambda t: t <> '') AS topics,
-      list_filter(regexp_extract_all(others, '"([^"]*)"', 1), lambda t: t <> '') AS others FROM j)"""
+      CASE WHEN ok THEN list_filter(json_extract_string(raw_json, '$.topics[*]'), lambda t: t <> '') ELSE regexp_extract_all(topics, '"([^"]+)"', 1) END AS topics,
+      CASE WHEN ok THEN json_extract_string(raw_json, '$.other_entities[*]') ELSE regexp_extract_all(others, '"([^"]+)"', 1) END AS others FROM j)"""
 
 
 def _analyses(c):
