@@ -1,4 +1,10 @@
 """Queries over the test tables, each with an independent SQL formulation."""
 
-from verification import analytics_queries, function_queries, table_queries, text_queries  # noqa: F401
+from verification import (  # noqa: F401
+    analytics_queries,
+    brief_queries,
+    function_queries,
+    table_queries,
+    text_queries,
+)
 from verification.core import QUERIES  # noqa: F401

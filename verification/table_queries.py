@@ -43,8 +43,8 @@ VIEWS.update({
           CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS likes, concat('raw ', CAST(event_id AS VARCHAR(20))) AS raw,
           event_id % 9 = 0 AS meta FROM events""",
     "media": """
-        SELECT event_id, CASE event_id % 3 WHEN 0 THEN p.id WHEN 1 THEN concat(substr(p.id, 1, 16), '000') ELSE concat('9', substr(p.id, 2)) END AS media_id
-        FROM events e JOIN post_rows p ON p.doc_id = e.event_id % (SELECT count(*) FROM documents)""",
+        SELECT e.comment_id AS event_id, CASE e.comment_id % 3 WHEN 0 THEN p.id WHEN 1 THEN concat(substr(p.id, 1, 16), '000') ELSE concat('9', substr(p.id, 2)) END AS media_id
+        FROM comments e JOIN post_rows p ON p.doc_id = e.post_id""",
 })
 
 
