@@ -6,6 +6,7 @@ sides start from the same rows. Views read whole tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -143,6 +144,15 @@ VIEWS = {
 }
 
 
+# Opened tables, and the folder each table name currently stands for in a session.
+_OPENED: dict[tuple, DataFrame] = {}
+_REGISTERED: dict[tuple, str] = {}
+
+# A test table is one file with one row group, so one task reads it all. Views whose
+# rows are costly to process are spread over the cores, as many files would be.
+_COSTLY_ROWS = {"tcomments", "responses", "replies"}
+
+
 @dataclass(frozen=True)
 class Context:
     """One run: the session and the folder of the tables."""
@@ -151,19 +161,29 @@ class Context:
     sf_dir: str
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = (id(self.spark), self.sf_dir, name)
+        if key not in _OPENED:
+            _OPENED[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return _OPENED[key]
 
     def view(self, name: str) -> DataFrame:
         if name in RAW:
             return self.raw(name)
-        return self.sql(f"SELECT * FROM {name}")
+        df = self.sql(f"SELECT * FROM {name}")
+        if name in _COSTLY_ROWS:
+            return df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
 
     def sql(self, text: str) -> DataFrame:
         """Run shared SQL text over the raw tables and the views."""
+        full = with_views(text)
+        words = set(re.findall(r"\w+", full))
         for table in RAW:
-            if table in text or any(table in VIEWS[v] for v in _needed(text)):
+            key = (id(self.spark), table)
+            if table in words and _REGISTERED.get(key) != self.sf_dir:
                 self.raw(table).createOrReplaceTempView(table)
-        return self.spark.sql(with_views(text))
+                _REGISTERED[key] = self.sf_dir
+        return self.spark.sql(full)
 
     def tables(self, text: bool = False) -> Tables:
         """Posts, comments, signals and entities of the numeric side."""
@@ -183,8 +203,6 @@ class Context:
 
 def _needed(text: str) -> list[str]:
     """Views that a text refers to, directly or through other views, in order."""
-    import re
-
     words = set(re.findall(r"\w+", text))
     for name in reversed(VIEWS):
         if name in words:
