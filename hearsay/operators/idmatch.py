@@ -31,18 +31,23 @@ def _tier(df: DataFrame, index: DataFrame, on: Column, name: str) -> DataFrame:
 def match_rounded(df: DataFrame, media_id: str, posts: DataFrame) -> DataFrame:
     """Attach ``matched_id`` and ``match_tier``: exact id, else its 15-digit prefix.
 
-    ``posts`` has ``id`` and its load order ``seq``. The post indexes are far
-    smaller than the comments, so both lookups broadcast while they fit; beyond
-    that the planner shuffles, and a viral post's ids are split by skew joins.
+    ``posts`` has ``id`` and its load order ``seq``. The distinct media ids are
+    matched, about one per post; the comments themselves take part in a single
+    join with that mapping, whose hot ids are split by skew joins.
     """
+    wanted = df.select(F.col(media_id).alias("_mid")).filter("_mid is not null").distinct()
     exact = posts.select(F.col("id").alias("_key"), F.col("id").alias("_id")).distinct()
     prefix = _index(posts, rounded_id_prefix(F.col("id")))
-    tiers = _tier(df, exact, F.col(media_id), "_exact")
-    tiers = _tier(tiers, prefix, rounded_id_prefix(F.col(media_id)), "_prefix")
-    return tiers.withColumn("matched_id", F.coalesce("_exact", "_prefix")).withColumn(
-        "match_tier",
-        F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_prefix").isNotNull(), "prefix").otherwise("none"),
-    ).drop("_exact", "_prefix")
+    tiers = _tier(wanted, exact, F.col("_mid"), "_exact")
+    tiers = _tier(tiers, prefix, rounded_id_prefix(F.col("_mid")), "_prefix")
+    mapping = tiers.select(
+        "_mid",
+        F.coalesce("_exact", "_prefix").alias("matched_id"),
+        F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_prefix").isNotNull(), "prefix")
+        .otherwise("none").alias("_tier"),
+    )
+    joined = df.join(mapping, F.col(media_id) == F.col("_mid"), "left")
+    return joined.withColumn("match_tier", F.coalesce("_tier", F.lit("none"))).drop("_mid", "_tier")
 
 
 def _metadata_tiers(posts: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -176,10 +181,14 @@ def recently_visited(tracker: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def shared_urls(posts: DataFrame) -> DataFrame:
-    """Urls stored under several ids, with those ids."""
-    return posts.groupBy("url").agg(
-        F.count(F.lit(1)).alias("n_posts"), F.sort_array(F.collect_list("external_id")).alias("external_ids")
-    ).filter("n_posts > 1")
+    """Posts whose url is stored under several ids, one row per post.
+
+    The ids of a url are not gathered into one row: a missing url may be shared
+    by very many posts.
+    """
+    counts = posts.groupBy("url").agg(F.count(F.lit(1)).alias("n_posts")).filter("n_posts > 1")
+    same = posts["url"].eqNullSafe(counts["url"])
+    return posts.join(counts, same).select(posts["url"], "n_posts", "external_id")
 
 
 def id_kinds(posts: DataFrame, numeric_prefix: str = "37") -> DataFrame:

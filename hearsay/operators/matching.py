@@ -26,12 +26,12 @@ def _no_texts() -> Column:
 
 
 def _ordered(entities: DataFrame) -> DataFrame:
-    order = F.col("load_order") if "load_order" in entities.columns else F.row_number().over(Window.orderBy("entity_id"))
+    order = F.col("load_order") if "load_order" in entities.columns else F.col("entity_id")
     aliases = F.col("aliases") if "aliases" in entities.columns else _no_texts()
     canonical = F.col("canonical_name") if "canonical_name" in entities.columns else F.lit(None).cast("string")
     return entities.select(
         "entity_id", "name", canonical.alias("canonical_name"),
-        F.coalesce(aliases, _no_texts()).alias("aliases"), order.cast("bigint").alias("load_order"),
+        F.coalesce(aliases, _no_texts()).alias("aliases"), order.alias("load_order"),
     )
 
 

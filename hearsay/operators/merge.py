@@ -319,7 +319,7 @@ def promote_entity(
     added = new_seeds(catalog, names)
     grown = catalog.unionByName(added, allowMissingColumns=True)
     flag = added.select("name").withColumn("_added", F.lit(True))
-    marked = discovered.join(F.broadcast(flag), "name", "left")
+    marked = discovered.join(flag, "name", "left")
     hit = F.coalesce("_added", F.lit(False))
     changes = {
         "reviewed": hit | F.col("reviewed"),

@@ -1,9 +1,11 @@
 """Which of many terms occur in which texts.
 
-Two exact ways with the same result. A bounded term list is packed into one
-array and tested in place: no join and no shuffle of the texts. A longer list
-is joined on the first characters of each term, so the work is an equi-join and
-the full containment test runs only on rows whose first characters agree.
+Three exact ways with the same result, chosen by the counted number of terms. A
+short list is packed into one array and tested in place: no join and no shuffle
+of the texts. A longer one is joined on the first characters of each term, with
+the terms broadcast, so texts still stay where they are. A list too long for a
+broadcast meets the texts in a shuffle that carries ids and short pieces only;
+the texts join the few candidates afterwards.
 """
 
 from __future__ import annotations
@@ -23,13 +25,18 @@ def find_terms(
 ) -> DataFrame:
     """Rows of ``texts`` (without ``text``) joined to the ``terms`` they contain.
 
-    ``terms`` has a lower-case ``term`` column, an order column ``ord`` and any
-    further columns; matching ignores the case of the text. Pass
-    ``bounded=True`` only when ``terms`` is limited in its own plan.
+    The first column of ``texts`` identifies a text. ``terms`` has a lower-case
+    ``term`` column, an order column ``ord`` and any further columns; matching
+    ignores the case of the text. Pass ``bounded=True`` only when ``terms`` is
+    limited in its own plan.
     """
     if bounded is None:
         bounded = within(terms, PACKED_TERMS)
-    return _find_packed(texts, text, terms) if bounded else _find_joined(texts, text, terms)
+    if bounded:
+        return _find_packed(texts, text, terms)
+    if within(terms):
+        return _find_joined(texts, text, F.broadcast(terms.withColumn("_gram", _first_piece())))
+    return _find_shuffled(texts, text, terms)
 
 
 def _find_packed(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -42,15 +49,30 @@ def _find_packed(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return found.select(*keys, *[F.col(f"_hit.{c}").alias(c) for c in terms.columns])
 
 
-def _find_joined(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+def _first_piece():
+    return F.substring("term", 1, GRAM)
+
+
+def _pieces(text: str):
+    """Every distinct run of up to GRAM characters, found in one scan per length."""
+    runs = [
+        F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)
+    ]
+    return F.array_distinct(F.concat(*runs))
+
+
+def _find_joined(texts: DataFrame, text: str, keyed: DataFrame) -> DataFrame:
     keys = [c for c in texts.columns if c != text]
-    lowered = F.lower(text)
-    # Every substring of GRAM characters, found in one scan of the text, plus
-    # the shorter ones for terms shorter than GRAM.
-    grams = F.concat(
-        *[F.regexp_extract_all(lowered, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]
-    )
-    pieces = unnest(texts, [*keys, lowered.alias("_text")], F.array_distinct(grams), "_gram")
-    keyed = terms.withColumn("_gram", F.substring("term", 1, GRAM))
+    pieces = unnest(texts, [*keys, F.lower(text).alias("_text")], _pieces(text), "_gram")
     hit = pieces.join(keyed, "_gram").filter(F.contains(F.col("_text"), F.col("term")))
+    return hit.select(*keys, *[c for c in keyed.columns if c != "_gram"])
+
+
+def _find_shuffled(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    key = texts.columns[0]
+    keys = [c for c in texts.columns if c != text]
+    pieces = unnest(texts, [F.col(key).alias("_key")], _pieces(text), "_gram")
+    candidates = pieces.join(terms.withColumn("_gram", _first_piece()), "_gram").drop("_gram")
+    # A common piece is a hot key here; skew joins split it, as both sides may be split.
+    hit = candidates.join(texts, F.col("_key") == F.col(key)).filter(F.contains(F.lower(text), F.col("term")))
     return hit.select(*keys, *terms.columns)

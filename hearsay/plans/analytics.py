@@ -25,7 +25,8 @@ from hearsay.plans.facts import (
     window_comments,
     with_platform,
 )
-from hearsay.sizing import broadcast_if_small, broadcast_top
+from hearsay.session import checkpointed
+from hearsay.sizing import SMALL_ROWS, broadcast_if_small, broadcast_top, within
 from hearsay.tables import Tables
 
 
@@ -272,21 +273,23 @@ def top_posts(t: Tables, start, end, limit: int = 10, platform: str | None = Non
     """Posts by comment volume with likes, average sentiment and top entity.
 
     Comments are counted per post first, so a viral post is one row before
-    anything is joined; the follow-up aggregates read only the kept posts.
+    anything is joined. The ranking moves ids and counts only and is staged once
+    (``limit`` rows); captions and the follow-up aggregates are read for the kept
+    posts alone.
     """
     volume = window_comments(t, start, end).groupBy("post_id").agg(
         F.count(F.lit(1)).alias("comment_count"), F.sum("likes").alias("total_likes")
     )
-    posts = t.posts.select("post_id", "platform", "url", "caption")
+    known = t.posts.select("post_id", "platform")
     if platform:
-        posts = posts.filter(F.col("platform") == platform)
-    top = volume.join(posts, "post_id").orderBy(F.desc("comment_count"), "post_id").limit(limit)
-    top = top.select(
-        "*", F.row_number().over(Window.orderBy(F.desc("comment_count"), "post_id")).alias("rank")
-    )
+        known = known.filter(F.col("platform") == platform)
+    order = [F.desc("comment_count"), F.asc("post_id")]
+    kept = volume.join(known.select("post_id"), "post_id").orderBy(*order).limit(limit)
+    kept = checkpointed(kept.select("*", F.row_number().over(Window.orderBy(*order)).alias("rank")))
+    top = t.posts.select("post_id", "platform", "url", "caption").join(broadcast_top(kept), "post_id")
 
     facts = signal_facts(t, "sentiment", start, end, scored=False).join(
-        broadcast_top(top.select("post_id")), "post_id", "left_semi"
+        broadcast_top(kept.select("post_id")), "post_id", "left_semi"
     )
     per_entity = facts.groupBy("post_id", "entity_id").agg(
         F.sum("numeric_value").alias("sum_score"),
@@ -381,9 +384,9 @@ def toxicity_alerts(
     # Text and url are fetched for the kept rows only.
     detail = window_comments(t, after=after).select("comment_id", "text", F.col("author_name").alias("author"))
     urls = t.posts.select("post_id", F.col("url").alias("post_url"))
+    shown = detail.join(broadcast_top(top), "comment_id")
     return (
-        detail.join(broadcast_top(top), "comment_id")
-        .join(urls, "post_id")
+        urls.join(broadcast_top(shown), "post_id")
         .select(
             "comment_id", clip(F.col("text"), 200).alias("text"), "author", "likes",
             F.col("numeric_value").alias("toxicity"), "post_url",
@@ -392,6 +395,14 @@ def toxicity_alerts(
     )
 
 
+def _few_per_entity(best: DataFrame, entities: DataFrame, per_entity: int) -> DataFrame:
+    """Broadcast a top-k per entity when the counted catalog bounds its size.
+
+    The texts it is joined to then stay where they are.
+    """
+    return F.broadcast(best) if within(entities, SMALL_ROWS // max(per_entity, 1)) else best
+
+
 def top_comments(t: Tables, per_entity: int = 3, entities: DataFrame | None = None) -> DataFrame:
     """The most liked comments of each entity, newest first among equals.
 
@@ -407,7 +418,8 @@ def top_comments(t: Tables, per_entity: int = 3, entities: DataFrame | None = No
     best = facts.select("entity_id", "comment_id", "likes", "created_at").withColumn(
         "rank", F.row_number().over(order)
     ).filter(F.col("rank") <= per_entity)
-    return best.join(t.comments.select("comment_id", "text"), "comment_id").select(
+    best = _few_per_entity(best, entities if entities is not None else t.monitored_entities, per_entity)
+    return t.comments.select("comment_id", "text").join(best, "comment_id").select(
         "entity_id", "rank", "comment_id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("likes", F.lit(0)).alias("likes"), "created_at",
     )
@@ -423,9 +435,11 @@ def entity_comments(t: Tables, per_entity: int = 10) -> DataFrame:
         F.desc_nulls_last("likes"), F.desc("created_at"), "comment_id"
     )
     best = distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_entity)
+    best = _few_per_entity(best, t.monitored_entities, per_entity)
+    shown = t.comments.select("comment_id", "text", "author_name").join(best, "comment_id")
     return (
-        best.join(t.comments.select("comment_id", "text", "author_name"), "comment_id")
-        .join(t.posts.select("post_id", "caption"), "post_id")
+        t.posts.select("post_id", "caption")
+        .join(_few_per_entity(shown, t.monitored_entities, per_entity), "post_id")
         .select("entity_id", "rank", "comment_id", "author_name", "text", "likes", "created_at", "caption")
     )
 

@@ -9,6 +9,7 @@ from hearsay.functions.text import is_reported_name
 from hearsay.operators.textsearch import find_terms
 from hearsay.plans.analytics import top_entities
 from hearsay.plans.facts import window_comments, window_signals
+from hearsay.session import checkpointed
 from hearsay.tables import Tables
 
 
@@ -35,7 +36,10 @@ def dynamic_entities(
     t: Tables, start, end, min_mentions: int = 10, platforms: list[str] | None = None, limit: int = 50
 ) -> DataFrame:
     """Monitored entities and frequent discovered names in one ranking."""
-    monitored = top_entities(t, start, end, platforms, limit * 2).withColumn("is_monitored", F.lit(True))
+    # Staged: it is both one part of the ranking and the names to leave out below.
+    monitored = checkpointed(
+        top_entities(t, start, end, platforms, limit * 2).withColumn("is_monitored", F.lit(True))
+    )
 
     candidates = (
         t.discovered_entities.filter(F.col("mention_count") >= min_mentions)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearsay import fixed_values as fv
 from hearsay.functions.labels import trajectory
 from hearsay.plans.facts import window_comments
+from hearsay.session import checkpointed
 from hearsay.sizing import packed
 from hearsay.tables import Tables
 
@@ -42,7 +43,8 @@ def storylines(
     ``top`` is a bounded ranking (``rank``, ``entity_name``). Counting is by
     whole words; sharing a comment is by containment.
     """
-    comments = engaged_comments(t, start, end, min_likes, limit)
+    # Staged: a few hundred rows that the counts and the pairs both read.
+    comments = checkpointed(engaged_comments(t, start, end, min_likes, limit).select("comment_id", "text"))
     counts = storyline_counts(comments, names)
     lines = packed(counts.select("ord", "storyline", F.lower("storyline").alias("term")), "ord")
     people = packed(top.select("rank", "entity_name", F.lower("entity_name").alias("term")), "rank")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearsay.operators import matching as ma
+from hearsay.operators import textsearch
 from hearsay.operators.textsearch import find_terms
 
 TEXTS = [
@@ -69,7 +70,8 @@ def test_search_ways_agree(spark, rows):
     )
     near = rows(find_terms(texts, "t", terms, bounded=True))
     far = rows(find_terms(texts, "t", terms, bounded=False))
-    assert near == far
+    keyed = rows(textsearch._find_shuffled(texts, "t", terms))
+    assert near == far == keyed
     assert {(r[0], r[2]) for r in near} == {
         (1, "a"), (1, "xb%"), (1, "the_thing"), (1, "é😀"), (4, "a"), (4, "ab"), (5, "the_thing")
     }

@@ -440,11 +440,11 @@ def _(c):
     return im.recently_visited(tracker).select("url", F.unix_micros("last_scraped").alias("last_scraped"))
 
 
-@query("f20_shared_urls", """SELECT source AS url, count(*) AS n_posts, list_aggregate(list(code ORDER BY code), 'string_agg', ',') AS external_ids
-  FROM post_rows GROUP BY source HAVING count(*) > 1""")
+@query("f20_shared_urls", """SELECT source AS url, n AS n_posts, code AS external_id
+  FROM (SELECT source, code, count(*) OVER (PARTITION BY source) AS n FROM post_rows) p WHERE n > 1""")
 def _(c):
     posts = c.view("post_rows").select(F.col("source").alias("url"), F.col("code").alias("external_id"))
-    return im.shared_urls(posts).withColumn("external_ids", F.array_join("external_ids", ","))
+    return im.shared_urls(posts)
 
 
 @query("f20_id_kinds", """SELECT count(*) AS total_posts, count(CASE WHEN x NOT LIKE '37%' THEN 1 END) AS shortcode_posts, count(CASE WHEN x LIKE '37%' THEN 1 END) AS numeric_posts
