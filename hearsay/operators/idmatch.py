@@ -186,9 +186,9 @@ def shared_urls(posts: DataFrame) -> DataFrame:
     The ids of a url are not gathered into one row: a missing url may be shared
     by very many posts.
     """
-    counts = posts.groupBy("url").agg(F.count(F.lit(1)).alias("n_posts")).filter("n_posts > 1")
-    same = posts["url"].eqNullSafe(counts["url"])
-    return posts.join(counts, same).select(posts["url"], "n_posts", "external_id")
+    counts = posts.groupBy(F.col("url").alias("_url")).agg(F.count(F.lit(1)).alias("n_posts"))
+    shared = counts.filter("n_posts > 1")
+    return posts.join(shared, F.col("url").eqNullSafe(F.col("_url"))).select("url", "n_posts", "external_id")
 
 
 def id_kinds(posts: DataFrame, numeric_prefix: str = "37") -> DataFrame:

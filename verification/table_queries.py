@@ -19,7 +19,8 @@ from hearsay.sources import read_source, register_source
 from hearsay.sources.catalog import read_entity_seed
 from hearsay.streaming import jobs
 from hearsay.tables import read_tables, write_table
-from verification.core import RAW, VIEWS, Context, query
+from verification.core import VIEWS, Context, query
+from verification.text_queries import RULE_SIGNALS_SQL
 
 RUN = "2024-02-01 00:00:00"
 
@@ -532,7 +533,7 @@ def _(c):
     return stored.comments.join(codes, "post_id").select("code", "author_name", "text", F.unix_micros("created_at").alias("created_at"), "likes")
 
 
-@query("j2_enrich_stream")
+@query("j2_enrich_stream", RULE_SIGNALS_SQL)
 def _(c):
     from hearsay.plans.quality import signal_breakdown
     from hearsay.tables import Tables

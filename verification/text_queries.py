@@ -331,12 +331,15 @@ def _(c):
     return en.discovered_from_responses(_analysed(c), _nations(c)).select("comment_id", "name")
 
 
-@query("d21_rule_signals", f"""
+RULE_SIGNALS_SQL = f"""
   WITH sco AS (SELECT comment_id, {_RULES % ('0', '0')} FROM (SELECT comment_id,
       {_hits(fv.POSITIVE_WORDS)} + {_hits(fv.POSITIVE_EMOJIS, 'text')} AS p, {_hits(fv.NEGATIVE_WORDS)} + {_hits(fv.NEGATIVE_EMOJIS, 'text')} AS n FROM replies) h),
   men AS (SELECT * FROM ({_D11}) d)
   SELECT s.comment_id, m.entity_id, {_LEVEL.format('score')} AS value, score AS numeric_value, round(coalesce(m.confidence, 1) * s.confidence, 6) AS confidence
-  FROM sco s JOIN (SELECT comment_id, entity_id, confidence FROM men UNION ALL SELECT comment_id, NULL, NULL FROM replies) m ON m.comment_id = s.comment_id""")
+  FROM sco s JOIN (SELECT comment_id, entity_id, confidence FROM men UNION ALL SELECT comment_id, NULL, NULL FROM replies) m ON m.comment_id = s.comment_id"""
+
+
+@query("d21_rule_signals", RULE_SIGNALS_SQL)
 def _(c):
     signals = en.rule_signals(c.view("replies"), c.catalog(), c.view("tposts"), F.timestamp_seconds(F.lit(0)))
     return rounded(signals.select("comment_id", "entity_id", "value", "numeric_value", "confidence"), "confidence")
