@@ -203,11 +203,13 @@ class Context:
 
 def _needed(text: str) -> list[str]:
     """Views that a text refers to, directly or through other views, in order."""
-    words = set(re.findall(r"\w+", text))
-    for name in reversed(VIEWS):
-        if name in words:
-            words |= set(re.findall(r"\w+", VIEWS[name]))
-    return [name for name in VIEWS if name in words]
+    found, left = set(), [text]
+    while left:
+        words = set(re.findall(r"\w+", left.pop()))
+        new = {name for name in VIEWS if name in words} - found
+        found |= new
+        left += [VIEWS[name] for name in new]
+    return [name for name in VIEWS if name in found]
 
 
 def with_views(text: str) -> str:

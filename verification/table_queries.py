@@ -43,7 +43,7 @@ VIEWS.update({
           concat('says ', event_type) AS text, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS said,
           CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS likes, concat('raw ', CAST(event_id AS VARCHAR(20))) AS raw,
           event_id % 9 = 0 AS meta FROM events""",
-    "media": """
+    "media_ids": """
         SELECT e.comment_id AS event_id, CASE e.comment_id % 3 WHEN 0 THEN p.id WHEN 1 THEN concat(substr(p.id, 1, 16), '000') ELSE concat('9', substr(p.id, 2)) END AS media_id
         FROM comments e JOIN post_rows p ON p.doc_id = e.post_id""",
 })
@@ -373,7 +373,7 @@ _MATCH = """
   WITH px AS (SELECT substr(id, 1, 15) AS pre, arg_max(id, doc_id) AS id FROM post_rows GROUP BY 1),
   m AS (SELECT event_id, m.media_id, coalesce(e.id, px.id) AS matched_id,
       CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN px.id IS NOT NULL THEN 'prefix' ELSE 'none' END AS match_tier
-    FROM media m LEFT JOIN post_rows e ON e.id = m.media_id LEFT JOIN px ON px.pre = substr(m.media_id, 1, 15))"""
+    FROM media_ids m LEFT JOIN post_rows e ON e.id = m.media_id LEFT JOIN px ON px.pre = substr(m.media_id, 1, 15))"""
 
 
 def _index(c):
@@ -382,14 +382,14 @@ def _index(c):
 
 @query("e2_rounded_ids", _MATCH + " SELECT * FROM m")
 def _(c):
-    return im.match_rounded(c.view("media"), "media_id", _index(c))
+    return im.match_rounded(c.view("media_ids"), "media_id", _index(c))
 
 
 @query("f21_match_stats", _MATCH + """ SELECT count(*) AS total_comments, count(CASE WHEN match_tier <> 'none' THEN 1 END) AS matched_comments,
     count(CASE WHEN match_tier = 'exact' THEN 1 END) AS exact_matches, count(CASE WHEN match_tier = 'prefix' THEN 1 END) AS prefix_matches,
     round_even(CAST(count(CASE WHEN match_tier <> 'none' THEN 1 END) AS DOUBLE) / count(*) * 100, 1) AS match_rate FROM m""")
 def _(c):
-    return im.match_stats(im.match_rounded(c.view("media"), "media_id", _index(c)))
+    return im.match_stats(im.match_rounded(c.view("media_ids"), "media_id", _index(c)))
 
 
 def _posts_and_metadata(c):
