@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +165,24 @@ def validated(parts: Column) -> Column:
     )
 
 
+def collect_responses(
+    comments: DataFrame, respond: Callable[[pd.DataFrame], pd.Series], *columns: str
+) -> DataFrame:
+    """Responses of a caller's analyser, as the table ``(comment_id, raw_json)``.
+
+    ``respond`` gets Arrow batches of ``comment_id`` and ``columns`` and returns
+    one JSON text per row; a failed call may return None. It runs in every task.
+    """
+    kept = comments.select("comment_id", *columns)
+    id_type = kept.schema["comment_id"].dataType.simpleString()
+
+    def batches(frames):
+        for frame in frames:
+            yield pd.DataFrame({"comment_id": frame["comment_id"], "raw_json": respond(frame)})
+
+    return kept.mapInPandas(batches, f"comment_id {id_type}, raw_json string")
+
+
 def parse_responses(responses: DataFrame, raw: str = "raw_json") -> DataFrame:
     """``responses`` with ``raw`` replaced by ``recovered`` and ``analysis``.
 

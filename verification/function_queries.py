@@ -304,3 +304,44 @@ def _(c):
             say.distribution_explainer(F.col("positive_pct"), F.col("negative_pct"), F.col("total")).alias("sentence"))
         out = d if out is None else out.unionByName(d)
     return out
+
+
+_CAPITAL = "concat(upper({0}[1]), {0}[2:])"
+_LOWER_LEVEL = """CASE WHEN {0} >= 0.7 THEN 'strongly positive' WHEN {0} >= 0.3 THEN 'positive' WHEN {0} > -0.3 THEN 'neutral'
+  WHEN {0} > -0.7 THEN 'negative' ELSE 'strongly negative' END"""
+
+
+@query("c25_platform_sentences", f"""
+  WITH s AS (SELECT f.entity_id, e.name, p.platform, avg(numeric_value) AS s FROM facts f JOIN entities e ON e.entity_id = f.entity_id
+      JOIN posts p ON p.post_id = f.post_id WHERE signal_type = 'sentiment' GROUP BY 1, 2, 3),
+  b AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY s DESC, platform) AS hi, row_number() OVER (PARTITION BY entity_id ORDER BY s, platform) AS lo FROM s),
+  j AS (SELECT h.name, {_CAPITAL.format('h.platform')} AS bp, h.s AS bs, {_CAPITAL.format('l.platform')} AS wp, l.s AS ws FROM b h JOIN b l ON h.entity_id = l.entity_id AND h.hi = 1 AND l.lo = 1
+    WHERE h.platform <> l.platform)
+  SELECT name, CASE WHEN bs - ws > 0.3 THEN concat(name, ' shows ', bp, '-driven positivity (', printf('%+.2f', bs), ') while ', wp, ' is more negative (', printf('%+.2f', ws), ')')
+      ELSE concat(name, ' sentiment is consistent across platforms (', bp, ': ', printf('%+.2f', bs), ', ', wp, ': ', printf('%+.2f', ws), ')') END AS contrast,
+    CASE WHEN bs - ws > 0.2 THEN concat(bp, ' shows ', {_LOWER_LEVEL.format('bs')}, ' sentiment (', printf('%+.2f', bs), '), while ', wp, ' is ', {_LOWER_LEVEL.format('ws')}, ' (', printf('%+.2f', ws), '), indicating platform-specific discourse patterns.')
+      ELSE concat('Platform sentiment is relatively consistent, with ', bp, ' slightly more positive.') END AS explainer FROM j""")
+def _(c):
+    t = c.tables()
+    d = an.platform_deltas(t, START, END, an.top_entities(t, START, END, limit=25))
+    best, bs, worst, ws = (F.col(n) for n in ("best_platform", "best_sentiment", "worst_platform", "worst_sentiment"))
+    return d.select(
+        F.col("entity_name").alias("name"), say.platform_contrast(F.col("entity_name"), best, bs, worst, ws).alias("contrast"),
+        say.platform_explainer(best, bs, worst, ws).alias("explainer"))
+
+
+@query("c25_discovery_sentences", """
+  WITH d AS (SELECT lang, source AS name, count(*) AS n FROM documents GROUP BY 1, 2),
+  g AS (SELECT lang, count(CASE WHEN n >= 12 THEN 1 END) AS high, arg_min(name, (-n, name)) AS top, max(n) AS m, list(name ORDER BY n DESC, name)[1:3] AS names FROM d GROUP BY lang)
+  SELECT lang, CASE WHEN high > 0 THEN concat(CAST(high AS VARCHAR), ' entities show high relevance (20+ mentions) and should be considered for addition to the monitored list. Top candidate: ', top, ' (', CAST(m AS VARCHAR), ' mentions).')
+      WHEN m >= 10 THEN concat(top, ' should probably be added as a monitored entity due to emerging relevance (', CAST(m AS VARCHAR), ' mentions).') END AS guidance,
+    concat('Top entities show divergent sentiment patterns, with ', array_to_string(names, ', '), ' representing the highest-volume conversations.') AS trends FROM g""")
+def _(c):
+    counts = c.raw("documents").groupBy("lang", F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    by_lang = counts.groupBy("lang").agg(
+        F.count_if(F.col("n") >= 12).alias("high"), F.max("n").alias("m"),
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "name"))).alias("ranked"))
+    names = F.transform(F.slice("ranked", 1, 3), lambda x: x["name"])
+    return by_lang.select(
+        "lang", say.editorial_guidance(F.col("high"), F.get("ranked", F.lit(0))["name"], F.col("m")).alias("guidance"),
+        say.trend_explainer(names).alias("trends"))

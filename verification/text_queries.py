@@ -522,3 +522,19 @@ def _(c):
   AND created_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '{END}' ORDER BY likes DESC, comment_id LIMIT 200""")
 def _(c):
     return st.engaged_comments(_text_tables(c), "2024-01-01 00:00:00", END).select("comment_id", "likes")
+
+
+def _respond(frame):
+    """A stand-in for an external analyser: toxicity by text length, one call in seven fails."""
+    def one(text):
+        n = len(text)
+        return None if n % 7 == 0 else '{"toxicity": %d.5, "topics": ["n%d"]}' % (n % 2, n % 5)
+
+    return frame["text"].map(one)
+
+
+@query("k3_analysis_hook", """SELECT comment_id, CASE WHEN length(text) % 7 = 0 THEN 0::DOUBLE WHEN length(text) % 2 = 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS toxicity,
+    CASE WHEN length(text) % 7 <> 0 THEN concat('n', CAST(length(text) % 5 AS VARCHAR)) ELSE '' END AS topics FROM tcomments""")
+def _(c):
+    parsed = rs.parse_responses(rs.collect_responses(c.view("tcomments"), _respond, "text"))
+    return parsed.select("comment_id", "analysis.toxicity", F.array_join("analysis.topics", "|").alias("topics"))
