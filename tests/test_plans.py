@@ -1,5 +1,7 @@
 """The physical plans that the operators rely on at scale."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,8 +17,11 @@ from hearsay.tables import Tables, read_tables, write_table
 def stored(spark):
     root = scratch_path(spark, "plan")
     write_table(spark.createDataFrame([], POSTS), root, "posts")
-    write_table(spark.createDataFrame([], COMMENTS), root, "comments")
-    signals = spark.createDataFrame([], SIGNALS).withColumn("comment_date", F.lit(None).cast("date"))
+    # One row each: an empty folder shows no partition columns.
+    day = datetime(2024, 1, 9)
+    write_table(spark.createDataFrame([("c", "p", "a", "t", day, 1, 0, None, "direct", None)], COMMENTS), root, "comments")
+    signals = spark.createDataFrame([("s", "c", "0", "sentiment", "v", 0.5, 1.0, 1.0, "m", day)], SIGNALS)
+    signals = signals.withColumn("comment_date", F.lit("2024-01-09").cast("date"))
     write_table(signals, root, "extracted_signals")
     t = read_tables(spark, root, ["posts", "comments", "extracted_signals"])
     # Shuffle joins are what large inputs get.
