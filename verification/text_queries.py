@@ -538,3 +538,15 @@ def _respond(frame):
 def _(c):
     parsed = rs.parse_responses(rs.collect_responses(c.view("tcomments"), _respond, "text"))
     return parsed.select("comment_id", "analysis.toxicity", F.array_join("analysis.topics", "|").alias("topics"))
+
+
+@query("k1_pandas_scorer", """SELECT comment_id, CAST(length(text) % 5 - 2 AS DOUBLE) / 2 AS score, 0.75::DOUBLE AS confidence, 'batch' AS source_model FROM tcomments""")
+def _(c):
+    import pandas as pd
+
+    @F.pandas_udf("score double, confidence double, source_model string")
+    def batch(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"score": (text.str.len() % 5 - 2) / 2.0, "confidence": 0.75, "source_model": "batch"})
+
+    sc.register_column_scorer("batch", batch)
+    return sc.score_texts(c.view("tcomments"), scorer="batch").select("comment_id", "sentiment.*")
