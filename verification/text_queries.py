@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hearsay import fixed_values as fv
@@ -12,6 +13,7 @@ from hearsay.operators import scoring as sc
 from hearsay.operators.textsearch import find_terms
 from hearsay.plans import analytics as an
 from hearsay.plans import discovery as di
+from hearsay.plans import quality as qa
 from hearsay.plans import storylines as st
 from verification.core import END, START, VIEWS, query, rounded
 from verification.function_queries import listed
@@ -359,7 +361,6 @@ def _(c):
     count(DISTINCT CASE WHEN recovered THEN lab.comment_id END) AS recovered, count(DISTINCT CASE WHEN toxicity > 0.5 THEN lab.comment_id END) AS high_toxicity,
     max(toxicity) AS max_toxicity FROM lab LEFT JOIN sc ON sc.comment_id = lab.comment_id""")
 def _(c):
-    from hearsay.plans import quality as qa
     return qa.analysis_totals(_analyses(c)).drop("avg_toxicity")
 
 
@@ -367,7 +368,6 @@ def _(c):
   UNION ALL SELECT 'stance', stance, count(*) FROM lab GROUP BY stance
   UNION ALL SELECT 'entities', CAST(n AS VARCHAR), count(*) FROM (SELECT lab.comment_id, count(sc.name) AS n FROM lab LEFT JOIN sc ON sc.comment_id = lab.comment_id GROUP BY 1) x GROUP BY n""")
 def _(c):
-    from hearsay.plans import quality as qa
     return qa.label_counts(_analyses(c))
 
 
@@ -375,7 +375,6 @@ def _(c):
     max(score) AS max_score, count(CASE WHEN score < -0.5 THEN 1 END) AS low_scores,
     round_even(count(CASE WHEN score < -0.5 THEN 1 END) * 100::DOUBLE / count(*), 1) AS low_pct FROM sc GROUP BY name""")
 def _(c):
-    from hearsay.plans import quality as qa
     return rounded(qa.scored_name_stats(_analyses(c)), "avg_score")
 
 
@@ -542,8 +541,6 @@ def _(c):
 
 @query("k1_pandas_scorer", """SELECT comment_id, CAST(length(text) % 5 - 2 AS DOUBLE) / 2 AS score, 0.75::DOUBLE AS confidence, 'batch' AS source_model FROM tcomments""")
 def _(c):
-    import pandas as pd
-
     @F.pandas_udf("score double, confidence double, source_model string")
     def batch(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"score": (text.str.len() % 5 - 2) / 2.0, "confidence": 0.75, "source_model": "batch"})
