@@ -1,29 +1,37 @@
-"""Words by the rule [^\\x20\\x09-\\x0D]+, hashed to two independent 64-bit lanes, and windows of words."""
+"""Words by the rule [^\\x20\\x09-\\x0D]+, hashed many texts at a time, and hashes of runs of words.
+
+A word hash is a polynomial over a random value of each byte, taken from running
+sums of the whole buffer, so no word becomes an object of its own.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
-# Odd multipliers of the two lanes; windows are polynomials in them over hashed words.
+# Odd multipliers: bytes of a word, words of a run in either lane.
+BYTE = np.uint64(0x9FB21C651E98DF25)
 LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+OF_BYTE = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-class WordHashes(dict):
-    """Hash of each word, kept while the bounded cache holds it. ``bytes.split`` splits at the six ASCII white spaces."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BYTE and its inverse modulo 2**64, to the powers 0 to n."""
+    if len(_powers[0]) <= n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((int(BYTE), pow(int(BYTE), -1, 1 << 64))):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.multiply.accumulate(table)
+    return _powers[0], _powers[1]
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -33,16 +41,69 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def windows(words: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
-    """A hash of each run of ``size`` words, by the place where it starts.
+def runs(words: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """A hash of each run of ``size`` words, by the place where it starts; built from runs of powers of two.
 
     The second lane mixes the word hashes first, so the lanes are independent.
     """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    mixed = words if lane == 0 else finish(words + LANES[1])
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * LANES[lane] + mixed[k:k + n]
-    return finish(out)
+    part = words if lane == 0 else finish(words + LANES[1])
+    out, done, length = None, 0, 1
+    while True:
+        if size & length:
+            piece = part[done:done + n]
+            out = piece if out is None else out * np.uint64(pow(int(LANES[lane]), length, 1 << 64)) + piece
+            done += length
+        if length * 2 > size:
+            return finish(out)
+        part = part[:-length] * np.uint64(pow(int(LANES[lane]), length, 1 << 64)) + part[length:]
+        length *= 2
+
+
+@dataclass
+class Words:
+    """Word hashes of several texts, one after the other."""
+
+    hashes: np.ndarray
+    counts: np.ndarray  # words of each text
+
+    @property
+    def text(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    @property
+    def place(self) -> np.ndarray:
+        """The place of each word within its text."""
+        return np.arange(len(self.hashes)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+
+    def whole_runs(self, size: int, place: np.ndarray) -> np.ndarray:
+        """The words where a run of ``size`` starts that its text holds whole; ``place`` as above."""
+        last = np.repeat(self.counts, self.counts) - size
+        return np.nonzero(place <= last)[0]
+
+
+def hash_words(texts: list[bytes], lower: bool = False) -> Words:
+    """Hash all words of all texts; ``lower`` lower-cases A-Z first."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = IS_SPACE[raw]
+    edges = np.empty(len(raw), bool)
+    edges[0] = not space[0]
+    np.not_equal(space[1:], space[:-1], out=edges[1:])
+    at = np.nonzero(edges)[0]
+    starts, ends = at[::2], at[1::2]
+    power, inverse = _power_tables(len(raw))
+    values = (OF_BYTE[LOWER] if lower else OF_BYTE)[raw]
+    values *= power[: len(raw)]
+    sums = np.cumsum(values, dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    hashes = finish((sums[ends - 1] - before) * inverse[starts])
+    text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return Words(hashes, np.diff(np.concatenate(([0], np.searchsorted(starts, text_ends)))))
+
+
+def text_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """Texts as UTF-8 bytes; NULL as empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
