@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, chat, exact_dedup, minhash, substring_dedup, token_files, topk
+from hearsay.llm import bpe, chat, exact_dedup, language, minhash, packing, quality, substring_dedup, token_files, topk
+from hearsay.llm.common import crc_fold
 from hearsay.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), shingle=4)
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = crc_fold(F.col("doc_id"), 5)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return quality.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = crc_fold(F.col("doc_id"), 3)
+    found = language.predict(docs, language.fit(docs, fold != 1))
+    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))

@@ -32,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearsay.llm.common import slices
 from hearsay.llm.packs import count_parts, cut, pack_ids, packed_rows, part_of, unpack_ids, unpacked
@@ -223,8 +225,10 @@ def window_entries(rows: DataFrame, shared: DataFrame, id_col: str, text_col: st
     return rows.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(run, ENTRY)
 
 
-def cut_rows(rows: DataFrame, gone: DataFrame, schema: str, columns: list[str], id_col: str, text_col: str, size: int) -> DataFrame:
-    """Cut covered words: the input columns with ``n_words``, ``n_removed`` and ``kept`` (words joined by one space)."""
+def cut_rows(rows: DataFrame, gone: DataFrame, schema: T.StructType, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Cut covered words: input columns, then the number of words, how many are removed, and the kept ones joined by one space."""
+    empty = to_arrow_schema(schema).empty_table()
+    columns, added = schema.names[:-3], schema.names[-3:]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         heard = notices(right, "<u8")
@@ -248,20 +252,20 @@ def cut_rows(rows: DataFrame, gone: DataFrame, schema: str, columns: list[str],
                 kept.append(b" ".join(words))
             more = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             arrays = [table.column(c) for c in columns] + [pa.chunked_array([m]) for m in more]
-            out.append(pa.table(arrays, [*columns, "n_words", "n_removed", "kept"]))
+            out.append(pa.table(arrays, [*columns, *added]))
         return pa.concat_tables(out) if out else empty
 
-    spark_schema = rows.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    empty = to_arrow_schema(spark_schema).empty_table()
     return rows.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(run, schema)
 
 
 def remove_shared(
-    docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), part_bytes: int = 8 << 20
+    docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+    names: tuple[str, str, str] = ("n_words", "n_removed", "kept"), part_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """Rows (id, *carry, ``n_words``, ``n_removed``, ``kept``) for all rows of ``docs``; ``size`` is 13 or another number from 8."""
+    """Rows (id, *carry, *names) for all rows of ``docs``: words, words removed, and the kept words joined by one space.
+
+    ``size`` is 13 or another number from 8; ``names`` must differ from the carried columns.
+    """
     if size <= PERIOD:
         raise ValueError(f"windows need more than {PERIOD} words")
     parts = count_parts(docs, text_col, part_bytes)
@@ -270,6 +274,7 @@ def remove_shared(
     gone = told(window_entries(packed_rows(ids_and_texts, id_col, parts), shared, id_col, text_col, size, parts), parts, by_smallest=True)
     columns = list(dict.fromkeys([id_col, *carry]))
     whole = docs.select(*dict.fromkeys([*columns, text_col]))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    schema = f"{names}, n_words long, n_removed long, kept string"
-    return cut_rows(packed_rows(whole, id_col, parts), gone, schema, columns, id_col, text_col, size)
+    schema = docs.select(*columns).schema
+    for name, kind in zip(names, (T.LongType(), T.LongType(), T.StringType()), strict=True):
+        schema = schema.add(name, kind)
+    return cut_rows(packed_rows(whole, id_col, parts), gone, schema, id_col, text_col, size)
