@@ -42,12 +42,16 @@ def collisions(texts: DataFrame, bits: int) -> DataFrame:
     """Rows (h, chunk, rank) of the chunks that share their hash with a different chunk."""
     parts = texts.select(F.explode(chunks(F.col("text"))).alias("chunk"))
     dictionary = parts.groupBy(_hash(F.col("chunk"), bits).alias("h"), "chunk").agg(F.count(F.lit(1)).alias("uses"))
-    shared = dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
+    # Almost always empty: the texts are only read again if it is not.
+    shared = staged(dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1"), "shared-hashes")
+    if shared.isEmpty():
+        return texts.sparkSession.createDataFrame([], "h long, chunk string, rank int")
     twins = dictionary.join(shared, "h")
     # Few rows, and few per hash: the pairs of a birthday coincidence.
     smaller = twins.select(F.col("h").alias("h2"), F.col("chunk").alias("other"))
     ranked = twins.join(smaller, (F.col("h") == F.col("h2")) & (F.col("other") < F.col("chunk")), "left")
-    return ranked.groupBy("h", "chunk").agg(F.count("other").cast("int").alias("rank")).filter("rank > 0")
+    ranks = ranked.groupBy("h", "chunk").agg(F.count("other").cast("int").alias("rank")).filter("rank > 0")
+    return staged(ranks, "chunk-collisions")
 
 
 def recipes(texts: DataFrame, bits: int = 64) -> DataFrame:
@@ -58,7 +62,7 @@ def recipes(texts: DataFrame, bits: int = 64) -> DataFrame:
     there are any, the texts that hold them get their ranks by equi-joins.
     """
     none = F.array().cast("array<struct<at:int,rank:int>>")
-    ranked = staged(collisions(texts, bits), "chunk-collisions")
+    ranked = collisions(texts, bits)
     digest = F.sha2(F.col("text").cast("binary"), 256).alias("sha")
     plain = texts.select("id", F.transform(chunks(F.col("text")), lambda c: _hash(c, bits)).alias("hashes"), digest)
     if ranked.isEmpty():
