@@ -13,8 +13,11 @@ set; only classes are compared. Then, in two steps:
    each task and a star over the tasks' centres, so a bucket of n costs n pairs.
    Pairs that sizes allow are confirmed on full sets; links give components.
 2. A bucket whose classes lie in one component is done. In the others, every pair
-   of classes of different components is still compared, in blocks of bounded
-   size, unless sizes rule it out. So no colliding pair is lost.
+   of classes of different components is still compared, in blocks of bounded size
+   that keep a large component apart: first by size and by the share of equal
+   signature values, an unbiased estimate of the similarity that has to reach the
+   threshold less five standard deviations, then on full sets. Tasks emit only
+   links; a chance of 3 in 10 million is all that one can be lost by.
 
 Result: the smallest id that each document reaches, and whether it is that one.
 
@@ -66,20 +69,24 @@ def multipliers(permutations: int, seed: int = 9) -> tuple[np.ndarray, np.ndarra
     return rng.integers(0, 2**32, permutations, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, permutations, dtype=np.uint32)
 
 
-def band_keys(hashes: np.ndarray, begins: np.ndarray, permutations: int, bands: int) -> np.ndarray:
-    """A 64-bit key for each band of each set; ``begins`` are the starts of the sets, none of them empty."""
+def signature(hashes: np.ndarray, begins: np.ndarray, permutations: int) -> np.ndarray:
+    """The smallest and largest value of each set under each permutation; ``begins`` are the starts of the sets, none empty."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    rows = 2 * permutations // bands
-    signature = np.empty((len(begins), 2 * permutations), np.uint32)
+    out = np.empty((len(begins), 2 * permutations), np.uint32)
     for i, (a, b) in enumerate(zip(*multipliers(permutations), strict=True)):
         moved = low * a + b
         moved ^= moved >> np.uint32(15)
-        signature[:, 2 * i] = np.minimum.reduceat(moved, begins)
-        signature[:, 2 * i + 1] = np.maximum.reduceat(moved, begins)
-    keys = np.arange(bands, dtype=np.uint64)[None, :] + np.zeros((len(begins), 1), np.uint64)
-    for k in range(rows):
+        out[:, 2 * i] = np.minimum.reduceat(moved, begins)
+        out[:, 2 * i + 1] = np.maximum.reduceat(moved, begins)
+    return out
+
+
+def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit key for each band of each signature."""
+    keys = np.arange(bands, dtype=np.uint64)[None, :] + np.zeros((len(values), 1), np.uint64)
+    for k in range(values.shape[1] // bands):
         # Values of one band come from different permutations.
-        keys = finish(keys * np.uint64(0x9E3779B97F4A7C15) + signature[:, k * bands:(k + 1) * bands].astype(np.uint64))
+        keys = finish(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, k * bands:(k + 1) * bands].astype(np.uint64))
     return keys
 
 
@@ -98,7 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, permut
                 digests[row] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
             keys = [None] * len(counts)
             if len(filled):
-                for row, own in zip(filled.tolist(), band_keys(hashes, (ends - counts)[filled], permutations, bands), strict=True):
+                for row, own in zip(filled.tolist(), band_keys(signature(hashes, (ends - counts)[filled], permutations), bands), strict=True):
                     keys[row] = own.tobytes()
             arrays = [piece.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "bands"])
@@ -203,8 +210,10 @@ def sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(allowed).select("a", "b")
 
 
-def left_over(star_rows: DataFrame, reached: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of classes that share a bucket and lie in different components after the first step."""
+def left_over(
+    star_rows: DataFrame, reached: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, permutations: int, block: int
+) -> DataFrame:
+    """Links between classes that share a bucket and lie in different components after the first step."""
     of = reached.select(F.col("node"), F.col("component"))
     a = star_rows.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
     both = a.join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
@@ -213,17 +222,85 @@ def left_over(star_rows: DataFrame, reached: DataFrame, sizes: DataFrame, percen
     members = rows.select("bucket", F.col("a").alias("label")).union(rows.select("bucket", F.col("b").alias("label"))).distinct()
     members = members.join(of.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
     members = staged(members.join(sizes, "label"), "mixed-buckets")
-    # Blocks of about ``block`` classes; a cell is a pair of blocks, found by the pair of block numbers.
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    placed = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")))
-    left = placed.select("*", F.explode(F.expr("sequence(own, blocks - 1)")).alias("other"))
-    right = placed.select("*", F.explode(F.expr("sequence(0L, own)")).alias("other"))
-    l, r = left.alias("l"), right.alias("r")
-    cell = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
-    differ = (F.col("l.component") != F.col("r.component")) & ((F.col("l.own") != F.col("r.own")) | (F.col("l.label") < F.col("r.label")))
-    allowed = (100 * F.col("l.most") >= percent * F.col("r.least")) & (100 * F.col("r.most") >= percent * F.col("l.least"))
-    pairs = l.join(r, cell & differ & allowed).select(F.greatest("l.label", "r.label").alias("a"), F.least("l.label", "r.label").alias("b"))
-    return pairs.distinct()
+    # A component of over ``block`` classes in a bucket has blocks of its own; the others share blocks.
+    per = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("classes"))
+    small = per.filter(F.col("classes") <= block).groupBy("bucket").agg(F.sum("classes").alias("small"))
+    counted = members.join(per, ["bucket", "component"]).join(small, "bucket", "left").withColumn("big", F.col("classes") > block)
+    own = F.pmod(F.xxhash64("label"), F.ceil(F.col("classes") / block))
+    shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / block))
+    families = members.groupBy("bucket").agg(F.min("label").alias("family"))
+    group = F.when(F.col("big"), F.struct("big", "component", own.alias("nth"))).otherwise(F.struct("big", F.lit(0).cast("long").alias("component"), shared.alias("nth")))
+    placed = counted.withColumn("block", group).select("bucket", "block", "label", "component", "least", "most")
+    blocks = placed.select("bucket", "block").distinct()
+    one, two = blocks.withColumnRenamed("block", "one"), blocks.withColumnRenamed("block", "two").withColumnRenamed("bucket", "bucket2")
+    same = F.col("one.big") & F.col("two.big") & (F.col("one.component") == F.col("two.component"))
+    cells = one.join(two, (F.col("bucket") == F.col("bucket2")) & (F.col("one") <= F.col("two")) & ~same)
+    # Buckets of one family share the destinations of their cells, so a pair is mostly compared once.
+    part = F.pmod(F.xxhash64("family", "one", "two"), F.lit(max(1, members.count() // 4_000 + 1)))
+    cells = cells.join(families, "bucket").select("bucket", "one", "two", F.xxhash64("bucket", "one", "two").alias("cell"), part.alias("part"))
+    sides = cells.select("bucket", F.col("one").alias("block"), "part", "cell", F.when(F.col("one") == F.col("two"), 2).otherwise(0).alias("side")).union(
+        cells.filter("one <> two").select("bucket", F.col("two").alias("block"), "part", "cell", F.lit(1).alias("side"))
+    )
+    rows = staged(placed.join(sides, ["bucket", "block"]).select("part", "cell", "side", "label", "component", "least", "most"), "cells")
+    needed = rows.select(F.col("part").alias("of_part"), F.col("label").alias("owner")).distinct()
+    own_sets = needed.join(sets.filter(F.length("members") > 0), F.col("owner") == F.col("label")).select("of_part", "owner", "members")
+    return rows.groupBy("part").cogroup(own_sets.groupBy("of_part")).applyInArrow(_compare_cells(percent, permutations), "a long, b long").distinct()
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> bool:
+    """Whether any set of one document has the similarity with any set of the other."""
+    for x in left:
+        for y in right:
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                return True
+    return False
+
+
+def _compare_cells(percent: int, permutations: int):
+    similar, values = percent / 100, 2 * permutations
+    least_equal = values * similar - 5 * np.sqrt(values * similar * (1 - similar))
+
+    def run(table: pa.Table, own: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        if not table.num_rows or not own.num_rows:
+            return none
+        names = own.column("owner").to_numpy()
+        members = [np.frombuffer(m, "<u8") for m in own.column("members").to_pylist()]
+        sets_of_label: dict[int, list[np.ndarray]] = {}
+        for name, m in zip(names.tolist(), members, strict=True):
+            sets_of_label.setdefault(name, []).append(m)
+        marks = np.empty((len(members), values), np.uint8)
+        for at in range(0, len(members), 200):
+            some = members[at:at + 200]
+            ends = np.cumsum([len(m) for m in some])
+            found = signature(np.concatenate(some), ends - [len(m) for m in some], permutations)
+            marks[at:at + 200] = finish(found.astype(np.uint64)) & np.uint64(255)
+        by_name = np.argsort(names, kind="stable")
+        cell, side, label, component, least, most = (table.column(c).to_numpy() for c in ("cell", "side", "label", "component", "least", "most"))
+        mark = by_name[np.searchsorted(names[by_name], label)]
+        alone = np.array([len(sets_of_label[n]) == 1 for n in label.tolist()])
+        order = np.lexsort((side, cell))
+        bounds = np.concatenate(([0], np.nonzero(np.diff(cell[order]))[0] + 1, [len(order)]))
+        one, two = [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows = order[lo:hi]
+            left = rows[side[rows] != 1]
+            right = rows if len(left) == len(rows) else rows[side[rows] == 1]
+            for x in left.tolist():
+                y = right[component[right] != component[x]]
+                y = y[(100 * most[y] >= percent * least[x]) & (100 * most[x] >= percent * least[y])]
+                if len(y):
+                    # An id with several sets is compared on full sets at once.
+                    y = y[((marks[mark[y]] == marks[mark[x]]).sum(axis=1) >= least_equal) | ~alone[y] | ~alone[x]]
+                one.append(np.maximum(label[y], label[x]))
+                two.append(np.minimum(label[y], label[x]))
+        pairs = np.unique(np.column_stack((np.concatenate(one), np.concatenate(two))), axis=0)
+        keep = [_linked(sets_of_label[a], sets_of_label[b], percent) for a, b in pairs.tolist()]
+        pairs = pairs[np.array(keep, bool)]
+        return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_groups(
@@ -245,8 +322,7 @@ def near_groups(
     sets = staged(sets_of(docs, wanted, id_col, text_col, shingle), "sets")
     links = staged(confirm(pairs, sets, percent), "links")
     reached = components(links)
-    more = left_over(star_rows, reached, sizes, percent, block).join(pairs, ["a", "b"], "left_anti")
-    further = staged(confirm(more, sets, percent), "links")
+    further = staged(left_over(star_rows, reached, sizes, sets, percent, permutations, block), "links")
     if not further.isEmpty():
         reached = components(links.union(further))
     # Rows of one id in several classes join those classes through the id itself.
