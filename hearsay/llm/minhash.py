@@ -230,7 +230,7 @@ def left_over(
     shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / block))
     families = members.groupBy("bucket").agg(F.min("label").alias("family"))
     group = F.when(F.col("big"), F.struct("big", "component", own.alias("nth"))).otherwise(F.struct("big", F.lit(0).cast("long").alias("component"), shared.alias("nth")))
-    placed = counted.withColumn("block", group).select("bucket", "block", "label", "component", "least", "most")
+    placed = staged(counted.withColumn("block", group).select("bucket", "block", "label", "component", "least", "most"), "placed-classes")
     blocks = placed.select("bucket", "block").distinct()
     one, two = blocks.withColumnRenamed("block", "one"), blocks.withColumnRenamed("block", "two").withColumnRenamed("bucket", "bucket2")
     same = F.col("one.big") & F.col("two.big") & (F.col("one.component") == F.col("two.component"))
