@@ -155,14 +155,20 @@ def touched_days(df: DataFrame, at: str = "created_at") -> DataFrame:
     return df.select(F.to_date(at).alias("created_date")).distinct()
 
 
+def in_touched(stored: DataFrame, touched: DataFrame) -> DataFrame:
+    """Stored rows of the touched partitions; the partition of a missing day is one of them."""
+    other = touched.select(*[F.col(c).alias(f"touched_{c}") for c in touched.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"touched_{c}")) for c in touched.columns]
+    return stored.join(other, same, "left_semi")
+
+
 def apply_comments(root: str, stored: DataFrame, records: DataFrame) -> None:
     """Merge a batch into the stored comments, rewriting only its days.
 
     The comment time is part of the key, so a record can only meet stored rows
     of its own day; the other days are neither read nor written.
     """
-    days = touched_days(records, "comment_timestamp")
-    part = stored.join(F.broadcast(days), "created_date", "left_semi").drop("created_date")
+    part = in_touched(stored, touched_days(records, "comment_timestamp")).drop("created_date")
     merged = merge_comments(part, records).drop("action", "n_records")
     overwrite_partitions(merged, root, "comments")
 
@@ -175,13 +181,15 @@ def merge_signals(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Both sides carry the deterministic signal id, in which a missing entity is
     a value like any other, so this is a plain equi-join. The value of a topic
-    belongs to its key.
+    belongs to its key. A signal that ``new`` repeats counts once; columns that
+    only ``old`` has keep their values.
     """
-    cols = [c for c in old.columns if c in new.columns]
-    joined = old.select(cols).alias("o").join(new.select(cols).alias("n"), F.col("o.signal_id") == F.col("n.signal_id"), "full_outer")
+    both = [c for c in old.columns if c in new.columns]
+    once = new.select(both).dropDuplicates(["signal_id"])
+    joined = old.alias("o").join(once.alias("n"), F.col("o.signal_id") == F.col("n.signal_id"), "full_outer")
     hit = F.col("n.signal_id").isNotNull()
     return joined.select(*[
-        F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in cols
+        F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in both else F.col(f"o.{c}").alias(c) for c in old.columns
     ])
 
 
@@ -191,7 +199,7 @@ def apply_signals(root: str, stored: DataFrame, new: DataFrame) -> None:
     ``new`` carries ``comment_date``, the day of the comment.
     """
     parts = new.select("signal_type", "comment_date").distinct()
-    touched = stored.join(F.broadcast(parts), ["signal_type", "comment_date"], "left_semi")
+    touched = in_touched(stored, parts)
     overwrite_partitions(merge_signals(touched, new), root, "extracted_signals")
 
 

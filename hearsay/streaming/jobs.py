@@ -29,16 +29,13 @@ def _start(df: DataFrame, batch, checkpoint: str, mode: str = "append", **trigge
 
 
 def ingest_stream(
-    records: DataFrame, root: str, checkpoint: str, delay: str = "7 days", dedup: bool = True, **trigger
+    records: DataFrame, root: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Merge raw comment records into the stored posts and comments.
 
-    With ``dedup``, exact repeats are dropped within the delay before the merge;
-    a repeat with other likes is an update and passes. The merge itself is
-    idempotent either way and rewrites only the touched partitions.
+    The merge is idempotent and rewrites only the touched partitions, so records
+    need no watermark: late ones and likes that return to an earlier value count.
     """
-    key = ["platform", "external_post_id", "comment_author", "comment_text", "comment_timestamp", "like_count"]
-    fresh = records.withWatermark("comment_timestamp", delay).dropDuplicatesWithinWatermark(key) if dedup else records
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -50,18 +47,21 @@ def ingest_stream(
         finally:
             held.unpersist()
 
-    return _start(fresh, merge, checkpoint, **trigger)
+    return _start(records, merge, checkpoint, **trigger)
 
 
 def enrich_stream(
     comments: DataFrame, entities: DataFrame, posts: DataFrame | None, root: str, checkpoint: str,
     run_ts: Column, **trigger,
 ) -> StreamingQuery:
-    """Match and score new comments against a static catalog and merge the signals."""
+    """Match and score new comments against a static catalog and merge the signals.
+
+    A comment that a batch delivers more than once counts once.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        held = batch.persist()
+        held = batch.dropDuplicates(["comment_id"]).persist()
         try:
             days = held.select("comment_id", F.to_date("created_at").alias("comment_date"))
             signals = rule_signals(held, entities, posts, run_ts).join(days, "comment_id")

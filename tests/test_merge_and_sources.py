@@ -180,3 +180,28 @@ def test_partition_overwrite_is_repeatable(spark, rows):
     for _ in range(2):
         overwrite_partitions(df, root, "comments")
     assert read_tables(spark, root, ["comments"]).comments.count() == 1
+
+
+def test_comments_without_a_time_survive_a_later_batch(spark):
+    """The partition of the missing day is merged, not replaced."""
+    root = scratch_path(spark, "null-day")
+    write_table(spark.createDataFrame([], POSTS), root, "posts")
+    write_table(spark.createDataFrame([], COMMENTS), root, "comments")
+    for author in ("ann", "bob"):
+        row = ("instagram", "P1", "u", None, "s", author, "hi", None, 1, "raw", False, 1)
+        stored = read_tables(spark, root, ["comments"])
+        mg.apply_comments(root, stored.comments, spark.createDataFrame([row], RAW_COMMENT))
+    kept = read_tables(spark, root, ["comments"]).comments
+    assert sorted(r.author_name for r in kept.collect()) == ["ann", "bob"]
+
+
+def test_a_repeated_signal_is_inserted_once(spark):
+    row = ("s1", "c1", None, "topic", "x", None, 1.0, 1.0, "m", _ts("2024-01-01 00:00:00"))
+    names = ["signal_id", "comment_id", "entity_id", "signal_type", "value", "numeric_value", "weight_score", "confidence", "source_model", "created_at"]
+    kind = SIGNALS
+    if set(names) <= {f.name for f in SIGNALS.fields}:
+        from pyspark.sql.types import StructType
+
+        kind = StructType([SIGNALS[n] for n in names])
+    new = spark.createDataFrame([row, row], kind)
+    assert mg.merge_signals(spark.createDataFrame([], kind), new).count() == 1

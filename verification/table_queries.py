@@ -527,7 +527,7 @@ def _(c):
         F.concat(F.lit("says "), "event_type").alias("comment_text"), F.to_date("ts").cast("timestamp").alias("comment_timestamp"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("like_count"), F.lit("{}").alias("raw"), F.lit(False).alias("has_post_metadata"),
         F.col("event_id").alias("seq"))
-    jobs.ingest_stream(live, root, scratch_path(c.spark, "progress"), dedup=False).awaitTermination()
+    jobs.ingest_stream(live, root, scratch_path(c.spark, "progress")).awaitTermination()
     stored = read_tables(c.spark, root, ["posts", "comments"])
     codes = stored.posts.select("post_id", F.col("external_id").alias("code"))
     return stored.comments.join(codes, "post_id").select("code", "author_name", "text", F.unix_micros("created_at").alias("created_at"), "likes")
