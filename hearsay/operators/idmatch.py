@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import post_id_from_url, rounded_id_prefix
-from hearsay.operators.textsearch import find_terms
 
 
 def keep_last(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
@@ -139,34 +138,39 @@ def attach_urls(df: DataFrame, urls: DataFrame | None, media_id: str = "media_id
     ).drop("_mid", "_url")
 
 
-def assign_requests(items: DataFrame, requests: DataFrame, key: str = "pk") -> DataFrame:
+def assign_requests(items: DataFrame, requests: DataFrame) -> DataFrame:
     """The requested url each feed item answers.
 
     ``requests``: (ord, url). The first url, in order, that is part of the
     item's url or contains its media id; without one, the first url of all.
+
+    Containment is an equi-join: the pieces of a text that are as long as some
+    sought string meet that string itself. Urls differ little in length, so a
+    url has few such pieces. Distinct urls and ids are matched, not items.
     """
     item_url = F.coalesce(F.nullif("post_url", F.lit("")), F.nullif("url", F.lit("")))
-    keyed = items.select(F.col(key).alias("_k"), item_url.alias("_url"), F.col("media_id").alias("_mid"))
-    wanted = requests.select("ord", F.col("url").alias("_request"))
-
-    # The text search ignores case; a url must agree exactly.
-    urls = keyed.filter("_url is not null").select("_k", "_url", F.col("_url").alias("_text"))
-    by_url = find_terms(urls, "_text", wanted.withColumn("term", F.lower("_request"))).filter(
-        F.contains("_url", "_request")
-    )
-    ids = keyed.filter("_mid <> ''").select(F.col("_mid").alias("ord"), F.lower("_mid").alias("term")).distinct()
-    by_id = find_terms(
-        wanted.select(F.col("ord").alias("_at"), "_request", F.col("_request").alias("_text")), "_text", ids
-    ).filter(F.contains("_request", "ord")).select(F.col("ord").alias("_mid"), F.col("_at").alias("ord"), "_request")
+    keyed = items.withColumn("_url", item_url)
+    first = F.struct(F.col("ord"), F.col("url").alias("request"))
+    wanted = requests.groupBy("url").agg(F.min("ord").alias("ord"))
+
+    def pieces(texts: DataFrame, text: str, sought: DataFrame, column: str) -> DataFrame:
+        lengths = sought.agg(F.collect_set(F.length(column)).alias("n")).scalar()
+        each = texts.withColumn("_lengths", lengths).withColumn("_n", F.explode("_lengths")).filter(F.col("_n") <= F.length(text))
+        starts = F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)
+        cut = F.transform(starts, lambda at: F.col(text).substr(at, F.col("_n")))
+        return each.withColumn(column, F.explode(cut)).drop("_lengths", "_n")
+
+    urls = keyed.select("_url").filter("_url is not null").distinct()
+    parts = pieces(urls, "_url", wanted, "url")
+    by_url = parts.join(wanted, "url").groupBy("_url").agg(F.min(first).alias("_by_url"))
+    ids = keyed.select(F.col("media_id").alias("_mid")).filter("_mid <> ''").distinct()
+    parts = pieces(wanted, "url", ids, "_mid")
+    by_id = parts.join(ids, "_mid").groupBy("_mid").agg(F.min(first).alias("_by_id"))
 
-    hits = by_url.select("_k", "ord", "_request").unionByName(
-        keyed.join(by_id, "_mid").select("_k", "ord", "_request")
-    )
-    first = hits.groupBy("_k").agg(F.min(F.struct("ord", "_request")).alias("f"))
     default = requests.agg(F.min_by("url", "ord").alias("u")).scalar()
-    return items.join(first, items[key] == first["_k"], "left").withColumn(
-        "request_url", F.coalesce("f._request", default)
-    ).drop("_k", "f")
+    found = keyed.join(by_url, "_url", "left").join(by_id, F.col("media_id") == F.col("_mid"), "left")
+    request = F.coalesce(F.least("_by_url", "_by_id")["request"], default)
+    return found.withColumn("request_url", request).select(*items.columns, "request_url")
 
 
 def due_for_refresh(posts: DataFrame, tracker: DataFrame, as_of: Column, max_age_hours: int = 24) -> DataFrame:

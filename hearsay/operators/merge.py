@@ -259,9 +259,18 @@ _REVIEW_UPDATES = ("confidence", "possible_entities", "reason")
 
 
 def merge_reviews(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Queue new items; an item still waiting for the same mention is refreshed."""
+    """Queue new items; an item still waiting for the same mention is refreshed.
+
+    A mention that was reviewed before is queued under an id of its own, with
+    the number of earlier reviews, so that a decision meets one row.
+    """
     waiting = ~F.coalesce(F.col("o.reviewed"), F.lit(False))
     same = (F.col("o.comment_id") == F.col("n.comment_id")) & (F.col("o.entity_mention") == F.col("n.entity_mention"))
+    if "review_id" in new.columns:
+        before = old.filter("reviewed").groupBy("comment_id", "entity_mention").agg(F.count(F.lit(1)).alias("_reviews"))
+        again = F.concat("review_id", F.lit("-"), F.col("_reviews").cast("string"))
+        counted = new.join(before, ["comment_id", "entity_mention"], "left")
+        new = counted.withColumn("review_id", F.coalesce(again, "review_id")).select(new.columns)
     joined = old.alias("o").join(new.alias("n"), same & waiting, "full_outer")
     known, hit = F.col("o.comment_id").isNotNull(), F.col("n.comment_id").isNotNull()
 
@@ -280,23 +289,24 @@ def review_decisions(queue: DataFrame, decisions: DataFrame, likes: DataFrame, r
 
     ``decisions``: (review_id, decision, assigned_entity_id, score, reviewed_by);
     ``likes``: (comment_id, weight_score). An assignment is certain, so its
-    confidence is 1; ``ignore`` and ``new_entity`` give no signal.
+    confidence is 1; ``ignore`` and ``new_entity`` give no signal. Items that
+    were reviewed before keep their decision and give no further signal.
     """
     d = decisions.select(
         "review_id", F.col("decision").alias("_decision"), F.col("assigned_entity_id").alias("_entity"),
         F.col("score").alias("_score"), F.col("reviewed_by").alias("_by"),
     )
     joined = queue.join(d, "review_id", "left")
-    decided = F.col("_decision").isNotNull()
+    decided = F.col("_decision").isNotNull() & ~F.coalesce("reviewed", F.lit(False))
     changes = {
-        "reviewed": F.when(decided, F.lit(True)).otherwise(F.col("reviewed")),
+        "reviewed": decided | F.coalesce("reviewed", F.lit(False)),
         "reviewed_at": F.when(decided, run_ts).otherwise(F.col("reviewed_at")),
-        "reviewed_by": F.coalesce("_by", "reviewed_by"),
-        "decision": F.coalesce("_decision", "decision"),
-        "assigned_entity_id": F.coalesce("_entity", "assigned_entity_id"),
+        "reviewed_by": F.when(decided, F.coalesce("_by", "reviewed_by")).otherwise(F.col("reviewed_by")),
+        "decision": F.when(decided, F.col("_decision")).otherwise(F.col("decision")),
+        "assigned_entity_id": F.when(decided, F.coalesce("_entity", "assigned_entity_id")).otherwise(F.col("assigned_entity_id")),
     }
     updated = joined.select(*[changes.get(c, F.col(c)).alias(c) for c in queue.columns])
-    assigned = joined.filter(F.col("_decision") == "assign").join(likes.select("comment_id", "weight_score"), "comment_id")
+    assigned = joined.filter(decided & (F.col("_decision") == "assign")).join(likes.select("comment_id", "weight_score"), "comment_id")
     rows = assigned.select(
         "comment_id", F.col("_entity").alias("entity_id"), F.lit("sentiment").alias("signal_type"),
         sentiment_label(F.col("_score")).alias("value"), F.col("_score").cast("double").alias("numeric_value"),

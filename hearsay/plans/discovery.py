@@ -9,7 +9,6 @@ from hearsay.functions.text import is_reported_name
 from hearsay.operators.textsearch import find_terms
 from hearsay.plans.analytics import top_entities
 from hearsay.plans.facts import window_comments, window_signals
-from hearsay.session import checkpointed
 from hearsay.tables import Tables
 
 
@@ -35,21 +34,17 @@ def unmonitored(discovered: DataFrame, monitored: DataFrame, monitored_name: str
 def dynamic_entities(
     t: Tables, start, end, min_mentions: int = 10, platforms: list[str] | None = None, limit: int = 50
 ) -> DataFrame:
-    """Monitored entities and frequent discovered names in one ranking."""
-    # Staged: it is both one part of the ranking and the names to leave out below.
-    monitored = checkpointed(
-        top_entities(t, start, end, platforms, limit * 2).withColumn("is_monitored", F.lit(True))
-    )
+    """Monitored entities and frequent discovered names in one ranking.
 
-    candidates = (
-        t.discovered_entities.filter(F.col("mention_count") >= min_mentions)
-        .orderBy(F.desc("mention_count"), "name")
-        .limit(limit * 3)
-        .filter(is_reported_name(F.col("name")))
-        .select("name", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
-    )
-    fresh = unmonitored(candidates, monitored, "entity_name")
-    mentions = name_mentions(t, fresh, start, end, platforms, bounded=True)
+    Every discovered name that is tallied often enough, may be reported and is
+    not in the catalog is counted in the window; ``limit`` cuts the ranking only.
+    """
+    monitored = top_entities(t, start, end, platforms, limit).withColumn("is_monitored", F.lit(True))
+
+    candidates = t.discovered_entities.filter(
+        (F.col("mention_count") >= min_mentions) & is_reported_name(F.col("name"))
+    ).select("name", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
+    mentions = name_mentions(t, unmonitored(candidates, t.monitored_entities), start, end, platforms)
 
     # One pass per comment and name: the left join keeps unscored mentions, and
     # the per-comment sums let both counts come out of a single aggregation.

@@ -1,4 +1,4 @@
-"""Recurring storylines among the most liked comments of a window."""
+"""Recurring storylines among the comments of a window."""
 
 from __future__ import annotations
 
@@ -27,33 +27,42 @@ def storyline_counts(
 ) -> DataFrame:
     """Whole-word hits of each storyline over the texts, the most frequent first."""
     names = storylines or fv.STORYLINES
-    listed = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("storyline")) for i, s in enumerate(names)])
-    texts = comments.select(F.lower("text").alias("_text"), F.explode(listed).alias("s"))
-    word = F.concat(F.lit(r"(?U)\b"), F.col("s.storyline"), F.lit(r"\b"))
-    counts = texts.groupBy("s.ord", "s.storyline").agg(F.sum(F.regexp_count("_text", word)).alias("mention_count"))
+    text = F.lower("text")
+    hits = [F.sum(F.regexp_count(text, F.lit(rf"(?U)\b{s}\b"))).alias(f"_{i}") for i, s in enumerate(names)]
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(s).alias("storyline"), F.col(f"_{i}").alias("mention_count")) for i, s in enumerate(names)
+    ])
+    # One row of sums: texts are neither repeated nor shuffled.
+    counts = comments.agg(*hits).select(F.inline(listed))
     return counts.filter(F.col("mention_count") >= min_hits).orderBy(F.desc("mention_count"), "ord").limit(keep)
 
 
 def storylines(
-    t: Tables, start, end, top: DataFrame, names: list[str] | None = None, min_likes: int = fv.STORYLINE_MIN_LIKES,
-    limit: int = fv.STORYLINE_COMMENTS,
+    t: Tables, start, end, top: DataFrame, names: list[str] | None = None, min_likes: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Storylines with the top entities that share at least two comments with them.
 
     ``top`` is a bounded ranking (``rank``, ``entity_name``). Counting is by
-    whole words; sharing a comment is by containment.
+    whole words; sharing a comment is by containment. All comments of the window
+    count, unless ``min_likes`` or ``limit`` ask for the most liked ones only.
     """
-    # Staged: a few hundred rows that the counts and the pairs both read.
-    comments = checkpointed(engaged_comments(t, start, end, min_likes, limit).select("comment_id", "text"))
-    counts = storyline_counts(comments, names)
+    comments = window_comments(t, start, end)
+    if min_likes is not None:
+        comments = comments.filter(F.col("likes") >= min_likes)
+    if limit is not None:
+        # Staged: a few rows that the counts and the pairs both read.
+        comments = checkpointed(comments.orderBy(F.desc("likes"), "comment_id").limit(limit).select("comment_id", "text"))
+    # Staged: a handful of rows that are read three times, each a scan of the texts otherwise.
+    counts = checkpointed(storyline_counts(comments, names))
     lines = packed(counts.select("ord", "storyline", F.lower("storyline").alias("term")), "ord")
     people = packed(top.select("rank", "entity_name", F.lower("entity_name").alias("term")), "rank")
-    staged = comments.select("comment_id", F.lower("text").alias("_text")).withColumn("_lines", lines).withColumn("_people", people)
-    pairs = staged.select("comment_id", "_text", "_people", F.explode_outer("_lines").alias("line")).filter(
-        F.contains("_text", "line.term")
-    ).select("comment_id", "_text", "line.storyline", F.explode_outer("_people").alias("who")).filter(
-        F.contains("_text", "who.term")
+    texts = comments.select(F.lower("text").alias("_text"), lines.alias("_lines"), people.alias("_people"))
+    met = texts.select(
+        F.filter("_lines", lambda x: F.contains(F.col("_text"), x["term"])).alias("_lines"),
+        F.filter("_people", lambda x: F.contains(F.col("_text"), x["term"])).alias("_people"),
     )
+    pairs = met.select("_people", F.explode("_lines").alias("line")).select("line.storyline", F.explode("_people").alias("who"))
     linked = (
         pairs.groupBy("storyline", "who.rank", "who.entity_name")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -122,6 +122,35 @@ def test_review_merge_opens_a_new_item_after_review(spark, rows):
     assert rows(mg.merge_reviews(old, new), "comment_id", "reason", "reviewed") == [("c1", "new", False), ("c2", "new", False), ("c2", "old", True)]
 
 
+def test_one_decision_on_a_mention_queued_again_gives_one_signal(spark, rows):
+    fill = {"review_id": "r1", "comment_id": "c1", "entity_mention": "Ryan", "reviewed": False}
+    new = spark.createDataFrame([tuple(fill.get(f.name) for f in REVIEW_QUEUE.fields)], REVIEW_QUEUE)
+    likes = spark.createDataFrame([("c1", 1.0)], "comment_id string, weight_score double")
+
+    def decide(queue, review_id, entity):
+        decisions = spark.createDataFrame(
+            [(review_id, "assign", entity, 0.5, "ann")], "review_id string, decision string, assigned_entity_id string, score double, reviewed_by string")
+        return mg.review_decisions(queue, decisions, likes, F.timestamp_seconds(F.lit(0)))
+
+    first, signals = decide(mg.merge_reviews(spark.createDataFrame([], REVIEW_QUEUE), new), "r1", "e1")
+    assert signals.count() == 1
+    queued = mg.merge_reviews(first, new)
+    assert rows(queued, "review_id", "reviewed") == [("r1", True), ("r1-1", False)]
+    assert decide(queued, "r1", "e2")[1].count() == 0
+    second, signals = decide(queued, "r1-1", "e2")
+    assert rows(signals, "entity_id") == [("e2",)]
+    assert rows(second, "review_id", "assigned_entity_id") == [("r1", "e1"), ("r1-1", "e2")]
+
+
+def test_requests_are_found_wherever_the_url_holds_them(spark, rows):
+    requests = spark.createDataFrame([(1, "i.com/p/AB"), (2, "https://i.com/p/ABC"), (3, "https://i.com/3773"), (4, "i.com/p/AB")], "ord int, url string")
+    items = spark.createDataFrame(
+        [("a", "https://i.com/p/ABCD/", None, ""), ("b", "", "https://i.com/p/Z", "3773"), ("c", None, None, None), ("d", "https://i.com/P/AB", None, "9"), ("a", "https://i.com/p/ABCD/", None, "")],
+        "pk string, post_url string, url string, media_id string")
+    got = rows(im.assign_requests(items, requests), "pk", "request_url")
+    assert got == [("a", "i.com/p/AB"), ("a", "i.com/p/AB"), ("b", "https://i.com/3773"), ("c", "i.com/p/AB"), ("d", "i.com/p/AB")]
+
+
 # ----------------------------------------------------------------- sources
 
 

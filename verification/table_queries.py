@@ -356,7 +356,7 @@ def _(c):
 @query("b11_review_decisions", """SELECT comment_id, entity_id, value, numeric_value, weight_score FROM (
     SELECT CAST(event_id AS VARCHAR) AS comment_id, CAST(user_id % 25 AS VARCHAR) AS entity_id, x AS numeric_value, CAST(128 + k AS DOUBLE) / 128 AS weight_score,
       CASE WHEN x >= 0.7 THEN 'Strongly Positive' WHEN x >= 0.3 THEN 'Positive' WHEN x > -0.3 THEN 'Neutral' WHEN x > -0.7 THEN 'Negative' ELSE 'Strongly Negative' END AS value
-    FROM scored WHERE user_id % 3 = 0) d""")
+    FROM scored WHERE user_id % 3 = 0 AND event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')) d""")
 def _(c):
     decisions = c.sql("SELECT event_id, user_id, x FROM scored").select(
         F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("review_id"),

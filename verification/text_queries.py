@@ -451,7 +451,7 @@ _F13 = f"""
       CAST(sum(w.likes) AS BIGINT) AS total_likes, sum(numeric_value * weight_score) / sum(weight_score) AS weighted_sentiment, true AS is_monitored
     FROM mon m JOIN win w ON w.comment_id = m.comment_id JOIN catalog c ON c.entity_id = m.entity_id GROUP BY c.entity_id, c.name),
   cand AS (SELECT name, coalesce(entity_type, 'unknown') AS entity_type FROM found_names WHERE mention_count >= 10 AND lower(name) NOT IN ({listed(fv.REPORT_BLOCKLIST)})
-    AND regexp_matches(name, '\\p{{L}}') AND lower(name) NOT IN (SELECT lower(entity_name) FROM top)),
+    AND regexp_matches(name, '\\p{{L}}') AND lower(name) NOT IN (SELECT lower(name) FROM catalog)),
   men AS (SELECT n.name, n.entity_type, w.comment_id, w.likes FROM win w JOIN cand n ON contains(lower(w.text), lower(n.name))),
   vol AS (SELECT name, entity_type, count(*) AS mention_count, CAST(sum(likes) AS BIGINT) AS total_likes FROM men GROUP BY name, entity_type HAVING count(*) >= 10),
   sen AS (SELECT name, avg(numeric_value) AS a, sum(numeric_value * weight_score) / sum(weight_score) AS w FROM men
@@ -491,13 +491,13 @@ _WORDLINES = ["the of", "this", "retion", "und", "les", "thing"]
 def _story_sql() -> str:
     lines = " UNION ALL ".join(f"SELECT {i} AS ord, '{w}' AS line" for i, w in enumerate(_WORDLINES))
     return f"""
-  WITH top200 AS (SELECT comment_id, lower(text) AS t FROM tcomments
-    WHERE likes >= 10 AND created_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '{END}' ORDER BY likes DESC, comment_id LIMIT 200),
+  WITH said AS (SELECT comment_id, lower(text) AS t FROM tcomments
+    WHERE created_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '{END}'),
   lines AS ({lines}),
   hits AS (SELECT ord, line, CAST(sum(len(regexp_extract_all(concat(' ', regexp_replace(t, '[^\\p{{L}}\\p{{N}}_]', '  ', 'g'), ' '), concat(' ', replace(line, ' ', '  '), ' ')))) AS BIGINT) AS n
-    FROM top200, lines GROUP BY ord, line HAVING sum(len(regexp_extract_all(concat(' ', regexp_replace(t, '[^\\p{{L}}\\p{{N}}_]', '  ', 'g'), ' '), concat(' ', replace(line, ' ', '  '), ' ')))) >= 3
+    FROM said, lines GROUP BY ord, line HAVING sum(len(regexp_extract_all(concat(' ', regexp_replace(t, '[^\\p{{L}}\\p{{N}}_]', '  ', 'g'), ' '), concat(' ', replace(line, ' ', '  '), ' ')))) >= 3
     ORDER BY n DESC, ord LIMIT 5),
-  who AS (SELECT h.line, c.name, c.entity_id, count(*) AS k FROM hits h JOIN top200 ON contains(t, h.line) JOIN catalog c ON contains(t, lower(c.name)) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+  who AS (SELECT h.line, c.name, c.entity_id, count(*) AS k FROM hits h JOIN said ON contains(t, h.line) JOIN catalog c ON contains(t, lower(c.name)) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
   named AS (SELECT line, list_aggregate(list(name ORDER BY entity_id)[1:3], 'string_agg', ', ') AS entities FROM who GROUP BY line)
   SELECT array_to_string(list_transform(string_split(h.line, ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') AS storyline, n AS mention_count,
     coalesce(entities, 'General') AS entities, round_even(n * 100::DOUBLE / (SELECT max(n) FROM hits), 1) AS intensity,
