@@ -20,7 +20,7 @@ HEADLINE = [
     "f12_post_distribution", "f13_dynamic_entities", "f14_platform_breakdown", "f15_score_distribution",
     "f16_platform_deltas", "f17_storylines", "g1_toxicity_alerts", "g2_top_comments", "d2_rule_scores",
     "d11_catalog_mentions", "d16_validated_scores", "d17_signal_fanout", "b1_post_upsert", "b2_comment_upsert",
-    "b4_signal_upsert", "e2_rounded_ids",
+    "b4_signal_upsert", "e2_rounded_ids", "e11_requested_urls",
 ]
 
 
