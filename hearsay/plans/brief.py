@@ -297,16 +297,27 @@ def build_brief(
     }
 
 
+# What orders the items of sections that do not lead with a rank.
+ITEM_ORDER = {
+    "top_entities": ["rank"],
+    "discovered_entities": ["-mention_count"],
+    "topic_clusters": ["-mentions"],
+    "toxicity_alerts": ["-toxicity", "likes is null", "-likes"],
+    "storylines": ["-mention_count"],
+}
+
+
 def brief_rows(sections: dict[str, DataFrame]) -> DataFrame:
-    """One row per section: name, title and its items as a JSON array.
+    """One row per section: name, title and its items as a JSON array, in their order.
 
     Sections are bounded by the limits of the brief, so each fits one array.
     """
     out = None
     keep_nulls = {"ignoreNullFields": "false"}
     for name, df in sections.items():
+        order = [F.expr(key).alias(f"_{i}") for i, key in enumerate(ITEM_ORDER.get(name, []))]
         # Maps cannot be ordered; the section that has one leads with its rank.
-        first = [F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]
+        first = order + [F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]
         rows = F.array_sort(F.collect_list(F.struct(F.struct(*first).alias("k"), F.to_json(
             F.struct(*df.columns), keep_nulls).alias("item"))))
         listed = df.agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.transform(rows, lambda r: r["item"]), ",").alias("_items"))

@@ -121,6 +121,16 @@ def test_brief(tables):
     assert brief["topline_summary"]["items"][0]["velocity_alerts_count"] == 2
 
 
+def test_items_of_a_section_keep_their_ranking(spark):
+    topics = spark.createDataFrame([("alpha", 1), ("zeta", 9), ("beta", 9)], "topic string, mentions long")
+    alerts = spark.createDataFrame([("c1", 0.7, 5), ("c2", 0.9, None), ("c3", 0.9, 1)], "comment_id string, toxicity double, likes long")
+    import json
+
+    shown = {r.section: json.loads(r["items"]) for r in br.brief_rows({"topic_clusters": topics, "toxicity_alerts": alerts}).collect()}
+    assert [i["topic"] for i in shown["topic_clusters"]] == ["beta", "zeta", "alpha"]
+    assert [i["comment_id"] for i in shown["toxicity_alerts"]] == ["c3", "c2", "c1"]
+
+
 def test_metric_percentiles(spark):
     values = spark.createDataFrame([("t", "timing", float(i), NOW + timedelta(seconds=i)) for i in range(1200)], "metric string, kind string, value double, at timestamp")
     r = qa.metric_summary(values).first()
