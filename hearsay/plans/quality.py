@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.labels import completeness_band
 from hearsay.plans.analytics import top_entities
+from hearsay.session import checkpointed
 from hearsay.tables import Tables
 
 KEPT_VALUES = 1000
@@ -57,30 +58,36 @@ def freshness(t: Tables) -> DataFrame:
 
 
 def latest_values(metrics: DataFrame, kept: int = KEPT_VALUES) -> DataFrame:
-    """The last ``kept`` values of every metric."""
+    """A report of the last ``kept`` values of every metric."""
     order = Window.partitionBy("metric").orderBy(F.desc("at"), F.desc("value"))
     return metrics.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= kept).drop("_n")
 
 
-def metric_summary(metrics: DataFrame, kept: int = KEPT_VALUES) -> DataFrame:
-    """Count, mean, extremes and floor-index percentiles of the latest values.
+def metric_summary(metrics: DataFrame, kept: int | None = None) -> DataFrame:
+    """Count, mean, extremes and floor-index percentiles of all values, or of the latest ``kept`` of each metric.
 
-    The ranking keeps at most ``kept`` values per metric before anything is
-    gathered, so the sorted list below is bounded by that number.
+    Equal values are counted first. The distinct values are sorted over all tasks and
+    their counts added up in two steps, within tasks and over the tasks' totals, so no
+    task holds a whole metric. NULL values are left out.
     """
-    listed = latest_values(metrics, kept).groupBy("metric").agg(
-        F.avg("value").alias("mean"), F.sort_array(F.collect_list("value")).alias("_v")
+    values = (metrics if kept is None else latest_values(metrics, kept)).filter("value is not null")
+    counted = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Staged, for which task holds a value has to stay the same.
+    ranged = checkpointed(counted.repartitionByRange("metric", "value").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("metric", "part").agg(F.sum("n").alias("part_n"))
+    before = Window.partitionBy("metric").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("part_n").over(before), F.lit(0))).drop("part_n")
+    totals = values.groupBy("metric").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    n = F.size("_v")
+    within = Window.partitionBy("metric", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.join(parts, ["metric", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(within)).join(totals, "metric")
 
     def at(share: float) -> Column:
-        return F.element_at("_v", (F.floor(n * F.lit(share)) + 1).cast("int"))
+        index = F.floor(F.col("count") * F.lit(share))
+        return F.max(F.when((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index), F.col("value")))
 
-    return listed.select(
-        "metric", n.cast("bigint").alias("count"), "mean",
-        F.element_at("_v", 1).alias("min"), F.element_at("_v", -1).alias("max"),
-        at(0.50).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"),
-    )
+    return placed.groupBy("metric", "count", "mean", "min", "max").agg(at(0.50).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def counters(metrics: DataFrame) -> DataFrame:

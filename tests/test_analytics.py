@@ -133,8 +133,12 @@ def test_items_of_a_section_keep_their_ranking(spark):
 
 def test_metric_percentiles(spark):
     values = spark.createDataFrame([("t", "timing", float(i), NOW + timedelta(seconds=i)) for i in range(1200)], "metric string, kind string, value double, at timestamp")
-    r = qa.metric_summary(values).first()
+    r = qa.metric_summary(values, kept=1000).first()
     assert (r["count"], r["min"], r["max"], r.p50, r.p95, r.p99) == (1000, 200.0, 1199.0, 700.0, 1150.0, 1190.0)
+    rows = {r.metric: r for r in qa.metric_summary(values.unionByName(values).unionByName(values.filter("value < 2").withColumn("metric", F.lit("few")))).collect()}
+    r = rows["t"]
+    assert (r["count"], r["min"], r["max"], r.p50, r.p95, r.p99) == (2400, 0.0, 1199.0, 600.0, 1140.0, 1188.0)
+    assert (rows["few"].p50, rows["few"].p99, rows["few"]["mean"]) == (1.0, 1.0, 0.5)
 
 
 def test_hourly_velocity_skips_gaps(spark):

@@ -292,9 +292,8 @@ def _(c):
 
 
 @query("f22_metric_summary", """
-  WITH m AS (SELECT event_type AS metric, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS rn FROM events),
-  k AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value) AS i,
-    count(*) OVER (PARTITION BY metric) AS n FROM m WHERE rn <= 1000)
+  WITH k AS (SELECT event_type AS metric, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i,
+    count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
   SELECT metric, max(n) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max,
     max(CASE WHEN i = floor(n * 0.50) + 1 THEN value END) AS p50,
     max(CASE WHEN i = floor(n * 0.95) + 1 THEN value END) AS p95,

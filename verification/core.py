@@ -84,13 +84,23 @@ VIEWS = {
         SELECT s.comment_id, s.entity_id, s.signal_type, s.value, s.numeric_value, s.weight_score,
           c.post_id, c.created_at, c.likes
         FROM signals s JOIN comments c ON s.comment_id = c.comment_id""",
-    # Text side: documents as comments on posts whose caption opens a conversation.
+    # Text side: every event as a comment with the text of a document, on posts whose
+    # caption opens a conversation.
+    "text_keys": """
+        SELECT *, event_id % (SELECT count(*) FROM documents) AS said_id,
+          event_id % (SELECT count(DISTINCT conv_id) FROM conversations) AS conv_id
+        FROM events""",
     "tcomments": """
-        SELECT d.doc_id AS comment_id, d.doc_id % (SELECT count(DISTINCT conv_id) FROM conversations) AS post_id,
+        SELECT e.event_id AS comment_id, e.conv_id AS post_id,
           concat('user_', CAST(e.user_id AS VARCHAR(20))) AS author_name, d.text AS text,
           CAST(e.ts AS TIMESTAMP) AS created_at,
           CAST(regexp_extract(e.props, '([0-9]+)', 1) AS BIGINT) AS likes
-        FROM documents d JOIN events e ON d.doc_id = e.event_id""",
+        FROM text_keys e JOIN documents d ON d.doc_id = e.said_id""",
+    # The source of each text as a name that its comment mentions.
+    "source_mentions": """
+        SELECT d.source AS name, t.*
+        FROM (SELECT *, comment_id % (SELECT count(*) FROM documents) AS said_id FROM tcomments) t
+        JOIN documents d ON d.doc_id = t.said_id""",
     "tposts": """
         SELECT conv_id AS post_id, text AS caption,
           CASE conv_id % 3 WHEN 0 THEN 'instagram' WHEN 1 THEN 'youtube' ELSE 'tiktok' END AS platform,

@@ -128,8 +128,8 @@ _POST_UPDATE = """SELECT platform, external_post_id, post_url, post_caption, at_
     FROM (SELECT *, concat('https://www.instagram.com/p/', code, '/') AS url FROM post_rows) p) u"""
 
 
-def _post_rows(c):
-    return c.view("post_rows").select(
+def _post_rows(c, rows=None):
+    return (c.view("post_rows") if rows is None else rows).select(
         "id", F.col("code").alias("shortCode"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://www.instagram.com/p/"), "code", F.lit("/"))).alias("url"),
         F.col("text").alias("caption"), F.col("epoch").alias("timestamp"), F.col("n_chars").alias("likesCount"),
         F.lit("12").alias("commentsCount"), F.col("lang").alias("type"), F.col("source").alias("ownerUsername"))
@@ -144,8 +144,13 @@ def _(c):
     return _updates(ps.read_post_updates(c.spark, export_csv(c, _post_rows(c), "posts"), run_ts()))
 
 
+def _in_files(df, files=5):
+    """Rows by id over several part files, so that their order is the order of the files."""
+    return df.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+
+
 def _metadata_rows(c):
-    return c.view("post_rows").select(
+    return _in_files(c.view("post_rows")).select(
         F.concat(F.lit("instagram://media?id="), F.when(F.col("doc_id") % 3 == 0, F.col("id")).otherwise(F.concat(F.substring("id", 1, 17), F.lit("77")))).alias("Post_Metadata/al:ios:url"),
         F.col("code").alias("Post_Metadata/shortcode"), F.col("text").alias("Post_Metadata/caption"), F.lit("").alias("Post_Metadata/og:url"),
         F.concat(F.lit("https://www.instagram.com/p/"), "code", F.lit("/")).alias("original_url"),
@@ -174,7 +179,7 @@ def _(c):
 def _(c):
     rows = _post_rows(c)
     doubled = rows.withColumn("caption", F.lit("older")).unionByName(rows).unionByName(rows.withColumn("id", F.lit("")))
-    index = ps.read_post_index(c.spark, export_csv(c, doubled.coalesce(1), "posts"))
+    index = ps.read_post_index(c.spark, export_csv(c, doubled, "posts"))
     return index.select("id", "shortcode", "caption", "likes_count", F.unix_micros("posted_at").alias("at_us"))
 
 
@@ -286,15 +291,15 @@ def _(c):
 
 
 @query("b5_discovered_merge", """
-  WITH m AS (SELECT d.source AS name, t.comment_id, t.created_at, substr(t.text, 1, 200) AS sample, CASE WHEN t.likes < 50 THEN 0 ELSE 1 END AS batch
-    FROM documents d JOIN tcomments t ON t.comment_id = d.doc_id),
+  WITH m AS (SELECT name, comment_id, created_at, substr(text, 1, 200) AS sample, CASE WHEN likes < 50 THEN 0 ELSE 1 END AS batch
+    FROM source_mentions),
   s AS (SELECT *, row_number() OVER (PARTITION BY name, batch ORDER BY created_at, comment_id) AS rn FROM m),
   l AS (SELECT name, list(sample ORDER BY batch, created_at, comment_id) AS samples FROM s WHERE rn <= 10 GROUP BY name)
   SELECT m.name, count(*) AS mention_count, epoch_us(coalesce(min(created_at) FILTER (WHERE batch = 0), min(created_at))) AS first_seen,
     epoch_us(max(created_at)) AS last_seen, md5(list_aggregate(any_value(l.samples)[1:10], 'string_agg', '|')) AS samples
   FROM m JOIN l ON l.name = m.name GROUP BY m.name""")
 def _(c):
-    mentions = c.view("tcomments").join(c.raw("documents").select(F.col("doc_id").alias("comment_id"), F.col("source").alias("name")), "comment_id").withColumn("entity_type", F.lit("ORG"))
+    mentions = c.view("source_mentions").drop("said_id").withColumn("entity_type", F.lit("ORG"))
     empty = c.spark.createDataFrame([], DISCOVERED)
     first = mentions.filter("likes < 50")
     old = mg.merge_discovered(empty, first)
@@ -393,13 +398,19 @@ def _(c):
 
 
 def _posts_and_metadata(c):
-    index = ps.read_post_index(c.spark, export_csv(c, _post_rows(c).filter("likesCount % 2 = 0").withColumn(
+    # Posts of odd length have ids and codes that no metadata row names.
+    known = F.col("n_chars") % 2 == 0
+    rows = _in_files(c.view("post_rows").withColumns({
+        "id": F.when(known, F.col("id")).otherwise(F.concat(F.lit("9"), F.substring("id", 2, 30))),
+        "code": F.when(known, F.col("code")).otherwise(F.concat(F.lit("X"), "code"))}))
+    index = ps.read_post_index(c.spark, export_csv(c, _post_rows(c, rows).withColumn(
         "likesCount", F.when(F.col("likesCount") % 4 == 0, F.col("likesCount"))), "posts"))
-    return index, ps.read_metadata_index(c.spark, export_csv(c, _metadata_rows(c).coalesce(1), "metadata"))
+    return index, ps.read_metadata_index(c.spark, export_csv(c, _metadata_rows(c), "metadata"))
 
 
 @query("e3_metadata_enrichment", """
-  WITH p AS (SELECT *, CASE WHEN n_chars % 4 = 0 THEN n_chars END AS lc FROM post_rows WHERE n_chars % 2 = 0),
+  WITH p AS (SELECT * EXCLUDE (id, code), CASE WHEN n_chars % 2 = 0 THEN id ELSE concat('9', substr(id, 2)) END AS id,
+    CASE WHEN n_chars % 2 = 0 THEN code ELSE concat('X', code) END AS code, CASE WHEN n_chars % 4 = 0 THEN n_chars END AS lc FROM post_rows),
   md AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN id ELSE concat(substr(id, 1, 17), '77') END AS mid FROM post_rows),
   px AS (SELECT substr(id, 1, 15) AS pre, arg_max(id, doc_id) AS id FROM p GROUP BY 1),
   f AS (SELECT md.*, coalesce(e.id, px.id, s.id) AS hit FROM md LEFT JOIN p e ON e.id = md.mid LEFT JOIN px ON px.pre = substr(md.mid, 1, 15) LEFT JOIN p s ON s.code = md.code),
