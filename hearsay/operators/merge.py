@@ -14,7 +14,8 @@ from hearsay.functions.text import clip
 from hearsay.keys import comment_id, post_id
 from hearsay.operators.enrich import finish_signals, last_by_key
 from hearsay.functions.labels import sentiment_label
-from hearsay.tables import overwrite_partitions, post_bucket
+from hearsay.session import checkpointed
+from hearsay.tables import overwrite_partitions, post_bucket, write_table
 
 MAX_SAMPLES = 10
 SAMPLE_LENGTH = 200
@@ -206,6 +207,16 @@ def apply_signals(root: str, stored: DataFrame, new: DataFrame) -> None:
 # -------------------------------------------------- discovered and reviews
 
 
+def replace_table(root: str, name: str, merged: DataFrame) -> None:
+    """Write a merged table over the stored one that it reads.
+
+    For the tables that merges rebuild whole: discovered names, review queue, catalog
+    and tracker. ``merged`` is written to the shared folder first; if the job dies
+    while the table is being replaced, that copy still has all rows.
+    """
+    write_table(checkpointed(merged), root, name)
+
+
 def discovered_totals(mentions: DataFrame) -> DataFrame:
     """Count, first and last sighting and up to ten samples of each name.
 

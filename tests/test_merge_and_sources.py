@@ -234,3 +234,30 @@ def test_a_repeated_signal_is_inserted_once(spark):
         kind = StructType([SIGNALS[n] for n in names])
     new = spark.createDataFrame([row, row], kind)
     assert mg.merge_signals(spark.createDataFrame([], kind), new).count() == 1
+
+
+def test_discovered_names_are_written_back(spark):
+    """A merge is written over the table that it reads; counting the same mentions again changes nothing."""
+    root = scratch_path(spark, "names")
+    write_table(spark.createDataFrame([], DISCOVERED), root, "discovered_entities")
+    kind = "comment_id string, name string, entity_type string, created_at timestamp, text string"
+    first = [("c1", "Ann", "PERSON", _ts("2024-01-01 00:00:00"), "one"), ("c2", "Ann", "PERSON", _ts("2024-01-02 00:00:00"), "two")]
+    runs = [(first, []), (first + [("c3", "Bob", "PERSON", _ts("2024-01-03 00:00:00"), "three")], first)]
+    for mentions, counted in runs:
+        old = read_tables(spark, root, ["discovered_entities"]).discovered_entities
+        both = mg.merge_discovered(old, spark.createDataFrame(mentions, kind), counted=spark.createDataFrame(counted, kind))
+        mg.replace_table(root, "discovered_entities", both)
+    stored = read_tables(spark, root, ["discovered_entities"]).discovered_entities
+    assert sorted((r.name, r.mention_count, r.sample_mentions) for r in stored.collect()) == [("Ann", 2, ["one", "two"]), ("Bob", 1, ["three"])]
+
+
+def test_records_of_many_files_keep_their_order(spark):
+    """Rows are numbered by file name and place in the file; larger files do not come first."""
+    from hearsay.sources.csvfiles import read_strings
+
+    path = scratch_path(spark, "files")
+    df = spark.range(40).select(F.col("id").cast("string").alias("n"), F.repeat(F.lit("x"), (F.col("id") % 7 * 50).cast("int")).alias("fill"))
+    df.repartitionByRange(6, F.col("n").cast("int")).sortWithinPartitions(F.col("n").cast("int")).write.option("header", True).csv(path)
+    got = read_strings(spark, path).orderBy("seq").collect()
+    assert [int(r.n) for r in got] == list(range(40))
+    assert len({r.seq for r in got}) == 40
