@@ -86,6 +86,27 @@ def test_languages_of_odd_rows(spark):
     assert {r.lang_pred for r in language.predict(docs, language.fit(docs.limit(0), F.lit(True))).collect()} == {"und"}
 
 
+def test_long_texts_of_large_scripts_keep_their_language(spark):
+    """30,000 signs of two alphabets of 6,000: more different n-grams than any small map of features has places."""
+    rng = np.random.default_rng(7)
+    odds = 1 / np.arange(1, 6001)
+    rows = [(i, "".join(map(chr, (0x4E00, 0x20000)[i % 2] + rng.choice(6000, 30_000, p=odds / odds.sum()))), ("one", "two")[i % 2]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.predict(docs, language.fit(docs, F.col("doc_id") < 6)).collect()
+    assert [(r.doc_id, r.lang_pred) for r in sorted(found)] == [(i, lang) for i, _, lang in rows]
+    assert min(r.score for r in found) > 0.9
+
+
+def test_kernels_of_landmarks_are_those_of_sets():
+    texts = ["", "a", "abcabc", "Äbc ab", "\U00020000\U00020001x", "zz"]
+    sets = [{t.lower()[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in texts]
+    want = [[len(a & b) / max(1, len(a) * len(b)) ** 0.5 for b in sets[:4]] for a in sets]
+    found = [language.grams(t) for t in texts]
+    assert [len(f) for f in found] == [len(s) for s in sets]
+    marks = language.Landmarks.of(found[:4])
+    assert np.allclose(marks.kernels(found), want) and np.allclose(marks.products(found, np.eye(4)), want)
+
+
 def test_pipeline_stages_do_what_they_decide(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs
