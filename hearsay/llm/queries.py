@@ -39,7 +39,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, path)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, path, added_tokens=True)
     back = token_files.read_token_files(spark, folder)
     return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -16,12 +16,17 @@ row per partition.
 Cases: NULL text is empty; an empty document has the end id alone. Rows that
 repeat an id follow each other (order: text). NULL ids come first. An empty table
 gives no image. Further columns are not read. A document longer than an image
-makes a longer image; documents are never cut.
+makes a longer image; documents are never cut. With ``added_tokens`` the ids are those
+of the tokenizers library on the whole text at its defaults: the vocabulary's added
+tokens, such as ``<|endoftext|>``, are matched in the text first and only what lies
+between them is cut into pieces. Without, texts are all plain text.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -160,9 +165,38 @@ def library_coder(path: str) -> PieceCoder:
     return PieceCoder(encode_many)
 
 
+class AddedTokens:
+    """Encodes texts around the added tokens of a vocabulary as the library does: leftmost first, then longest."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            tokens = json.load(file)["added_tokens"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in tokens):
+            raise ValueError("added tokens that match more or less than their own text are not supported")
+        self.coder = library_coder(path)
+        self.ids = {t["content"]: t["id"] for t in tokens}
+        longest_first = sorted(self.ids, key=len, reverse=True)
+        self.pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if tokens else None
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where the ids of each text end."""
+        # Plain stretches and added tokens take turns; a text starts and ends with a stretch.
+        parts = [self.pattern.split(t) if self.pattern and t else [t] for t in texts]
+        counts = np.array([len(p) for p in parts], np.int64)
+        if counts.sum() == len(texts):
+            return self.coder.encode(texts)
+        ids, ends = self.coder.encode([x for p in parts for x in p[::2]])
+        # Each added token has the place where the stretch before it ends.
+        last = np.cumsum((counts + 1) // 2)
+        follows = np.ones(len(ends), bool)
+        follows[last - 1] = False
+        added = np.array([self.ids[x] for p in parts for x in p[1::2]], ids.dtype)
+        return np.insert(ids, ends[follows], added), ends[last - 1] + np.cumsum(counts // 2)
+
+
 def write_token_files(
     docs: DataFrame, folder: str, path: str, end_id: int = 2,
-    id_col: str = "doc_id", text_col: str = "text", image_ids: int = IMAGE_IDS,
+    id_col: str = "doc_id", text_col: str = "text", image_ids: int = IMAGE_IDS, added_tokens: bool = False,
 ) -> None:
     """Encode whole texts, end each with ``end_id`` and write images in ascending id order below ``folder``."""
     ranged = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -170,7 +204,7 @@ def write_token_files(
     rows = ranged.select(F.spark_partition_id().alias("_part"), "_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = library_coder(path)
+        mine = AddedTokens(path) if added_tokens else library_coder(path)
         stop = struct.pack("<I", end_id)
         names: list[int | None] = []
         texts: list[bytes] = []

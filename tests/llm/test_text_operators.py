@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from hearsay.llm import bpe, exact_dedup, minhash, packing, substring_dedup, token_files
+from hearsay.llm import bpe, exact_dedup, minhash, packing, queries, substring_dedup, token_files
 from hearsay.llm.pieces import split
 from hearsay.session import scratch_path
 
@@ -83,6 +84,22 @@ def test_token_files_round_trip(spark, texts):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_token_files_match_added_tokens_as_the_library(spark, tmp_path):
+    """The query against the library at its defaults, on the whole text."""
+    end = "<|endoftext|>"
+    some = [f"a b{end} c", end, end * 3, f" {end} ", f"{end}x", f"x{end}", f"don{end}'t  {end}\n\n{end} é中", "<|endoftext|", f"<|{end}|>", "", None, "plain text", "<|ENDOFTEXT|>"]
+    rng = random.Random(8)
+    some += ["".join(rng.choices([end, " ", "the", " of", "'s", "\n", "<|", "|>", "中"], k=rng.randint(1, 30))) for _ in range(200)]
+    frame(spark, list(enumerate(some))).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op7_token_files"](spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(LIBRARY)
+    at = 0
+    for row, text in zip(sorted(found), some, strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_blocks_hold_any_ids():
     rng = np.random.default_rng(1)
     for n in (1, 1023, 1024, 5000):
