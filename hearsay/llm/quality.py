@@ -2,13 +2,13 @@
 
 Every token, the hashed word or the shape of the word (runs of upper case, lower
 case, digits, other signs), has a sparse random index vector. A token's vector is
-its index vector plus the index vectors of the tokens around it, summed over a
-sample: random indexing. A document is the mean of its word vectors and of its
+its index vector plus the index vectors of the tokens around it, summed over all
+documents to learn from, labelled or not: random indexing. A document is the mean of its word vectors and of its
 shape vectors, with the log of its number of words and its share of different
 words. A two-layer numpy network scores it; a temperature, fitted on documents
 that training did not see, calibrates the probability.
 
-The model is fitted on at most ``sample_rows`` labelled documents, chosen by a hash
+The network is fitted on at most ``sample_rows`` labelled documents, chosen by a hash
 of the id; word vectors are a table of fixed size, so what is broadcast is bounded.
 Scoring is one narrow pass over whole texts.
 
@@ -34,6 +34,8 @@ from hearsay.llm.words import IS_SPACE, finish, hash_words, text_values
 VOCABULARY_BITS = 14
 DIMENSIONS = 48
 WINDOW = 2
+# Small rows, so that an Arrow batch of them stays small.
+SUM_BLOCKS = 1024
 # Classes of bytes in a shape: lower case and UTF-8 letters, upper case, digits, and each other sign as itself.
 SHAPE = np.arange(256, dtype=np.uint64)
 SHAPE[ord("a"):ord("z") + 1] = SHAPE[128:] = ord("a")
@@ -75,17 +77,27 @@ def token_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (words.hashes >> shift).astype(np.int64), (finish(shape_hashes(texts) + np.uint64(5)) >> shift).astype(np.int64), words.counts
 
 
-def contexts(tokens: np.ndarray, counts: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
+def contexts(tokens: np.ndarray, counts: np.ndarray, index: np.ndarray, into: np.ndarray, block: int = 1 << 16) -> None:
     """Add to each token the index vectors of its neighbours within the text."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    for step in range(1, WINDOW + 1):
-        near = np.nonzero(text[step:] == text[:-step])[0]
-        for here, there in ((near, near + step), (near + step, near)):
-            order = np.argsort(tokens[here], kind="stable")
-            owner = tokens[here][order]
-            first = np.nonzero(np.diff(np.concatenate(([-1], owner))))[0]
-            if len(first):
-                into[owner[first]] += np.add.reduceat(index[tokens[there][order]], first, axis=0)
+    # A token without a vector, WINDOW times, keeps texts apart.
+    none = len(index)
+    apart = np.full(len(tokens) + WINDOW * (len(counts) + 1), none, np.uint16)
+    apart[np.arange(len(tokens)) + WINDOW * (1 + np.repeat(np.arange(len(counts)), counts))] = tokens
+    vectors = np.vstack((index, np.zeros((1, index.shape[1]), index.dtype)))
+    for lo in range(WINDOW, len(apart) - WINDOW, block):
+        hi = min(lo + block, len(apart) - WINDOW)
+        near = vectors[apart[lo - WINDOW:hi + WINDOW]]
+        n = hi - lo
+        around = np.zeros((n, index.shape[1]), index.dtype)
+        for step in range(1, WINDOW + 1):
+            around += near[WINDOW - step:WINDOW - step + n]
+            around += near[WINDOW + step:WINDOW + step + n]
+        order = np.argsort(apart[lo:hi], kind="stable")
+        owner = apart[lo:hi][order]
+        first = np.nonzero(np.diff(owner.astype(np.int64), prepend=-1))[0]
+        sums = np.add.reduceat(around[order], first, axis=0)
+        kept = owner[first] < none
+        into[owner[first][kept]] += sums[kept]
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
@@ -170,8 +182,10 @@ def fit(
 ) -> Model:
     """Fit on at most ``sample_rows`` labelled rows for which ``learn_from``, a condition on the id, holds.
 
-    Ids are chosen before any text is read. Tasks send the sums of context
-    vectors, then the pooled features: sizes that do not depend on the texts.
+    The word vectors are summed over all rows of ``docs`` for which it holds. Ids of the
+    labelled rows are chosen before any text is read. Tasks send the sums of context
+    vectors, added up by blocks of tokens, then the pooled features: sizes that do not
+    depend on the texts.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col(id_col).isNotNull() & learn_from)
@@ -179,19 +193,35 @@ def fit(
     chosen = known.orderBy(F.xxhash64(F.col(id_col), F.lit(2)), id_col).limit(sample_rows)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(id_col, "y", "text")
     index = spark.sparkContext.broadcast(index_vectors())
+    # Whole numbers, so the sums do not depend on their order.
+    size = (1 << VOCABULARY_BITS) // SUM_BLOCKS
 
     def sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = np.zeros((1 << VOCABULARY_BITS, DIMENSIONS), np.float32)
-        for piece in slices(batches, 2):
-            words, shapes, counts = token_numbers(text_values(piece.column(2)))
+        into = np.zeros((1 << VOCABULARY_BITS, DIMENSIONS))
+        for piece in slices(batches, 0):
+            words, shapes, counts = token_numbers(text_values(piece.column(0)))
             contexts(words, counts, index.value, into)
             contexts(shapes, counts, index.value, into)
-        yield pa.RecordBatch.from_arrays([pa.array([into.tobytes()], pa.binary())], ["sums"])
-
-    vectors = index.value.copy()
-    for row in rows.coalesce(12).mapInArrow(sum_contexts, "sums binary").toLocalIterator():
-        vectors += np.frombuffer(row["sums"], np.float32).reshape(vectors.shape)
-    vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)) + 1e-6
+        blocks = [k for k in range(SUM_BLOCKS) if into[k * size:(k + 1) * size].any()]
+        sums = [into[k * size:(k + 1) * size].tobytes() for k in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(sums, pa.binary())], ["block", "sums"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(sums.as_buffer(), np.float64)
+                total[block] = total[block] + part if block in total else part.copy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "sums"]
+        )
+
+    kinds = "block int, sums binary"
+    partial = docs.filter(learn_from).select(F.col(text_col).alias("text")).mapInArrow(sum_contexts, kinds)
+    vectors = index.value.astype(np.float64)
+    for row in partial.repartition(16, "block").mapInArrow(add_up, kinds).collect():
+        vectors[row["block"] * size:(row["block"] + 1) * size] += np.frombuffer(row["sums"], np.float64).reshape(size, DIMENSIONS)
+    vectors = (vectors / (np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)) + 1e-6)).astype(np.float32)
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,6 +73,24 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(docs.drop("score").limit(0), model).count() == 0
 
 
+def test_word_vectors_cover_rows_without_label(spark):
+    """The sums are those of all documents to learn from, by brute force; one row is labelled, one held out."""
+    texts = ["Only this One has a label", "but others, too, say 12 words", None, "", "but others, too: say more", "never learned from"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    found = quality.fit(docs, labels, F.col("doc_id") != 5).vectors
+    index = quality.index_vectors()
+    want = index.astype(float)
+    for text in texts[:5]:
+        words, shapes, _ = quality.token_numbers([(text or "").encode()])
+        for tokens in (words.tolist(), shapes.tolist()):
+            for i, token in enumerate(tokens):
+                for j in range(max(0, i - quality.WINDOW), min(len(tokens), i + quality.WINDOW + 1)):
+                    if j != i:
+                        want[token] += index[tokens[j]]
+    assert np.allclose(found, want / np.sqrt((want * want).sum(axis=1, keepdims=True)), atol=1e-5)
+
+
 def test_languages_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     held = queries.QUERIES["op4_language"](spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out").toPandas()
