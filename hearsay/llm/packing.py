@@ -66,8 +66,8 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
     return bins, offsets
 
 
-def _numbers(values: pd.Series) -> list[int]:
-    return pd.factorize(values, use_na_sentinel=True)[0].tolist()
+def _numbers(values: pd.Series) -> np.ndarray:
+    return pd.factorize(values, use_na_sentinel=True)[0].astype(np.int64)
 
 
 def pack(
@@ -87,27 +87,30 @@ def pack(
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), length.alias("length"),
     ).withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)))
+    # pandas makes floats of a column of numbers with a NULL, so NULLs travel in columns of their own.
+    for name in ("id", "cluster"):
+        rows = rows.withColumn(f"no_{name}", F.col(name).isNull()).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "id", "cluster"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["length", "no_id", "id", "no_cluster", "cluster"], ascending=[False, True, True, True, True], kind="stable")
         lengths = frame["length"].to_numpy(np.int64)
         full = lengths // capacity
         rest = np.nonzero((lengths % capacity > 0) | (lengths == 0))[0]
         rest = rest[np.argsort(-(lengths[rest] % capacity), kind="stable")]
+        clusters = np.where(frame["no_cluster"].to_numpy(bool), -1, _numbers(frame["cluster"]))
         bins, offsets = best_fit(
-            (lengths[rest] % capacity).tolist(), np.array(_numbers(frame["source"]), np.int64)[rest].tolist(),
-            np.array(_numbers(frame["cluster"]), np.int64)[rest].tolist(), capacity, per_source,
+            (lengths[rest] % capacity).tolist(), _numbers(frame["source"])[rest].tolist(), clusters[rest].tolist(), capacity, per_source,
         )
         whole = np.repeat(np.arange(len(frame)), full)
         nth = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
         opened = max(bins, default=-1) + 1
         at = np.concatenate((whole, rest))
         return pd.DataFrame({
-            "id": frame["id"].to_numpy()[at], "segment": np.concatenate((nth, full[rest])),
+            "id": frame["id"].to_numpy()[at], "no_id": frame["no_id"].to_numpy(bool)[at], "segment": np.concatenate((nth, full[rest])),
             "n_tokens": np.concatenate((np.full(len(whole), capacity), lengths[rest] % capacity)), "shard": key[0],
             "bin": np.concatenate((opened + np.arange(len(whole)), np.array(bins, np.int64))),
             "bin_offset": np.concatenate((np.zeros(len(whole), np.int64), np.array(offsets, np.int64))),
         })
 
-    out = rows.groupBy("shard").applyInPandas(run, "id long, segment long, n_tokens long, shard long, bin long, bin_offset long")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.groupBy("shard").applyInPandas(run, "id long, no_id boolean, segment long, n_tokens long, shard long, bin long, bin_offset long")
+    return out.withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id").withColumnRenamed("id", id_col)

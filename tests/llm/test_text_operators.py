@@ -239,3 +239,13 @@ def test_pack_keeps_every_token(spark):
         assert len(inside) <= 3 and all(a[0] + a[1] <= b[0] or a[1] == 0 for a, b in zip(inside, inside[1:], strict=False))
         assert inside[-1][0] + inside[-1][1] <= 16
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_packing_keeps_large_ids_beside_null(spark):
+    """Ids above 2**53 and clusters that differ by one, in a shard with a row that has neither."""
+    rows = [(2**62 + 1, "a b", 2**62 + 1), (2**62 + 3, "a b", 2**62 + 2), (-(2**61) - 1, "c", 5), (0, "d", 0), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, None, c) for i, t, c in rows], "doc_id long, text string, source string, twins long")
+    found = packing.pack(docs, cluster=packing.F.col("twins")).collect()
+    assert sorted(map(str, (r.doc_id for r in found))) == sorted(str(i) for i, _, _ in rows)
+    assert {r.bin for r in found} == {0} and sum(r.n_tokens for r in found) == 6
+    assert packing.pack(docs).columns == ["doc_id", "segment", "n_tokens", "shard", "bin", "bin_offset"]
