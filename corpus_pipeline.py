@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from hearsay.llm import exact_dedup, minhash, packing, quality, substring_dedup
 from hearsay.llm.common import ascii_lower, staged
 
-# The quality model, the MinHash links and best-fit packing have no SQL form; tests compare with brute force.
+# The quality model, the MinHash links and best-fit packing have no SQL form. The pipeline's own test compares
+# exact dedup with brute force; of the other stages, the operators are compared in tests of their own.
 ORACLE_SQL = None
 
 
