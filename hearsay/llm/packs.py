@@ -58,8 +58,10 @@ def packed_rows(docs: DataFrame, id_col: str, parts: int, most_bytes: int = 24 <
 
     def send(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        ids = table.column(at).cast(pa.int64()).fill_null(0).to_numpy()
-        order, spans = cut(part_of(ids, parts))
+        ids = table.column(at).cast(pa.int64())
+        # Rows without an id meet nothing, so any destination does: they are dealt evenly.
+        evenly = np.arange(table.num_rows) % parts
+        order, spans = cut(np.where(ids.is_null().to_numpy(), evenly, part_of(ids.fill_null(0).to_numpy(), parts)))
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for part, span in spans:
             sink = pa.BufferOutputStream()

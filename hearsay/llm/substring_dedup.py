@@ -190,7 +190,7 @@ def window_entries(rows: DataFrame, shared: DataFrame, id_col: str, text_col: st
         for table in unpacked(left.column("rows")) if len(heard) else ():
             table = table.filter(table.column(id_col).is_valid())
             names = table.column(id_col).cast(pa.int64()).to_numpy()
-            words = hash_words(text_values(table.column(text_col)))
+            words = hash_words(text_values(table.column(text_col)), both=True)
             at, found = anchors(words, size)
             at = at[np.isin(pair(found.astype("<u4"), names[words.text[at]]), heard)]
             # A window lies over an anchor if it starts up to 6 words before it; its text must hold it whole.
@@ -201,7 +201,7 @@ def window_entries(rows: DataFrame, shared: DataFrame, id_col: str, text_col: st
             fits = words.whole_runs(size, place)
             over = fits[np.cumsum(change)[fits] > 0]
             one.append(runs(words.hashes, size)[over])
-            two.append(runs(words.hashes, size, 1)[over])
+            two.append(runs(words.other, size, 1)[over])
             ids.append(names[words.text[over]])
         batches = []
         if one:

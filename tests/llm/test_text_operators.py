@@ -11,7 +11,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from hearsay.llm import bpe, exact_dedup, minhash, packing, queries, substring_dedup, token_files
+from hearsay.llm import bpe, exact_dedup, minhash, packing, queries, substring_dedup, token_files, words
 from hearsay.llm.pieces import split
 from hearsay.session import scratch_path
 
@@ -131,6 +131,39 @@ def test_exact_groups(spark, bits):
     assert exact_dedup.exact_groups(frame(spark, []), bits=bits).count() == 0
 
 
+def thue_morse(n):
+    """Two words of ``n`` letters on which every polynomial modulo 2**64 agrees from 1,024 letters on."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_words_are_not_taken_for_equal(spark):
+    common = " ".join(f"w{i}" for i in range(12))
+    for n in (1024, 4096):
+        one, two = thue_morse(n)
+        cut = substring_dedup.remove_shared(frame(spark, [(1, f"{common} {one}"), (2, f"{common} {two}"), (3, f"{common} {one}")]))
+        assert sorted((r.doc_id, r.n_removed) for r in cut.collect()) == [(1, 0), (2, 0), (3, 13)]
+        found = minhash.near_groups(frame(spark, [(1, one), (2, two), (3, one.upper())]), shingle=4)
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in found.collect()) == [(1, 1, True), (2, 2, True), (3, 1, False)]
+        spaced = [" ".join(w) for w in (one, two)]
+        hashed = words.hash_words([t.encode() for t in spaced], both=True)
+        for lane, values in enumerate((hashed.hashes, hashed.other)):
+            assert words.runs(values[:n], n, lane)[0] != words.runs(values[n:], n, lane)[0]
+
+
+def test_word_hashes_follow_the_words():
+    rng = random.Random(3)
+    some = ["".join(rng.choices("abé中", k=rng.randint(1, 40))) for _ in range(500)]
+    texts = [" \t".join(rng.choices(some, k=rng.randint(0, 30))).encode() for _ in range(100)]
+    found = words.hash_words(texts, both=True)
+    split = [w for t in texts for w in t.split()]
+    assert found.counts.tolist() == [len(t.split()) for t in texts] and len(found.hashes) == len(split)
+    for values in (found.hashes.tolist(), found.other.tolist()):
+        assert len(set(zip(split, values, strict=True))) == len(set(split)) == len(set(values))
+
+
 def test_substring_dedup(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)] + ["é", "A", "a"]
