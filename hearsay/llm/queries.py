@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, chat, exact_dedup, language, minhash, packing, quality, substring_dedup, token_files, topk
+from hearsay.llm import bpe, chat, exact_dedup, language, merkle, minhash, packing, quality, substring_dedup, token_files, topk
 from hearsay.llm.common import crc_fold
 from hearsay.session import scratch_path
 
@@ -138,3 +138,63 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": F.col("n_chars") + 1}, where=touched)
+    folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered_leaf", "leaf"), F.col("siblings")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def told(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(told(v) for v in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# The crc32 of a decimal number, bit by bit.
+CRC32_SQL = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+      lambda a, i: xor(a >> 1, (a & 1) * 3988292384))))"""
+
+ORACLE_SQL["op12_merkle_manifest"] = f"""
+    WITH RECURSIVE given AS (
+      SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf_sql("n_chars")} AS leaf,
+        CASE WHEN {CRC32_SQL} % 7 = 0 THEN {leaf_sql("n_chars + 1")} END AS other FROM documents
+    ), leaves AS (
+      SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY g) AS n FROM given
+    ), tree AS (
+      SELECT g, 0 AS lvl, slot, leaf AS h, n FROM leaves
+      UNION ALL
+      SELECT g, lvl + 1, slot // 2, sha256(string_agg(h, '' ORDER BY slot)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, slot // 2, n
+    ), subroots AS (
+      SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS slot, count(*) OVER () AS n FROM tree WHERE n = 1
+    ), top AS (
+      SELECT 0 AS lvl, slot, subroot AS h, n FROM subroots
+      UNION ALL
+      SELECT lvl + 1, slot // 2, sha256(string_agg(h, '' ORDER BY slot)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, slot // 2, n
+    ), paths AS (
+      SELECT l.g, l.slot, t.lvl, coalesce(s.h, '') AS h, t.slot % 2 = 1 AS lf
+      FROM leaves l JOIN tree t ON t.g = l.g AND t.slot = l.slot >> t.lvl AND t.n > 1
+      LEFT JOIN tree s ON s.g = t.g AND s.lvl = t.lvl AND s.slot = xor(t.slot, 1)
+      UNION ALL
+      SELECT l.g, l.slot, 100 + t.lvl, coalesce(s.h, ''), t.slot % 2 = 1
+      FROM leaves l JOIN subroots r ON r.g = l.g JOIN top t ON t.slot = r.slot >> t.lvl AND t.n > 1
+      LEFT JOIN top s ON s.lvl = t.lvl AND s.slot = xor(t.slot, 1)
+    ), proofs AS (
+      SELECT g, slot, sha256(string_agg(h, '' ORDER BY lvl)) AS proof, list({{'h': h, 'lf': lf}} ORDER BY lvl) AS path FROM paths GROUP BY g, slot
+    ), folded AS (
+      SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+        list_reduce(list_prepend({{'h': coalesce(other, leaf), 'lf': false}}, coalesce(path, [])),
+          lambda a, s: {{'h': sha256(CASE WHEN s.lf THEN s.h || a.h ELSE a.h || s.h END), 'lf': false}}).h AS folded_root
+      FROM leaves LEFT JOIN proofs USING (g, slot) JOIN subroots USING (g)
+    )
+    SELECT *, folded_root = root AS verified FROM folded"""
