@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, chat, exact_dedup, language, merkle, minhash, packing, quality, substring_dedup, token_files, topk
+from hearsay.llm import bpe, chat, exact_dedup, language, merkle, minhash, negatives, packing, quality, substring_dedup, token_files, topk
 from hearsay.llm.common import crc_fold
 from hearsay.session import scratch_path
 
@@ -198,3 +198,27 @@ ORACLE_SQL["op12_merkle_manifest"] = f"""
       FROM leaves LEFT JOIN proofs USING (g, slot) JOIN subroots USING (g)
     )
     SELECT *, folded_root = root AS verified FROM folded"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+ORACLE_SQL["op13_hard_negatives"] = """
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), pairs AS (
+      SELECT a.r AS ar, c.r AS cr, a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.r <> c.r
+    ), positives AS (
+      SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, cr) <= 5
+    ), found AS (
+      SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+      FROM positives p JOIN pairs n ON n.ar = p.ar AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10"""

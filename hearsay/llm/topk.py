@@ -71,7 +71,9 @@ def build_tree(points: np.ndarray, leaf: int = 64) -> dict[str, np.ndarray]:
 
 def exact_scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Integer inner products: in floating point where that is exact, else in integers of any length."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * max(1, queries.shape[1])
+    # In Python integers: the absolute value of the smallest 64-bit integer is none.
+    largest = [float(max(int(x.max(initial=0)), -int(x.min(initial=0)))) for x in (queries, points)]
+    most = largest[0] * largest[1] * max(1, queries.shape[1])
     if most < 2.0**52:
         return (queries.astype(np.float64) @ points.astype(np.float64).T).astype(np.int64)
     if most < 2.0**62:

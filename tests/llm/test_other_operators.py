@@ -42,9 +42,9 @@ def test_windows_hold_each_turn_once(spark):
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.3, 6).round(1).tolist()) for i in range(300)]
-    rows += [(300, None), (301, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (20, rows[20][1]), (None, rows[1][1]), (305, [1.0, 2.0]), (320, [1e12] * 6)]
+    rows += [(300, None), (301, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (20, rows[20][1]), (None, rows[1][1]), (305, [1.0, 2.0]), (320, [1e12] * 6), (340, [-1e18] * 6)]
     vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, shard int")
-    good = [(n, i, [int(np.floor(64 * x)) for x in v]) for n, (i, v) in enumerate(rows)
+    good = [(n, i, [int(max(np.floor(64 * x), -2.0**63)) for x in v]) for n, (i, v) in enumerate(rows)
             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for n, i, q in good:
