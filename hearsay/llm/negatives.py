@@ -110,7 +110,8 @@ def bounds(queries: np.ndarray, centres: np.ndarray, lengths: np.ndarray, inner:
     slack += 1e-7 * np.sqrt(both) * (away + radius)
     low = np.maximum(middle - reach, (both - (away + radius) ** 2) / 2) - slack
     high = np.minimum(middle + reach, (both - near**2) / 2) + slack
-    return low, high
+    # Scores are cut to 64 bits, so bounds are too.
+    return np.minimum(low, float(LONG.max)), np.maximum(high, float(LONG.min))
 
 
 def search(tree: dict, windows: dict[str, np.ndarray], same: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,19 +196,26 @@ def unpack_windows(frame: pd.DataFrame, dim: int) -> dict[str, np.ndarray]:
 
 
 FOUND = "row long, which int, vec_id long, score long"
+KINDS = {"row": "int64", "which": "int32", "vec_id": "int64", "score": "int64"}
+OPEN = {"of_bucket": "int64", "block": "int64", "bucket": "int64", "nth": "int64", "dim": "int32", "high": "float64"}
+
+
+def empty(kinds: dict[str, str]) -> pd.DataFrame:
+    """No rows of these types: columns that stay integers when more rows follow."""
+    return pd.DataFrame({c: np.zeros(0, kind) for c, kind in kinds.items()})
 
 
 def searched(cells: DataFrame, trees: DataFrame, same: bool, k: int) -> DataFrame:
     """Rows FOUND of all ``cells``: anchors with windows, a block of them against a shard."""
 
     def run(key: tuple, anchors: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"row": [], "which": [], "vec_id": [], "score": []})]
+        found = [empty(KINDS)]
         if len(anchors):
             windows = unpack_windows(anchors, int(anchors["dim"].iloc[0]))
             for _, shard in shards.iterrows():
                 at, ids, score = search(unpack_tree(shard), windows, same, k)
                 found.append(pd.DataFrame({"row": windows["row"][at], "which": windows["which"][at], "vec_id": ids, "score": score}))
-        return pd.concat(found).astype({"row": "int64", "which": "int32", "vec_id": "int64", "score": "int64"})
+        return pd.concat(found).astype(KINDS)
 
     by = [*KEY, "of_bucket", "block"]
     needed = cells.select(*[F.col(c).alias(f"its_{c}") for c in by]).distinct()
@@ -229,7 +237,7 @@ def reachable(anchors: DataFrame, shards: DataFrame) -> DataFrame:
     right = shards.select("*", F.pmod(F.xxhash64(*KEY), F.lit(parts)).alias("p"), every(groups).alias("g"))
 
     def run(key: tuple, frame: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"of_bucket": [], "block": [], "bucket": [], "nth": [], "dim": [], "high": []})]
+        out = [empty(OPEN)]
         for (of_bucket, block), own in frame.groupby(["of_bucket", "block"]) if len(table) else ():
             dim = int(own["dim"].iloc[0])
             windows = unpack_windows(own, dim)
@@ -238,8 +246,8 @@ def reachable(anchors: DataFrame, shards: DataFrame) -> DataFrame:
             meets = (high[at] >= np.maximum(windows["floor"], windows["lo"])[:, None]) & (low[at] <= windows["hi"][:, None])
             most = np.where(meets, np.minimum(high[at], windows["hi"][:, None]), -np.inf).max(axis=0, initial=-np.inf)
             open_ = table[meets.any(axis=0)].assign(high=most[meets.any(axis=0)], of_bucket=of_bucket, block=block)
-            out.append(open_[["of_bucket", "block", "bucket", "nth", "dim", "high"]])
-        return pd.concat(out).astype({"of_bucket": "int64", "block": "int64", "bucket": "int64", "nth": "int64", "dim": "int32", "high": "float64"})
+            out.append(open_[list(OPEN)])
+        return pd.concat(out).astype(OPEN)
 
     schema = "of_bucket long, block long, bucket long, nth long, dim int, high double"
     return left.groupBy("g", "p", "dim").cogroup(right.groupBy("g", "p", "dim")).applyInPandas(run, schema)

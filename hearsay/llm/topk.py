@@ -94,6 +94,7 @@ def search(
     lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     bound = queries.astype(np.float64) @ tree["centre"].T + lengths[:, None] * tree["radius"]
     bound += 1e-9 * (np.abs(bound) + lengths[:, None] * (1 + np.abs(tree["centre"]).max(initial=0))) + 1e-6  # rounding errs on the safe side
+    bound = np.maximum(bound, float(LONG.min))  # scores are cut to 64 bits
     kth = floor.astype(np.float64).copy()
     n = len(queries)
     best_score = np.zeros((n, 0), dtype=np.int64)
@@ -147,7 +148,7 @@ def _pack_tree(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     points = _matrix(frame["vec"])
     tree = build_tree(points)
     order = tree.pop("order")
-    narrow = np.min_scalar_type(max(abs(int(points.min(initial=0))), abs(int(points.max(initial=0)))) * 2 + 1).name.replace("uint", "int")
+    narrow = next(t for t in ("int8", "int16", "int32", "int64") if points.min(initial=0) >= np.iinfo(t).min and points.max(initial=0) <= np.iinfo(t).max)
     out = {"shard": key[0], "dim": key[1], "ids": frame["id"].to_numpy("<i8")[order].tobytes(), "rows": frame["row"].to_numpy("<i8")[order].tobytes(),
            "points": narrow.encode().ljust(8) + points[order].astype(narrow).tobytes()}
     out |= {name: values.astype("<f8" if values.dtype.kind == "f" else "<i8").tobytes() for name, values in tree.items()}
