@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, chat, exact_dedup, language, merkle, minhash, negatives, packing, quality, substring_dedup, token_files, topk
+from hearsay.llm import bpe, chat, exact_dedup, language, merkle, minhash, negatives, packing, quality, setjoin, substring_dedup, token_files, topk
 from hearsay.llm.common import crc_fold
 from hearsay.session import scratch_path
 
@@ -222,3 +222,8 @@ ORACLE_SQL["op13_hard_negatives"] = """
       FROM positives p JOIN pairs n ON n.ar = p.ar AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
     )
     SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10"""
+
+
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_groups(table(spark, sf_dir, "documents"), shingle=3, percent=90)
