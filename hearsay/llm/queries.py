@@ -227,3 +227,28 @@ ORACLE_SQL["op13_hard_negatives"] = """
 @query
 def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join_groups(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+ORACLE_SQL["op11_jaccard_join"] = f"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w
+    ), n AS (
+      SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), e AS (
+      SELECT s.doc_id, g, n FROM s JOIN n USING (doc_id)
+    ), links AS (
+      SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+    ), both AS (
+      SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+    ), reach AS (
+      SELECT doc_id AS x, doc_id AS y FROM documents
+      UNION
+      SELECT r.x, b.y FROM reach r JOIN both b ON b.x = r.y
+    ), low AS (
+      SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+    )
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM low LEFT JOIN n USING (doc_id)"""

@@ -9,12 +9,11 @@ hash. Two sets that link share a shingle among the first n - ceil(percent * n /
 the index, with their positions. Three steps follow.
 
 1. In each index list every class is paired with one class of the list, by a star in each task and a star over
-   the tasks' centres: a list of n costs n pairs. Pairs that size and position allow are
-   compared on full sets. A class and those linked to it are a family, its head being the centre.
+   the tasks' centres: a list of n costs n pairs. Pairs that size, position and parity bitmaps allow are
+   compared on full sets; two bitmaps never differ in more bits than their sets in elements. A class and those linked to it are a family, its head being the centre.
 2. Index level. Lists that still hold different components are cut into blocks by size and by position; two
    blocks are skipped whole if no two sets of such sizes and positions can link. In the others, families are compared by their heads:
-   sizes, positions, and parity bitmaps, whose distance never exceeds that of the sets, must leave room for a link
-   of any two members. No pair that links is lost, as each filter is a bound.
+   sizes, positions and bitmaps must leave room for a link of any two members. No pair that links is lost, as each filter is a bound.
 3. Answer level. For the pairs of families that stay, the overlap of the heads is counted once; a member's overlap is derived
    from it by what the member has more and less than its head. Where the change is
    too small to matter no member is looked at. Families meet in chunks of bounded size; one link joins two components.
@@ -73,7 +72,8 @@ def prefix(n, percent: int):
 
 
 def read_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, n, name) for all documents; and rows (block, counts) of bucket counts, one of each block a task."""
+    """Rows (id, n, name, marks) for all documents; and rows (block, counts) of bucket counts, one of each block a task."""
+    columns = ["id", "n", "name", "marks", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -84,13 +84,14 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
             nothing = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
             names = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), names, *nothing], ["id", "n", "name", "block", "counts"])
+            marks = pa.array([marks_of(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), names, marks, *nothing], columns)
         some = [k for k in range(BUCKETS // COUNTS) if counts[k * COUNTS:(k + 1) * COUNTS].any()]
         bodies = [counts[k * COUNTS:(k + 1) * COUNTS].tobytes() for k in some]
-        nothing = [pa.nulls(len(some), pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], ["id", "n", "name", "block", "counts"])
+        nothing = [*[pa.nulls(len(some), pa.int64())] * 3, pa.nulls(len(some), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(some, pa.int32()), pa.array(bodies, pa.binary())], columns)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, name long, block int, counts binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, name long, marks binary, block int, counts binary")
 
 
 def bucket_ranks(read: DataFrame) -> np.ndarray:
@@ -183,7 +184,7 @@ def marks_of(members: np.ndarray) -> bytes:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (label, n, members, marks) for the classes of ``wanted`` (name, id): the set of one document of each."""
+    """Rows (label, members) for the classes of ``wanted`` (name, id): the set of one document of each."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(wanted, "id").select("name", text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +192,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
             sets = own_sets(text_values(piece.column(1)), shingle)
             # Another row of the id may hold another text.
             right = [k for k, (name, s) in enumerate(zip(piece.column(0).to_pylist(), sets, strict=True)) if len(s) and name_of(s) == name]
-            arrays = [[len(sets[k]) for k in right], [sets[k].tobytes() for k in right], [marks_of(sets[k]) for k in right]]
-            kinds = (pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(right, pa.int64())), *[pa.array(a, k) for a, k in zip(arrays, kinds, strict=True)]], ["label", "n", "members", "marks"])
+            members = pa.array([sets[k].tobytes() for k in right], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(right, pa.int64())), members], ["label", "members"])
 
-    return rows.mapInArrow(run, "label long, n int, members binary, marks binary")
+    return rows.mapInArrow(run, "label long, members binary")
 
 
 def may_link(stars: DataFrame, percent: int) -> DataFrame:
@@ -205,6 +205,20 @@ def may_link(stars: DataFrame, percent: int) -> DataFrame:
     return stars.filter(sizes & ((100 + percent) * rest >= percent * (F.col("na") + F.col("nb"))))
 
 
+def near_marks(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps differ in no more bits than linked sets of their sizes may differ in elements."""
+    one, two = (classes.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("marks").alias(f"m{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("ma", "mb")]
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            near = (100 + percent) * np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64) <= (100 - percent) * sizes
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
+
 def families(links: DataFrame) -> DataFrame:
     """Rows (name, head, component) for all classes of ``links`` (a, b): b is the head if it has none itself."""
     heads = links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_anti").groupBy("a").agg(F.min("b").alias("head"))
@@ -212,7 +226,7 @@ def families(links: DataFrame) -> DataFrame:
     return reached.join(heads, F.col("node") == F.col("a"), "left").select(F.col("node").alias("name"), F.coalesce("head", "node").alias("head"), "component")
 
 
-def open_pairs(stars: DataFrame, of: DataFrame, sets: DataFrame, percent: int, block: int, part_rows: int) -> DataFrame:
+def open_pairs(stars: DataFrame, of: DataFrame, classes: DataFrame, percent: int, block: int, part_rows: int) -> DataFrame:
     """Distinct pairs (x, z) of heads of families in different components that may hold a link: the index level."""
     a, b = (of.select(F.col("name").alias(c), F.col("head").alias(f"h{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
     known = stars.join(a, "a", "left").join(b, "b", "left")
@@ -222,7 +236,7 @@ def open_pairs(stars: DataFrame, of: DataFrame, sets: DataFrame, percent: int, b
     mixed = known.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("ca") != F.col("cb")).alias("mixed")).filter("m > 1 AND mixed").select("token")
     rows = known.join(mixed, "token", "left_semi")
     sides = [rows.select("token", F.col(s).alias("name"), F.col(f"h{s}").alias("head"), F.col(f"c{s}").alias("component"), F.col(f"n{s}").alias("n"), F.col(f"p{s}").alias("p")) for s in "ab"]
-    heads = sets.select(F.col("label").alias("head"), F.col("n").alias("head_n"), "marks").dropDuplicates(["head"])
+    heads = classes.select(F.col("name").alias("head"), F.col("n").alias("head_n"), "marks")
     entries = sides[0].union(sides[1]).distinct().join(heads, "head")
     away = F.when(F.col("name") == F.col("head"), 0).otherwise(F.col("n") + F.col("head_n"))
     inside = staged(entries.groupBy("token", "head", "component", "marks").agg(
@@ -303,10 +317,14 @@ def derived_link(x: np.ndarray, z: np.ndarray, ys: list[tuple[int, np.ndarray]],
     return None
 
 
-def derived_links(pairs: DataFrame, of: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links (a, b) between members of the families of ``pairs`` (x, z), one at most for each two chunks."""
+def members_of(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows (head, name): all members of the families of ``pairs`` (x, z), heads included."""
     heads = pairs.select(F.col("x").alias("head")).union(pairs.select(F.col("z").alias("head"))).distinct()
-    members = heads.join(of.filter("name <> head").select("head", "name"), "head").union(heads.select("head", F.col("head").alias("name")))
+    return heads.join(of.filter("name <> head").select("head", "name"), "head").union(heads.select("head", F.col("head").alias("name")))
+
+
+def derived_links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Links (a, b) between members of the families of ``pairs`` (x, z), one at most for each two chunks."""
     sizes = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("cuts"))
     chunks = sizes.select("head", F.explode(F.expr("sequence(0L, cuts - 1)")).alias("nth"))
     cells = pairs.join(chunks.select(F.col("head").alias("x"), F.col("nth").alias("i")), "x").join(chunks.select(F.col("head").alias("z"), F.col("nth").alias("j")), "z")
@@ -334,17 +352,23 @@ def join_groups(
 ) -> DataFrame:
     """One row per input row: (id, ``n_shingles``, ``component_id``). ``percent`` is from 1 to 100; the other sizes bound what a task holds."""
     read = staged(read_sets(docs, id_col, text_col, shingle), "join-sets")
-    signed = read.filter("block IS NULL").select("id", "n", "name")
+    signed = read.filter("block IS NULL").select("id", "n", "name", "marks")
     linkable = signed.filter("id IS NOT NULL AND name IS NOT NULL")
     entries = linkable.agg(F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).first()[0] or 0
     stars = staged(index_stars(docs, id_col, text_col, shingle, percent, bucket_ranks(read), max(1, int(entries) // part_entries + 1)), "join-stars")
-    labels = linkable.groupBy("name").agg(F.min("id").alias("id"))
-    wanted = stars.select(F.col("a").alias("name")).union(stars.select(F.col("b").alias("name"))).distinct().join(labels, "name")
-    sets = staged(sets_of(docs, wanted, id_col, text_col, shingle), "join-members")
-    links = staged(confirm(may_link(stars, percent).select("a", "b").distinct(), sets.select("label", "members"), percent).distinct(), "join-links")
+    classes = staged(linkable.groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks")), "join-classes")
+    labels = classes.select("name", "id")
+
+    def members(names: DataFrame) -> DataFrame:
+        return staged(sets_of(docs, names.distinct().join(labels, "name"), id_col, text_col, shingle), "join-members")
+
+    pairs = staged(near_marks(may_link(stars, percent).select("a", "b").distinct(), classes, percent), "join-pairs")
+    sets = members(pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))))
+    links = staged(confirm(pairs, sets, percent).distinct(), "join-links")
     of = staged(families(links), "join-of")
-    pairs = staged(open_pairs(stars, of, sets, percent, block, part_rows), "join-open")
-    further = staged(derived_links(pairs, of, sets, percent, chunk), "join-links")
+    left = staged(open_pairs(stars, of, classes, percent, block, part_rows), "join-open")
+    inside = staged(members_of(left, of), "join-inside")
+    further = staged(derived_links(left, inside, members(inside.select("name")), percent, chunk), "join-links")
     # Rows of one id with different sets are one document.
     several = linkable.groupBy("id").agg(F.min("name").alias("b"), F.max("name").alias("top")).filter("b <> top").select("id", "b")
     by_id = linkable.join(several, "id").filter("name <> b").select(F.col("name").alias("a"), "b")
@@ -353,6 +377,6 @@ def join_groups(
     named = reached.join(labels, "name")
     lowest = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("name", "component_id")
     answers = labels.join(lowest, "name", "left").select("name", F.coalesce("component_id", "id").alias("component_id"))
-    found = signed.join(answers, "name", "left")
+    found = signed.drop("marks").join(answers, "name", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
