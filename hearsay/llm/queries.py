@@ -242,12 +242,12 @@ ORACLE_SQL["op11_jaccard_join"] = f"""
     ), links AS (
       SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
       GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
-    ), both AS (
+    ), sides AS (
       SELECT x, y FROM links UNION ALL SELECT y, x FROM links
     ), reach AS (
       SELECT doc_id AS x, doc_id AS y FROM documents
       UNION
-      SELECT r.x, b.y FROM reach r JOIN both b ON b.x = r.y
+      SELECT r.x, b.y FROM reach r JOIN sides b ON b.x = r.y
     ), low AS (
       SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
     )
