@@ -10,7 +10,7 @@ from hearsay.functions.labels import sentiment_label, toxicity_level
 from hearsay.functions.numbers import like_weight
 from hearsay.functions.text import is_discovered_name, is_scored_name, strip
 from hearsay.keys import review_id, signal_id
-from hearsay.operators.matching import catalog_fits, catalog_mentions, mention_arrays, resolve_names
+from hearsay.operators.matching import mention_arrays, resolve_names
 from hearsay.operators.scoring import score_texts
 from hearsay.sizing import let, unnest
 
@@ -55,30 +55,22 @@ def rule_signals(
 ) -> DataFrame:
     """One sentiment signal per comment plus one per catalog mention.
 
-    A mention's confidence is its own times that of the score. With a catalog
-    that fits, one pass over the comments matches, scores and fans out.
+    A mention's confidence is its own times that of the score. One pass over
+    the comments matches, scores and fans out, whatever the size of the catalog.
     """
     no_entity = F.lit(None).cast(entities.schema["entity_id"].dataType)
     weight = like_weight(F.col("likes")).alias("weight_score")
-    if catalog_fits(entities):
-        matched = score_texts(mention_arrays(comments, entities, posts), "text", scorer)
+    matched = score_texts(mention_arrays(comments, entities, posts), "text", scorer)
 
-        def target(entity: Column, share: Column) -> Column:
-            return F.struct(entity.alias("entity_id"), share.alias("share"))
+    def target(entity: Column, share: Column) -> Column:
+        return F.struct(entity.alias("entity_id"), share.alias("share"))
 
-        targets = F.concat(
-            F.array(target(no_entity, F.lit(1.0))),
-            F.transform("mentions", lambda m: target(m["entity_id"], m["confidence"])),
-        )
-        spread = unnest(matched, ["comment_id", "sentiment", weight], targets, "_t")
-        spread = spread.select("comment_id", "sentiment", "weight_score", "_t.entity_id", F.col("_t.share").alias("_share"))
-    else:
-        scored = score_texts(comments, "text", scorer).select("comment_id", "sentiment", weight)
-        mentions = catalog_mentions(comments, entities, posts, in_place=False).select(
-            "comment_id", "entity_id", F.col("confidence").alias("_share")
-        )
-        general = scored.select("*", no_entity.alias("entity_id"), F.lit(1.0).alias("_share"))
-        spread = general.unionByName(scored.join(mentions, "comment_id").select(general.columns))
+    targets = F.concat(
+        F.array(target(no_entity, F.lit(1.0))),
+        F.transform("mentions", lambda m: target(m["entity_id"], m["confidence"])),
+    )
+    spread = unnest(matched, ["comment_id", "sentiment", weight], targets, "_t")
+    spread = spread.select("comment_id", "sentiment", "weight_score", "_t.entity_id", F.col("_t.share").alias("_share"))
     rows = spread.select(
         "comment_id", "entity_id", F.lit("sentiment").alias("signal_type"),
         sentiment_label(F.col("sentiment.score")).alias("value"),

@@ -4,9 +4,9 @@ Tiers, best first: a name or alias inside the comment, a first name, a last
 name, a pronoun. The weaker tiers lean on the entities named in the post's
 caption. Each (comment, entity) pair keeps its best tier only.
 
-A catalog of ordinary size is packed into one array and matched row by row: no
-shuffle of the comments. A catalog beyond the checked bound goes through
-equi-joins on terms and tokens instead, with the same result.
+Names, aliases and single tokens of a catalog of any size are found by automata in one pass
+(``textsearch``), and the tiers are resolved inside the row: comments are not shuffled. Captions, where they
+lend context, are joined as one short array per post.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from hearsay import fixed_values as fv
 from hearsay.functions.text import strip
-from hearsay.operators.textsearch import PACKED_TERMS, find_terms
-from hearsay.sizing import let, packed, unnest, within
+from hearsay.operators.textsearch import find_terms, with_terms
+from hearsay.sizing import unnest
 
 
 def _no_texts() -> Column:
@@ -112,48 +112,25 @@ def _pronouns() -> Column:
     return F.array(*[F.lit(p) for p in fv.PRONOUNS])
 
 
-def _partial(entity, words: Column, in_context: Column) -> Column:
-    """Best first-name, last-name or pronoun match of one entity, or NULL."""
-
-    def named(part: str, near: float, alone: float) -> Column:
-        token = entity[part]
-        hit = F.coalesce(F.array_contains(words, token), F.lit(False))
-        return F.when(
-            hit & (entity[f"{part}_unique"] | in_context),
-            F.struct(
-                F.when(in_context, near).otherwise(alone).alias("confidence"), token.alias("mention_text")
-            ),
-        )
-
-    return F.coalesce(
-        named("first", fv.CONFIDENCE_FIRST_IN_CONTEXT, fv.CONFIDENCE_FIRST_UNIQUE),
-        named("last", fv.CONFIDENCE_LAST_IN_CONTEXT, fv.CONFIDENCE_LAST_UNIQUE),
-        F.when(
-            in_context & F.arrays_overlap(words, _pronouns()),
-            F.struct(F.lit(fv.CONFIDENCE_PRONOUN).alias("confidence"), F.lit("pronoun").alias("mention_text")),
-        ),
-    )
-
-
-def packed_catalog(entities: DataFrame) -> Column:
-    """The whole catalog as one array, one struct per entity; for bounded catalogs."""
-    owned = catalog_terms(entities).groupBy("entity_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "term", "confidence"))).alias("terms")
-    )
-    no_terms = F.array().cast(owned.schema["terms"].dataType)
-    rows = catalog_name_parts(entities).join(owned, "entity_id", "left").withColumn(
-        "terms", F.coalesce("terms", no_terms)
+def _token_owners(entities: DataFrame) -> DataFrame:
+    """Rows (ord, term, tier, entity_id, unique): first names as tier 1, last names as tier 2; a token stands between zero bytes."""
+    parts = catalog_name_parts(entities)
+    sides = [
+        parts.select(F.lit(tier).alias("tier"), F.col(part).alias("word"), "entity_id", F.col(f"{part}_unique").alias("unique"))
+        for tier, part in ((1, "first"), (2, "last"))
+    ]
+    # A name whose part is no token of the pattern is never a token of a text.
+    return sides[0].union(sides[1]).filter("word IS NOT NULL").select(
+        F.struct("tier", "entity_id").alias("ord"), F.concat(F.lit("\0"), "word", F.lit("\0")).alias("term"), "tier", "entity_id", "unique", "word"
     )
-    return packed(rows, "entity_id")
 
 
 def mention_arrays(
     comments: DataFrame, entities: DataFrame, posts: DataFrame | None = None, text: str = "text"
 ) -> DataFrame:
-    """``comments`` plus ``mentions``: an array of matched entities per comment.
+    """``comments`` plus ``mentions``: an array of matched entities per comment, by ``entity_id``.
 
-    For catalogs within the checked bound only (see ``catalog_fits``). With
-    ``posts``, captions lend context: it is computed once per post and joined
+    With ``posts``, captions lend context: it is computed once per post and joined
     as a short array.
     """
     df = comments
@@ -163,110 +140,55 @@ def mention_arrays(
     if posts is not None:
         df = df.join(context_arrays(entities, posts), "post_id", "left")
         context = F.coalesce("context", no_ids)
-    row = F.struct(
-        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"),
-        tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"),
-        context.alias("context"),
-        F.col("_catalog").alias("catalog"),
-    )
-
-    def matched(r: Column) -> Column:
-        def one(e: Column) -> Column:
-            full = F.get(F.filter(e["terms"], lambda x: F.contains(r["t"], x["term"])), F.lit(0))
-            near = F.array_contains(r["context"], e["entity_id"])
-            best = F.coalesce(
-                F.when(
-                    full.isNotNull(),
-                    F.struct(full["confidence"].alias("confidence"), full["term"].alias("mention_text")),
-                ),
-                _partial(e, r["words"], near),
-            )
-            return F.struct(
-                e["entity_id"].alias("entity_id"),
-                best["mention_text"].alias("mention_text"),
-                best["confidence"].alias("confidence"),
-            )
-
-        return F.filter(F.transform(r["catalog"], one), lambda m: m["confidence"].isNotNull())
-
-    out = df.withColumn("_catalog", packed_catalog(entities)).withColumn("mentions", let(row, matched))
-    return out.select(*comments.columns, "mentions")
-
-
-def catalog_fits(entities: DataFrame) -> bool:
-    return within(catalog_terms(entities), PACKED_TERMS)
-
-
-def catalog_mentions(
-    comments: DataFrame,
-    entities: DataFrame,
-    posts: DataFrame | None = None,
-    text: str = "text",
-    in_place: bool | None = None,
-) -> DataFrame:
-    """One row (comment_id, entity_id, mention_text, confidence) per matched pair."""
-    if in_place is None:
-        in_place = catalog_fits(entities)
-    if not in_place:
-        return _joined_mentions(comments, entities, posts, text)
-    found = mention_arrays(comments, entities, posts, text)
-    return unnest(found, ["comment_id"], F.col("mentions"), "m").select("comment_id", "m.*")
+    body = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"_context": context, "_words": F.array_distinct(tokens(body))})
+    df = with_terms(df, F.lower(body), catalog_terms(entities), "_named")
+    zero = F.lit("\0")
+    df = with_terms(df, F.concat(zero, F.array_join("_words", "\0"), zero), _token_owners(entities), "_parts")
+
+    place = df.schema["_named"].dataType.elementType["ord"].dataType
+    no_place = F.lit(None).cast(place)
+
+    def candidate(entity: Column, tier: Column, ord_: Column, mention: Column, confidence: Column) -> Column:
+        return F.struct(
+            entity.alias("entity_id"), tier.alias("tier"), ord_.alias("ord"), mention.alias("mention_text"), confidence.alias("confidence")
+        )
 
+    def weight(part: Column) -> Column:
+        near = F.array_contains("_context", part["entity_id"])
+        return (
+            F.when(near & (part["tier"] == 1), fv.CONFIDENCE_FIRST_IN_CONTEXT)
+            .when(near, fv.CONFIDENCE_LAST_IN_CONTEXT)
+            .when(part["tier"] == 1, fv.CONFIDENCE_FIRST_UNIQUE)
+            .otherwise(fv.CONFIDENCE_LAST_UNIQUE)
+        )
 
-def full_name_mentions(comments: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
-    """Name and alias matches only, one row per (comment, entity)."""
-    hits = find_terms(comments.select("comment_id", text), text, catalog_terms(entities))
-    best = F.struct("ord", F.col("term").alias("mention_text"), "confidence")
-    return hits.groupBy("comment_id", "entity_id").agg(F.min(best).alias("m")).select(
-        "comment_id", "entity_id", "m.mention_text", "m.confidence"
-    )
+    named = F.transform("_named", lambda x: candidate(x["entity_id"], F.lit(0), x["ord"], x["term"], x["confidence"]))
+    trusted = F.filter("_parts", lambda x: x["unique"] | F.array_contains("_context", x["entity_id"]))
+    partial = F.transform(trusted, lambda x: candidate(x["entity_id"], x["tier"], no_place, x["word"], weight(x)))
+    spoken = F.when(F.arrays_overlap("_words", _pronouns()), F.col("_context")).otherwise(no_ids)
+    pronoun = F.transform(spoken, lambda e: candidate(e, F.lit(3), no_place, F.lit("pronoun"), F.lit(fv.CONFIDENCE_PRONOUN)))
+    # The best candidate of an entity comes first of it.
+    df = df.withColumn("_best", F.array_sort(F.concat(named, partial, pronoun)))
+    first = F.filter("_best", lambda x, i: (i == 0) | (F.get("_best", i - 1)["entity_id"] != x["entity_id"]))
+    kept = F.transform(first, lambda x: F.struct(x["entity_id"].alias("entity_id"), x["mention_text"].alias("mention_text"), x["confidence"].alias("confidence")))
+    return df.select(*comments.columns, kept.alias("mentions"))
 
 
-def _joined_mentions(
-    comments: DataFrame, entities: DataFrame, posts: DataFrame | None, text: str
-) -> DataFrame:
-    """The same matches by equi-joins, for catalogs of any size.
+def catalog_mentions(comments: DataFrame, entities: DataFrame, posts: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """One row (comment_id, entity_id, mention_text, confidence) per matched pair."""
+    kept = ["comment_id", text] + (["post_id"] if posts is not None else [])
+    found = mention_arrays(comments.select(*kept), entities, posts, text)
+    return unnest(found, ["comment_id"], F.col("mentions"), "m").select("comment_id", "m.*")
 
-    Comment text is shuffled for the name search only; the weaker tiers move
-    ids and tokens. Context pairs are one row per post and named entity.
-    """
-    named = find_terms(comments.select("comment_id", text), text, catalog_terms(entities)).select(
-        "comment_id", "entity_id", F.lit(0).alias("tier"), "ord", F.col("term").alias("mention_text"), "confidence"
-    )
-    no_place = F.lit(None).cast(named.schema["ord"].dataType).alias("ord")
 
-    keys = ["comment_id"] + (["post_id"] if posts is not None else [])
-    words = unnest(comments, keys, F.array_distinct(tokens(F.col(text))), "word")
-    parts = catalog_name_parts(entities)
-    wanted = parts.select("entity_id", F.lit(1).alias("tier"), F.col("first").alias("word"),
-                          F.col("first_unique").alias("unique")).unionByName(
-        parts.select("entity_id", F.lit(2).alias("tier"), F.col("last").alias("word"),
-                     F.col("last_unique").alias("unique"))).filter("word is not null")
-    hits = words.join(wanted, "word")
-    if posts is not None:
-        near = caption_context(entities, posts).withColumn("near", F.lit(True))
-        hits = hits.join(near, ["post_id", "entity_id"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-        spoken = comments.filter(F.arrays_overlap(tokens(F.col(text)), _pronouns())).select("comment_id", "post_id")
-        pronouns = spoken.join(near, "post_id").select(
-            "comment_id", "entity_id", F.lit(3).alias("tier"), no_place,
-            F.lit("pronoun").alias("mention_text"), F.lit(fv.CONFIDENCE_PRONOUN).alias("confidence"))
-    else:
-        hits = hits.withColumn("near", F.lit(False))
-        pronouns = None
-    weight = (
-        F.when((F.col("tier") == 1) & F.col("near"), fv.CONFIDENCE_FIRST_IN_CONTEXT)
-        .when(F.col("tier") == 1, fv.CONFIDENCE_FIRST_UNIQUE)
-        .when(F.col("near"), fv.CONFIDENCE_LAST_IN_CONTEXT)
-        .otherwise(fv.CONFIDENCE_LAST_UNIQUE)
+def full_name_mentions(comments: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
+    """Name and alias matches only, one row per (comment, entity): the first term in catalog order."""
+    found = with_terms(comments.select("comment_id", text), F.lower(text), catalog_terms(entities), "_named")
+    first = F.filter("_named", lambda x, i: F.array_position(F.transform("_named", lambda y: y["entity_id"]), x["entity_id"]) == i + 1)
+    return unnest(found, ["comment_id"], first, "m").select(
+        "comment_id", "m.entity_id", F.col("m.term").alias("mention_text"), "m.confidence"
     )
-    partial = hits.filter(F.col("unique") | F.col("near")).select(
-        "comment_id", "entity_id", "tier", no_place, F.col("word").alias("mention_text"), weight.alias("confidence"))
-    rows = named.unionByName(partial)
-    if pronouns is not None:
-        rows = rows.unionByName(pronouns)
-    best = F.min(F.struct("tier", "ord", "mention_text", "confidence")).alias("m")
-    return rows.groupBy("comment_id", "entity_id").agg(best).select(
-        "comment_id", "entity_id", "m.mention_text", "m.confidence")
 
 
 # ------------------------------------------------------------- discovery

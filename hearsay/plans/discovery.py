@@ -12,7 +12,7 @@ from hearsay.plans.facts import window_comments, window_signals
 from hearsay.tables import Tables
 
 
-def name_mentions(t: Tables, names: DataFrame, start, end, platforms=None, bounded=None) -> DataFrame:
+def name_mentions(t: Tables, names: DataFrame, start, end, platforms=None) -> DataFrame:
     """(name, comment) pairs where the comment's text contains the name.
 
     ``names`` has a ``name`` column; ``%`` and ``_`` in a name are plain characters.
@@ -22,7 +22,7 @@ def name_mentions(t: Tables, names: DataFrame, start, end, platforms=None, bound
         posts = t.posts.filter(F.col("platform").isin(list(platforms))).select("post_id")
         comments = comments.join(posts, "post_id", "left_semi")
     terms = names.withColumn("ord", F.col("name")).withColumn("term", F.lower("name"))
-    return find_terms(comments.drop("post_id"), "text", terms, bounded).drop("ord", "term")
+    return find_terms(comments.drop("post_id"), "text", terms).drop("ord", "term")
 
 
 def unmonitored(discovered: DataFrame, monitored: DataFrame, monitored_name: str = "name") -> DataFrame:

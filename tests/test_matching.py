@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hearsay.operators import matching as ma
-from hearsay.operators import textsearch
+from hearsay.operators import automaton
 from hearsay.operators.textsearch import find_terms
 
 TEXTS = [
@@ -28,10 +29,9 @@ def frames(spark):
     )
 
 
-@pytest.mark.parametrize("in_place", [True, False])
-def test_tiers(spark, rows, catalog, frames, in_place):
+def test_tiers(spark, rows, catalog, frames):
     comments, posts = frames
-    got = {(r[0], r[1]): (r[2], r[3]) for r in rows(ma.catalog_mentions(comments, catalog, posts, in_place=in_place))}
+    got = {(r[0], r[1]): (r[2], r[3]) for r in rows(ma.catalog_mentions(comments, catalog, posts))}
     assert got == {
         (1, "e1"): ("taylor swift", 1.0),
         (2, "e1"): ("t-swift", 0.9),
@@ -61,20 +61,41 @@ def test_alias_table_last_claim_wins(rows, catalog):
     assert got["tay"] == "e4" and got["t-swift"] == "e1" and got["gos"] == "e3"
 
 
-def test_search_ways_agree(spark, rows):
+@pytest.mark.parametrize("table_bytes", [automaton.TABLE_BYTES, 60])
+def test_terms_in_texts(spark, rows, table_bytes):
+    """Terms inside terms, several rows of a term, and one table or several."""
     texts = spark.createDataFrame(
-        [(1, "aXb% the_thing é😀"), (2, "the thing"), (3, None), (4, "ab"), (5, "THE_THING" * 50)], "id long, t string"
+        [(1, "aXb% the_thing é😀"), (2, "the thing"), (3, None), (4, "ab"), (5, "THE_THING" * 50), (6, "")], "id long, t string"
     )
     terms = spark.createDataFrame(
-        [(1, "a"), (2, "xb%"), (3, "the_thing"), (4, "é😀"), (5, "ab"), (6, "thing the")], "ord int, term string"
+        [(1, "a"), (2, "xb%"), (3, "the_thing"), (4, "é😀"), (5, "ab"), (6, "thing the"), (7, "a"), (8, "")], "ord int, term string"
     )
-    near = rows(find_terms(texts, "t", terms, bounded=True))
-    far = rows(find_terms(texts, "t", terms, bounded=False))
-    keyed = rows(textsearch._find_shuffled(texts, "t", terms))
-    assert near == far == keyed
-    assert {(r[0], r[2]) for r in near} == {
-        (1, "a"), (1, "xb%"), (1, "the_thing"), (1, "é😀"), (4, "a"), (4, "ab"), (5, "the_thing")
+    assert {(r[0], r[1], r[2]) for r in rows(find_terms(texts, "t", terms, table_bytes))} == {
+        (1, 1, "a"), (1, 7, "a"), (1, 2, "xb%"), (1, 3, "the_thing"), (1, 4, "é😀"), (4, 1, "a"), (4, 7, "a"), (4, 5, "ab"), (5, 3, "the_thing")
     }
+    assert rows(find_terms(texts, "t", terms.limit(0), table_bytes)) == []
+
+
+def test_the_automaton_finds_what_contains_finds():
+    """All terms of several lengths over a small alphabet, in texts on both sides of every cut."""
+    rng = np.random.default_rng(3)
+    for size in (1, 10, 400, 3000):
+        terms = sorted({bytes(rng.choice(list(b"ab\xc3\xa9 "), rng.integers(1, 12)).astype(np.uint8)) for _ in range(size)})
+        machine = automaton.build(terms)
+        texts = [bytes(rng.choice(list(b"ab\xc3\xa9 x"), rng.integers(0, 900)).astype(np.uint8)) for _ in range(20)] + [b""]
+        ends = np.cumsum([len(t) for t in texts])
+        text, term = automaton.walk(machine, np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+        assert list(zip(text.tolist(), term.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) for k, x in enumerate(terms) if x in t]
+
+
+def test_a_list_of_many_terms(spark, rows):
+    """60,000 terms go through the plan of ten."""
+    terms = spark.range(60_000).select(F.col("id").alias("ord"), F.concat(F.lit("name "), F.col("id").cast("string"), F.lit(".")).alias("term"))
+    texts = spark.createDataFrame([(1, "Name 5. and name 59999."), (2, "name 60000."), (3, "name 7.name 77.")], "id long, t string")
+    assert rows(find_terms(texts, "t", terms), "id", "ord") == [(1, 5), (1, 59999), (3, 7), (3, 77)]
+    few, many = (find_terms(texts, "t", terms.limit(n))._jdf.queryExecution().executedPlan().toString().split("Subquery")[0] for n in (10, 60_000))
+    assert few.count("pythonUDF0") == many.count("pythonUDF0") > 0 and "pythonUDF1" not in few
+    assert "Exchange" not in many and "Join" not in many
 
 
 def test_long_text_is_searched_whole(spark, rows, catalog):

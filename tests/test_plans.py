@@ -60,9 +60,8 @@ def test_top_per_entity_is_cut_before_the_shuffle(stored):
 def test_no_cross_joins(spark, stored, catalog):
     comments = spark.createDataFrame([("1", "1", "t")], "comment_id string, post_id string, text string")
     posts = spark.createDataFrame([("1", "c")], "post_id string, caption string")
-    for in_place in (True, False):
-        text = plan(ma.catalog_mentions(comments, catalog, posts, in_place=in_place))
-        assert "NestedLoop" not in text and "Cartesian" not in text
+    text = plan(ma.catalog_mentions(comments, catalog, posts))
+    assert "NestedLoop" not in text and "Cartesian" not in text
     for df in (an.velocity(stored, "2024-01-08"), an.top_posts(stored, "2024-01-01", "2024-01-08")):
         assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
 

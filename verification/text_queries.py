@@ -15,6 +15,7 @@ from hearsay.plans import analytics as an
 from hearsay.plans import discovery as di
 from hearsay.plans import quality as qa
 from hearsay.plans import storylines as st
+from hearsay.plans.facts import window_comments
 from verification.core import END, START, VIEWS, query, rounded
 from verification.function_queries import listed
 
@@ -142,6 +143,31 @@ def _(c):
     return ma.full_name_mentions(c.view("tcomments"), c.catalog())
 
 
+# Every run of two and of three words of the conversations is a term: tens of thousands.
+_RUNS = """
+  w AS (SELECT conv_id, turn, string_split(regexp_replace(lower(text), '[ ]+', ' ', 'g'), ' ') AS ws FROM conversations WHERE text IS NOT NULL),
+  runs AS (SELECT DISTINCT unnest(list_concat(
+      list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+      list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS term FROM w)"""
+
+
+@query("d7_many_terms", f"""
+  WITH {_RUNS}
+  SELECT c.conv_id, c.turn, count(*) AS terms, sum(length(t.term)) AS chars FROM conversations c JOIN runs t ON contains(lower(c.text), t.term)
+  WHERE t.term <> '' GROUP BY c.conv_id, c.turn""")
+def _(c):
+    turns = c.view("conversations").select("conv_id", "turn", "text")
+    ws = F.split(F.regexp_replace(F.lower("text"), "[ ]+", " "), " ")
+    n = F.size(ws)
+
+    def runs(size):
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.array_join(F.slice(ws, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    terms = turns.select(F.explode(F.concat(runs(2), runs(3))).alias("term")).distinct().withColumn("ord", F.col("term"))
+    hits = find_terms(turns.select("conv_id", "turn", "text"), "text", terms)
+    return hits.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.char_length("term")).alias("chars"))
+
+
 @query("d8_caption_context", """SELECT DISTINCT p.post_id, k.entity_id FROM posts p JOIN claims k ON contains(lower(p.caption), k.term)""")
 def _(c):
     return ma.caption_context(c.catalog(), c.view("posts"))
@@ -171,12 +197,14 @@ _D11 = f"""
 
 @query("d11_catalog_mentions", _D11)
 def _(c):
-    return ma.catalog_mentions(c.view("replies"), c.catalog(), c.view("tposts"), in_place=True)
+    return ma.catalog_mentions(c.view("replies"), c.catalog(), c.view("tposts"))
 
 
 @query("d11_catalog_mentions_joined", _D11)
 def _(c):
-    return ma.catalog_mentions(c.view("replies"), c.catalog(), c.view("tposts"), in_place=False)
+    # As one array per comment, joined back to its comments.
+    found = ma.mention_arrays(c.view("replies"), c.catalog(), c.view("tposts"))
+    return c.view("replies").select("comment_id").join(found.select("comment_id", "mentions"), "comment_id").selectExpr("comment_id", "inline(mentions)")
 
 
 @query("d9_partial_names", f"SELECT * FROM ({_D11}) m WHERE confidence BETWEEN 0.59 AND 0.76")
@@ -416,8 +444,10 @@ def _(c):
 @query("e6_name_mentions_joined", _E6)
 def _(c):
     names = c.view("found_names").select("name", "entity_type")
-    found = di.name_mentions(_text_tables(c), names, "2024-01-01 00:00:00", END, bounded=False)
-    return found.select("name", "entity_type", "comment_id", "likes")
+    # Several automata, one pass.
+    comments = window_comments(_text_tables(c), "2024-01-01 00:00:00", END).select("comment_id", "likes", "text")
+    terms = names.select("*", F.col("name").alias("ord"), F.lower("name").alias("term"))
+    return find_terms(comments, "text", terms, table_bytes=1 << 10).select("name", "entity_type", "comment_id", "likes")
 
 
 @query("e7_caption_entity", """SELECT post_id, name AS caption_entity FROM (SELECT p.post_id, c.name,
