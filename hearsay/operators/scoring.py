@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay import fixed_values as fv
+from hearsay.operators.textsearch import term_numbers
 from hearsay.sizing import unnest
 
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -39,9 +40,37 @@ def score_texts(df: DataFrame, text: str = "text", scorer: str = fv.RULE_MODEL)
 # ------------------------------------------------------------------ lexicon
 
 
-def count_terms(text: Column, terms: list[str]) -> Column:
-    """How many different terms occur in the text, as substrings."""
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms])
+def caseless(terms: list[str]) -> bool:
+    """Whether lower-casing a text neither hides nor makes an occurrence of these terms."""
+    return all(t == t.lower() == t.upper() for t in terms)
+
+
+def term_counts(df: DataFrame, text: Column, groups: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """``df`` with a count for each group: its different words (ignoring case) and emojis in the text, as substrings.
+
+    One walk over each text finds the terms of all groups; emojis that have a
+    case are looked for in a walk over the text as it stands.
+    """
+    folded, given = set(), set()
+    for words, emojis in groups.values():
+        folded.update(words)
+        (folded if caseless(emojis) else given).update(emojis)
+    found = df
+    numbers = {}
+    for name, body, terms in (("_folded", F.lower(text), sorted(folded)), ("_given", text, sorted(given))):
+        numbers[name] = {t: k for k, t in enumerate(terms)}
+        found = found.withColumn(name, term_numbers(df, body, terms))
+
+    def among(name: str, terms: list[str]) -> Column:
+        own = sorted(numbers[name][t] for t in set(terms))
+        return F.size(F.array_intersect(name, F.array(*[F.lit(k) for k in own]))) if own else F.lit(0)
+
+    counts = {}
+    for group, (words, emojis) in groups.items():
+        shared = caseless(emojis)
+        both = among("_folded", [*words, *emojis]) if shared and not set(words) & set(emojis) else among("_folded", words) + among("_folded" if shared else "_given", emojis)
+        counts[group] = both
+    return found.withColumns(counts).drop("_folded", "_given")
 
 
 def count_tokens(text: Column, terms: list[str]) -> Column:
@@ -50,16 +79,20 @@ def count_tokens(text: Column, terms: list[str]) -> Column:
     return F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in terms])))
 
 
-def lexicon_hits(
-    text: Column, words: list[str], emojis: list[str], match: str = "substring"
-) -> Column:
-    """Distinct lexicon words (ignoring case) and emojis in a text.
+def token_hits(text: Column, words: list[str], emojis: list[str]) -> Column:
+    """Different lexicon words that are tokens of a text, and emojis anywhere in it."""
+    hits = count_tokens(F.lower(text), words)
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(e)).cast("int") for e in emojis], hits)
+
+
+def lexicon_hits(df: DataFrame, text: Column, groups: dict[str, tuple[list[str], list[str]]], match: str = "substring") -> DataFrame:
+    """``df`` with a count for each group of (words, emojis).
 
     ``substring`` also counts words inside other words; ``token`` does not.
     """
-    count = count_terms if match == "substring" else count_tokens
-    hits = count(F.lower(text), words)
-    return hits + count_terms(text, emojis) if emojis else hits
+    if match == "substring":
+        return term_counts(df, text, groups)
+    return df.withColumns({name: token_hits(text, words, emojis) for name, (words, emojis) in groups.items()})
 
 
 def lexicon_score(positive: Column, negative: Column) -> Column:
@@ -94,16 +127,15 @@ def rule_scores(
     """Lexicon score where two or more terms hit, word polarity elsewhere.
 
     Without a word table the fallback is neutral with the lowest confidence and
-    the whole scorer is one projection: no join, no Python.
+    the whole scorer is one pass over the texts, without a join.
     """
     lex = lexicon or {
         "positive": fv.POSITIVE_WORDS, "negative": fv.NEGATIVE_WORDS,
         "positive_emojis": fv.POSITIVE_EMOJIS, "negative_emojis": fv.NEGATIVE_EMOJIS,
     }
     body = F.coalesce(F.col(text), F.lit(""))
-    scored = df.withColumn(
-        "_pos", lexicon_hits(body, lex["positive"], lex.get("positive_emojis", []), match)
-    ).withColumn("_neg", lexicon_hits(body, lex["negative"], lex.get("negative_emojis", []), match))
+    groups = {"_pos": (lex["positive"], lex.get("positive_emojis", [])), "_neg": (lex["negative"], lex.get("negative_emojis", []))}
+    scored = lexicon_hits(df, body, groups, match)
     pos, neg = F.col("_pos"), F.col("_neg")
     enough = pos + neg >= fv.MIN_LEXICON_HITS
     polarity, subjectivity = F.lit(0.0), F.lit(0.0)
@@ -131,15 +163,18 @@ def needs_escalation(sentiment: str = "sentiment") -> Column:
 def hybrid_scores(
     df: DataFrame, text: str = "text", cheap: str = fv.RULE_MODEL, expensive: str = fv.RULE_MODEL
 ) -> DataFrame:
-    """Keep confident cheap scores and send only the rest to the other scorer.
+    """Keep confident cheap scores; the other scorer only gets the texts of the rest.
 
-    The cheap score is a plain projection and the split is a plain filter on
-    it, so the filter runs below a Python scorer, not above it.
+    One scan: the costly scorer reads a column that is NULL in sure rows, so it has
+    nothing to do for them, and the row itself says which score counts. The same
+    scorer twice is one score. A costly scorer must take NULL texts.
     """
     first = score_texts(df, text, cheap)
-    sure = first.filter(~needs_escalation())
-    unsure = first.filter(needs_escalation()).drop("sentiment")
-    return sure.unionByName(score_texts(unsure, text, expensive))
+    if cheap == expensive:
+        return first
+    masked = first.withColumnsRenamed({"sentiment": "_cheap"}).withColumn("_unsure", F.when(needs_escalation("_cheap"), F.coalesce(F.col(text), F.lit(""))))
+    both = score_texts(masked, "_unsure", expensive)
+    return both.withColumn("sentiment", F.when(F.col("_unsure").isNull(), F.col("_cheap")).otherwise(F.col("sentiment"))).drop("_cheap", "_unsure")
 
 
 register_scorer(fv.RULE_MODEL, rule_scores)

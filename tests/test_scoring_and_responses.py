@@ -40,6 +40,21 @@ def test_routing(spark):
     assert got == {1: "rule_based", 2: "fixed"}
 
 
+def test_routing_scans_once_and_masks_sure_rows(spark):
+    df = spark.createDataFrame([(1, "love love amazing great"), (2, "meh"), (3, None)], "comment_id int, text string")
+    sc.register_column_scorer("seen", lambda t: F.struct(F.lit(0.9).alias("score"), F.lit(0.95).alias("confidence"), F.coalesce(t, F.lit("nothing")).alias("source_model")))
+    found = sc.hybrid_scores(df, expensive="seen")
+    assert {r.comment_id: r.sentiment.source_model for r in found.collect()} == {1: "rule_based", 2: "meh", 3: ""}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan ") == 1 and "Union" not in text
+
+
+def test_lexicon_with_cased_signs(spark):
+    df = spark.createDataFrame([(1, "GOOD :D 😍"), (2, "good :d"), (3, None)], "id int, text string")
+    found = sc.lexicon_hits(df, F.col("text"), {"p": (["good", "goo"], [":D", "😍"]), "n": (["d"], [])}).collect()
+    assert [(r.id, r.p, r.n) for r in found] == [(1, 4, 1), (2, 2, 1), (3, 0, 0)]
+
+
 FULL = {
     "entity_scores": {"Taylor Swift (the singer)": "0.5", "Bad": 3, "No": "x"},
     "entity_confidence": {"Taylor Swift": 0.6},

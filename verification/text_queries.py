@@ -51,24 +51,21 @@ VIEWS.update({
 
 @query("d1_lexicon_hits", "SELECT comment_id, p AS positive, n AS negative FROM lexicon_hits")
 def _(c):
-    text = F.col("text")
-    return c.view("tcomments").select(
-        "comment_id", sc.lexicon_hits(text, POSITIVE, []).alias("positive"), sc.lexicon_hits(text, NEGATIVE, []).alias("negative"))
+    groups = {"positive": (POSITIVE, []), "negative": (NEGATIVE, [])}
+    return sc.lexicon_hits(c.view("tcomments").select("comment_id", "text"), F.col("text"), groups).drop("text")
 
 
 @query("d1_fixed_lexicon_hits", f"""SELECT comment_id, {_hits(fv.POSITIVE_WORDS)} + {_hits(fv.POSITIVE_EMOJIS, 'text')} AS positive,
     {_hits(fv.NEGATIVE_WORDS)} + {_hits(fv.NEGATIVE_EMOJIS, 'text')} AS negative FROM tcomments""")
 def _(c):
-    text = F.col("text")
-    return c.view("tcomments").select(
-        "comment_id", sc.lexicon_hits(text, fv.POSITIVE_WORDS, fv.POSITIVE_EMOJIS).alias("positive"),
-        sc.lexicon_hits(text, fv.NEGATIVE_WORDS, fv.NEGATIVE_EMOJIS).alias("negative"))
+    groups = {"positive": (fv.POSITIVE_WORDS, fv.POSITIVE_EMOJIS), "negative": (fv.NEGATIVE_WORDS, fv.NEGATIVE_EMOJIS)}
+    return sc.lexicon_hits(c.view("tcomments").select("comment_id", "text"), F.col("text"), groups).drop("text")
 
 
 @query("d1_lexicon_tokens", f"""SELECT comment_id, len(list_intersect({_TOKENS}, ['that', 'with', 'ate', 'great', 'this', 'les'])) AS positive FROM tcomments""")
 def _(c):
-    return c.view("tcomments").select(
-        "comment_id", sc.lexicon_hits(F.col("text"), POSITIVE, [], "token").cast("bigint").alias("positive"))
+    found = sc.lexicon_hits(c.view("tcomments"), F.col("text"), {"positive": (POSITIVE, [])}, "token")
+    return found.select("comment_id", F.col("positive").cast("bigint").alias("positive"))
 
 
 _RULES = """CASE WHEN p + n >= 2 THEN CAST(p - n AS DOUBLE) / (p + n) ELSE %s END AS score,
