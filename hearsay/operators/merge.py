@@ -177,16 +177,19 @@ def apply_comments(root: str, stored: DataFrame, records: DataFrame) -> None:
 # ----------------------------------------------------------------- signals
 
 
-def merge_signals(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_signals(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Insert or update signals on (comment, entity, type, model).
 
     Both sides carry the deterministic signal id, in which a missing entity is
     a value like any other, so this is a plain equi-join. The value of a topic
-    belongs to its key. A signal that ``new`` repeats counts once; columns that
+    belongs to its key. Of a signal that ``new`` repeats the last row counts: by the column ``order`` if
+    given, then by time and values, so that no order of rows changes the result. Columns that
     only ``old`` has keep their values.
     """
     both = [c for c in old.columns if c in new.columns]
-    once = new.select(both).dropDuplicates(["signal_id"])
+    rest = [c for c in both if c != "signal_id"]
+    latest = F.struct(*([F.col(order)] if order else []), *sorted(rest, key=lambda c: (c != "created_at", c)))
+    once = new.groupBy("signal_id").agg(F.max_by(F.struct(*rest), latest).alias("_row")).select("signal_id", "_row.*")
     joined = old.alias("o").join(once.alias("n"), F.col("o.signal_id") == F.col("n.signal_id"), "full_outer")
     hit = F.col("n.signal_id").isNotNull()
     return joined.select(*[
@@ -335,7 +338,12 @@ def seed_entities(catalog: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def new_seeds(catalog: DataFrame, seeds: DataFrame) -> DataFrame:
-    return seeds.join(catalog.select("name"), "name", "left_anti").select(seeds.columns)
+    """Seeds whose name the catalog does not hold; of a name that comes twice the first counts."""
+    missing = seeds.join(catalog.select("name"), "name", "left_anti").select(seeds.columns)
+    rest = F.struct(*[c for c in seeds.columns if c != "name"])
+    # By the order of the file; rows of one place, or without one, by their values.
+    first = F.struct(*([F.col("load_order")] if "load_order" in seeds.columns else []), rest)
+    return missing.groupBy("name").agg(F.min_by(rest, first).alias("_row")).select("name", "_row.*").select(seeds.columns)
 
 
 def promote_entity(

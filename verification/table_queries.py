@@ -210,6 +210,19 @@ def _(c):
     return grown.select("name", "entity_type", F.array_join("aliases", "|").alias("aliases"))
 
 
+@query("a10_repeated_names", """SELECT name, entity_type, aliases FROM (SELECT p_brand AS name, 'brand' AS entity_type, lower(p_type) AS aliases,
+    row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) p WHERE rn = 1 AND name <> 'Brand#11'
+  UNION ALL SELECT 'Brand#11', 'known', ''""")
+def _(c):
+    # A name many times in one seed file: the first counts, and none that the catalog holds.
+    seeds = c.raw("part").select(
+        F.lit("e").alias("entity_id"), F.col("p_brand").alias("name"), F.lit("brand").alias("entity_type"),
+        F.array(F.lower("p_type")).alias("aliases"), F.col("p_partkey").alias("load_order"))
+    known = c.spark.createDataFrame([("k", "Brand#11", "known", [], 0)], seeds.schema)
+    grown = mg.seed_entities(known, seeds.repartition(7))
+    return grown.select("name", "entity_type", F.array_join("aliases", "|").alias("aliases"))
+
+
 @query("a11_stored_tables", "SELECT count(*) AS comments, CAST(sum(likes) AS BIGINT) AS likes, count(DISTINCT CAST(created_at AS DATE)) AS days FROM comments")
 def _(c):
     root = scratch_path(c.spark, "tables")
@@ -290,6 +303,15 @@ def _(c):
     return mg.merge_signals(old, new).select("comment_id", "entity_id", "signal_type", "value", "numeric_value", "confidence")
 
 
+@query("b4_repeated_signals", """SELECT comment_id, entity_id, signal_type, value, numeric_value + 0.25 AS numeric_value, 0.75::DOUBLE AS confidence FROM signals""")
+def _(c):
+    # Each signal comes three times in one batch; the last one counts, wherever it stands.
+    turns = [_model_signals(c, x).withColumn("nth", F.lit(n)) for n, x in ((2, 0.25), (0, 0.75), (1, 0.5))]
+    new = turns[0].unionByName(turns[1]).unionByName(turns[2]).withColumn("confidence", F.lit(1.0) - F.col("nth") / 8)
+    old = _model_signals(c, 0.0)
+    return mg.merge_signals(old, new, "nth").select("comment_id", "entity_id", "signal_type", "value", "numeric_value", "confidence")
+
+
 @query("b5_discovered_merge", """
   WITH m AS (SELECT name, comment_id, created_at, substr(text, 1, 200) AS sample, CASE WHEN likes < 50 THEN 0 ELSE 1 END AS batch
     FROM source_mentions),
