@@ -45,6 +45,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 COUNTS = 4096  # counts in a row of the table
 MARK_BITS = 512
+FILTER_BITS = 1 << 25
 ENTRY = np.dtype([("token", "<u8"), ("name", "<i8"), ("n", "<i4"), ("p", "<i4")])
 PAIR = np.dtype([("token", "<u8"), ("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("pa", "<i4"), ("pb", "<i4")])
 STARS = "token long, a long, b long, na int, nb int, pa int, pb int"
@@ -183,19 +184,39 @@ def marks_of(members: np.ndarray) -> bytes:
     return np.packbits(np.bincount((finish(members) % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1).tobytes()
 
 
+def bits_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size, whatever the input: the bit of each ``id`` is set, and of few others as long as ids are fewer than bits."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # buckets count from 1, as their numbers do
+    blocks = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in blocks.collect():
+        out[(row["block"] - 1) * 4096:row["block"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (label, members) for the classes of ``wanted`` (name, id): the set of one document of each."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(wanted, "id").select("name", text_col)
+    """Rows (label, members) for the classes of ``wanted`` (name, id): the set of one document of each.
+
+    Texts stay where they are: a bitmap of the wanted ids tells which may be read, and
+    only their sets travel.
+    """
+    bits = bits_of(wanted)
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).select("id", text_col, bit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, 1):
-            sets = own_sets(text_values(piece.column(1)), shingle)
-            # Another row of the id may hold another text.
-            right = [k for k, (name, s) in enumerate(zip(piece.column(0).to_pylist(), sets, strict=True)) if len(s) and name_of(s) == name]
-            members = pa.array([sets[k].tobytes() for k in right], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(right, pa.int64())), members], ["label", "members"])
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            some = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for piece in slices([some], 1):
+                sets = own_sets(text_values(piece.column(1)), shingle)
+                full = [k for k, s in enumerate(sets) if len(s)]
+                arrays = [pa.array([name_of(sets[k]) for k in full], pa.int64()), pa.array([sets[k].tobytes() for k in full], pa.binary())]
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(full, pa.int64())), *arrays], ["id", "name", "members"])
 
-    return rows.mapInArrow(run, "label long, members binary")
+    # Another row of the id may hold another text; rows that repeat both give one set.
+    found = rows.mapInArrow(run, "id long, name long, members binary").join(wanted, ["id", "name"])
+    return found.groupBy(F.col("name").alias("label")).agg(F.first("members").alias("members"))
 
 
 def may_link(stars: DataFrame, percent: int) -> DataFrame:
@@ -295,24 +316,27 @@ def common(one: np.ndarray, two: np.ndarray) -> int:
     return int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
 
 
-def derived_link(x: np.ndarray, z: np.ndarray, ys: list[tuple[int, np.ndarray]], ws: list[tuple[int, np.ndarray]], percent: int) -> tuple[int, int] | None:
+Change = tuple[int, int, np.ndarray, np.ndarray]  # name, size, elements beyond the head, elements of the head that lack
+
+
+def derived_link(x: np.ndarray, z: np.ndarray, base: int, ys: list[Change], ws: list[Change], percent: int) -> tuple[int, int] | None:
     """A link between members ``ys`` of the family of x and ``ws`` of that of z, or None: the answer level.
 
-    The overlap of x and z is counted; all others are derived from it.
+    ``base`` is the overlap of x and z; all others are derived from it and from
+    what members have more and less than their heads.
     """
-    base = common(x, z)
-    more = [(name, w, np.setdiff1d(w, z, True), np.setdiff1d(z, w, True)) for name, w in ws]
-    # What members have beyond their heads bounds what any pair can gain.
-    most = max((len(m[2]) for m in more), default=0)
-    fewest = min((len(m[1]) for m in more), default=0)
-    for name, y in ys:
-        gained, lost = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
-        if base + len(gained) + most < least_overlap(len(y), fewest, percent):
+    most, least = max(len(w[2]) for w in ws), min(w[1] for w in ws)
+    for name, n, gained, lost in ys:
+        if base + len(gained) + most < least_overlap(n, least, percent):
             continue
         with_z = base + common(gained, z) - common(lost, z)
-        for other, w, w_gained, w_lost in more:
-            need = least_overlap(len(y), len(w), percent)
-            if with_z + len(w_gained) >= need and with_z + common(w_gained, y) - common(w_lost, y) >= need:
+        y = None
+        for other, m, w_gained, w_lost in ws:
+            need = least_overlap(n, m, percent)
+            if with_z + len(w_gained) < need:
+                continue
+            y = np.union1d(np.setdiff1d(x, lost, True), gained) if y is None else y
+            if with_z + common(w_gained, y) - common(w_lost, y) >= need:
                 return max(name, other), min(name, other)
     return None
 
@@ -324,26 +348,56 @@ def members_of(pairs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def derived_links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links (a, b) between members of the families of ``pairs`` (x, z), one at most for each two chunks."""
-    sizes = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("cuts"))
-    chunks = sizes.select("head", F.explode(F.expr("sequence(0L, cuts - 1)")).alias("nth"))
-    cells = pairs.join(chunks.select(F.col("head").alias("x"), F.col("nth").alias("i")), "x").join(chunks.select(F.col("head").alias("z"), F.col("nth").alias("j")), "z")
-    cells = cells.withColumn("cell", F.xxhash64("x", "i", "z", "j"))
-    sides = cells.select("cell", F.lit(0).alias("side"), F.col("x").alias("head"), F.col("i").alias("nth")).union(cells.select("cell", F.lit(1), "z", "j"))
-    placed = members.join(sizes, "head").select("head", F.pmod(F.xxhash64("name"), F.col("cuts")).alias("nth"), "name")
-    dealt = sides.join(placed, ["head", "nth"]).select("cell", "side", "head", "name").union(sides.select("cell", "side", "head", F.col("head").alias("name"))).distinct()
-    dealt = dealt.join(sets.select(F.col("label").alias("name"), "members"), "name")
+    """Links (a, b) between members of the families of ``pairs`` (x, z), one at most for each two chunks.
+
+    Each member is compared with its head once and stored as its changes, many
+    members to a chunk; chunks meet only where the heads' overlap leaves room.
+    """
+    own = sets.select(F.col("label").alias("name"), F.col("members").alias("own"))
+    heads = sets.select(F.col("label").alias("head"), F.col("members").alias("given"))
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, gained, lost = [], [], []
+            for y, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                y, x = np.frombuffer(y, "<u8"), np.frombuffer(x, "<u8")
+                sizes.append(len(y))
+                gained.append(np.setdiff1d(y, x, True).tobytes())
+                lost.append(np.setdiff1d(x, y, True).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(gained, pa.binary()), pa.array(lost, pa.binary())], ["head", "name", "n", "gained", "lost"])
+
+    kind = "head long, name long, n long, gained binary, lost binary"
+    changes = members.join(own, "name").join(heads, "head").select("head", "name", "own", "given").mapInArrow(change, kind)
+    cuts = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("cuts"))
+    placed = changes.join(cuts, "head").withColumn("nth", F.pmod(F.xxhash64("name"), F.col("cuts")))
+    # A chunk holds about ``chunk`` members' changes.
+    chunks = staged(placed.groupBy("head", "nth").agg(
+        F.collect_list(F.struct("name", "n", "gained", "lost")).alias("inside"), F.max(F.length("gained") / 8).cast("long").alias("gain"), F.min("n").alias("least")
+    ), "join-chunks")
+
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            base = [common(np.frombuffer(x, "<u8"), np.frombuffer(z, "<u8")) for x, z in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.int64())], ["x", "z", "base"])
+
+    sides = [heads.select(F.col("head").alias(c), F.col("given").alias(f"s{c}")) for c in "xz"]
+    based = pairs.join(sides[0], "x").join(sides[1], "z").select("x", "z", "sx", "sz").mapInArrow(overlap, "x long, z long, base long")
+    meta = [chunks.select(F.col("head").alias(c), F.col("nth").alias(f"n{c}"), F.col("gain").alias(f"g{c}"), F.col("least").alias(f"l{c}")) for c in "xz"]
+    room = (100 + percent) * (F.col("base") + F.col("gx") + F.col("gz")) >= percent * (F.col("lx") + F.col("lz"))
+    cells = staged(staged(based, "join-based").join(meta[0], "x").join(meta[1], "z").filter(room).select("x", "nx", "z", "nz", "base"), "join-cells")
+    bodies = [chunks.select(F.col("head").alias(c), F.col("nth").alias(f"n{c}"), F.col("inside").alias(f"i{c}")) for c in "xz"]
+    whole = cells.join(bodies[0], ["x", "nx"]).join(bodies[1], ["z", "nz"]).join(sides[0], "x").join(sides[1], "z")
 
     def run(table: pa.Table) -> pa.Table:
-        found: list[dict[int, np.ndarray]] = [{}, {}]
-        head = [0, 0]
-        for side, of_head, name, members in zip(*(table.column(c).to_pylist() for c in ("side", "head", "name", "members")), strict=True):
-            head[side] = of_head
-            found[side][name] = np.frombuffer(members, "<u8")
-        link = derived_link(found[0][head[0]], found[1][head[1]], list(found[0].items()), list(found[1].items()), percent) if all(found) else None
-        return pa.table([pa.array([link[0]] if link else [], pa.int64()), pa.array([link[1]] if link else [], pa.int64())], ["a", "b"])
-
-    return dealt.groupBy("cell").applyInArrow(run, "a long, b long").distinct()
+        found = []
+        for row in table.to_pylist():
+            ys, ws = ([(m["name"], m["n"], np.frombuffer(m["gained"], "<u8"), np.frombuffer(m["lost"], "<u8")) for m in row[c]] for c in ("ix", "iz"))
+            link = derived_link(np.frombuffer(row["sx"], "<u8"), np.frombuffer(row["sz"], "<u8"), row["base"], ys, ws, percent)
+            found += [link] if link else []
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return whole.groupBy("x", "nx", "z", "nz").applyInArrow(run, "a long, b long").distinct()
 
 
 def join_groups(

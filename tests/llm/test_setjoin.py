@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearsay.llm import setjoin
 
@@ -68,6 +69,14 @@ def test_repeated_ids_and_empty(spark, rows):
     assert setjoin.join_groups(frame(spark, [])).count() == 0
 
 
+def test_the_filter_holds_every_wanted_id(spark):
+    ids = spark.range(200_000).select((F.col("id") * 7 - 90_000).alias("id"))
+    bits = setjoin.bits_of(ids)
+    at = ids.select(F.pmod(F.xxhash64("id"), F.lit(setjoin.FILTER_BITS)).alias("bit")).toPandas()["bit"].to_numpy()
+    assert ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all()
+    assert np.bitwise_count(bits).sum() == len(np.unique(at))
+
+
 def test_derived_overlaps_are_the_counted_ones():
     """Links of members come out of the heads' overlap and the differences alone."""
     rng = np.random.default_rng(4)
@@ -79,6 +88,7 @@ def test_derived_overlaps_are_the_counted_ones():
             return np.unique(np.concatenate((s[rng.random(len(s)) < 0.95], rng.integers(0, 300, k).astype(np.uint64))))
 
         ys, ws = ([(at + k, near(s, k)) for k in range(5)] for at, s in ((0, x), (10, z)))
+        changes = [[(name, len(m), np.setdiff1d(m, head), np.setdiff1d(head, m)) for name, m in some] for some, head in ((ys, x), (ws, z))]
         real = {(b, a) for a, y in ys for b, w in ws if 100 * len(np.intersect1d(y, w)) >= 80 * len(np.union1d(y, w))}
-        link = setjoin.derived_link(x, z, ys, ws, 80)
+        link = setjoin.derived_link(x, z, setjoin.common(x, z), *changes, 80)
         assert link in real if real else link is None
