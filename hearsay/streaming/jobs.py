@@ -119,16 +119,20 @@ def daily_history_stream(facts: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def hourly_sums(facts: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Sum and count per entity and hour ``window``, which keeps the watermark."""
+    return _entity_sentiment(facts, delay).groupBy(F.window("created_at", "1 hour"), "entity_id").agg(
+        F.sum("numeric_value").alias("sum_score"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def hourly_sentiment_stream(facts: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Hourly sums per entity: the small state from which any window is rolled up.
 
     Sliding 72-hour windows would hold every signal in 72 of them; one tumbling
     hour per signal carries the same information.
     """
-    hourly = _entity_sentiment(facts, delay).groupBy(F.window("created_at", "1 hour"), "entity_id").agg(
-        F.sum("numeric_value").alias("sum_score"), F.count(F.lit(1)).alias("n")
-    )
-    return hourly.select("entity_id", F.col("window.start").alias("hour"), "sum_score", "n")
+    return hourly_sums(facts, delay).select("entity_id", F.col("window.start").alias("hour"), "sum_score", "n")
 
 
 def velocity_from_hours(
@@ -151,11 +155,17 @@ def velocity_from_hours(
         F.coalesce(F.sum("n").over(previous), F.lit(0)).alias("previous_count"),
     )
     enough = (F.col("recent_count") >= min_sample_size) & (F.col("previous_count") >= min_sample_size)
+    return velocity_columns(rolled.filter(enough), alert_percent)
+
+
+def velocity_columns(rolled: DataFrame, alert_percent: float, *keep: str) -> DataFrame:
+    """The comparison of two windows that end with ``hour``, from their averages and counts."""
     change = percent_change(F.col("previous_avg"), F.col("recent_avg"))
-    return rolled.filter(enough).withColumn("change", change).select(
+    return rolled.withColumn("change", change).select(
         "entity_id", (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("as_of"),
         F.bround("recent_avg", 3).alias("recent_sentiment"), F.bround("previous_avg", 3).alias("previous_sentiment"),
         F.bround("change", 1).alias("percent_change"), "recent_count", "previous_count",
         (F.abs("change") > alert_percent).alias("alert"),
         F.when(F.col("change") > 0, "up").otherwise("down").alias("direction"),
+        *keep,
     )

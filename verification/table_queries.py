@@ -599,8 +599,36 @@ _CLOSED = "(SELECT max(created_at) FROM all_facts WHERE signal_type = 'sentiment
   SELECT entity_id, epoch_us(hour + INTERVAL '1' HOUR) AS as_of, round_even(r, 3) AS recent_sentiment, round_even(p, 3) AS previous_sentiment,
     round_even(c, 1) AS percent_change, rn AS recent_count, pn AS previous_count, abs(c) > 30 AS alert, CASE WHEN c > 0 THEN 'up' ELSE 'down' END AS direction FROM ch""")
 def _(c):
-    hourly = _collected(c, jobs.hourly_sentiment_stream(_fact_stream(c)), "hourly")
-    return jobs.velocity_from_hours(hourly).withColumn("as_of", F.unix_micros("as_of"))
+    return _live_velocity(c).filter("hour_count > 0").drop("hour_count")
+
+
+def _live_velocity(c: Context):
+    from hearsay.streaming.velocity import ROCKSDB, STATE_STORE, live_velocity_stream
+
+    before = c.spark.conf.get(STATE_STORE)
+    c.spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return _collected(c, live_velocity_stream(_fact_stream(c)), "velocity").withColumn("as_of", F.unix_micros("as_of"))
+    finally:
+        c.spark.conf.set(STATE_STORE, before)
+
+
+@query("j3_hourly_velocity", f"""
+  WITH h AS (SELECT entity_id, date_trunc('hour', created_at) AS hour, sum(numeric_value) AS s, count(*) AS n FROM all_facts
+      WHERE signal_type = 'sentiment' AND entity_id IS NOT NULL AND date_trunc('hour', created_at) + INTERVAL '1' HOUR <= {_CLOSED} - INTERVAL '1' HOUR GROUP BY 1, 2),
+  every AS (SELECT entity_id, unnest(generate_series(lo, {_CLOSED} - INTERVAL '2' HOUR, INTERVAL '1' HOUR)) AS hour FROM (SELECT entity_id, min(hour) AS lo FROM h GROUP BY 1)),
+  v AS (SELECT a.entity_id, a.hour, sum(CASE WHEN b.hour > a.hour - INTERVAL '72' HOUR THEN b.s END) / sum(CASE WHEN b.hour > a.hour - INTERVAL '72' HOUR THEN b.n END) AS r,
+      CAST(coalesce(sum(CASE WHEN b.hour > a.hour - INTERVAL '72' HOUR THEN b.n END), 0) AS BIGINT) AS rn,
+      sum(CASE WHEN b.hour <= a.hour - INTERVAL '72' HOUR THEN b.s END) / sum(CASE WHEN b.hour <= a.hour - INTERVAL '72' HOUR THEN b.n END) AS p,
+      CAST(coalesce(sum(CASE WHEN b.hour <= a.hour - INTERVAL '72' HOUR THEN b.n END), 0) AS BIGINT) AS pn,
+      CAST(coalesce(sum(CASE WHEN b.hour = a.hour THEN b.n END), 0) AS BIGINT) AS hn
+    FROM every a JOIN h b ON a.entity_id = b.entity_id AND b.hour <= a.hour AND b.hour > a.hour - INTERVAL '144' HOUR GROUP BY a.entity_id, a.hour),
+  ch AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE (r - p) / abs(p) * 100 END AS c FROM v WHERE rn >= 10 AND pn >= 10)
+  SELECT entity_id, epoch_us(hour + INTERVAL '1' HOUR) AS as_of, round_even(r, 3) AS recent_sentiment, round_even(p, 3) AS previous_sentiment,
+    round_even(c, 1) AS percent_change, rn AS recent_count, pn AS previous_count, abs(c) > 30 AS alert, CASE WHEN c > 0 THEN 'up' ELSE 'down' END AS direction,
+    hn AS hour_count FROM ch""")
+def _(c):
+    return _live_velocity(c)
 
 
 @query("j4_toxicity_stream", "SELECT comment_id, likes, numeric_value AS toxicity FROM all_facts WHERE signal_type = 'toxicity' AND numeric_value >= 0.7")
