@@ -10,14 +10,11 @@ from hearsay.functions.labels import sentiment_label, toxicity_level
 from hearsay.functions.numbers import like_weight
 from hearsay.functions.text import is_discovered_name, is_scored_name, strip
 from hearsay.keys import review_id, signal_id
-from hearsay.operators.matching import mention_arrays, resolve_names
+from hearsay.operators.matching import capitalised_names, mention_arrays, resolved_ids
 from hearsay.operators.scoring import score_texts
 from hearsay.sizing import let, unnest
 
-_ITEM = (
-    "struct<signal_type:string,entity_id:{id},entity_name:string,value:string,"
-    "numeric_value:double,confidence:double>"
-)
+_ITEM = "struct<signal_type:string,entity_id:{id},value:string,numeric_value:double,confidence:double>"
 
 
 # ---------------------------------------------------------------- work set
@@ -93,31 +90,42 @@ def analysed_comments(comments_with_mentions: DataFrame, analyses: DataFrame) ->
     return comments_with_mentions.join(analyses.select("comment_id", "analysis"), "comment_id")
 
 
-def signal_candidates(analysed: DataFrame) -> DataFrame:
-    """All signals of one analysis, by a single explode over one scan.
+def response_signals(
+    analysed: DataFrame, entities: DataFrame, run_ts: Column, source_model: str, *keep: str
+) -> DataFrame:
+    """All signals of validated analyses, entities resolved by any spelling.
 
-    Needs ``comment_id, likes, mentions, analysis``. ``entity_name`` is set on
-    rows whose entity still has to be resolved by name.
+    Needs ``comment_id, likes, mentions, analysis``, one row per comment; ``keep`` names
+    columns to carry along. Names are resolved and folded inside the row, so nothing moves after
+    the fan-out: of two spellings of one entity in a comment the last wins.
     """
-    id_type = analysed.schema["mentions"].dataType.elementType["entity_id"].dataType.simpleString()
+    id_type = entities.schema["entity_id"].dataType.simpleString()
     item = _ITEM.format(id=id_type)
     none = F.array().cast(f"array<{item}>")
     a, mentions = F.col("analysis"), F.col("mentions")
 
-    def row(kind, entity=None, name=None, value=None, number=None, confidence=None) -> Column:
+    def row(kind, entity=None, value=None, number=None, confidence=None) -> Column:
         return F.struct(
             F.lit(kind).alias("signal_type"),
             (F.lit(None) if entity is None else entity).cast(id_type).alias("entity_id"),
-            (F.lit(None) if name is None else name).cast("string").alias("entity_name"),
             (F.lit(None) if value is None else value).cast("string").alias("value"),
             (F.lit(None) if number is None else number).cast("double").alias("numeric_value"),
             (F.lit(None) if confidence is None else F.lit(confidence)).cast("double").alias("confidence"),
         )
 
-    trusted = F.filter(_scored_names(a), lambda s: s["confidence"] >= fv.MIN_ENTITY_CONFIDENCE)
+    found = analysed.withColumn("_trusted", F.filter(_scored_names(a), lambda s: s["confidence"] >= fv.MIN_ENTITY_CONFIDENCE))
+    found = found.withColumn("_ids", resolved_ids(found, F.transform("_trusted", lambda s: s["name"]), entities))
+
+    def last_known(s: Column, i: Column) -> Column:
+        entity = F.get("_ids", i)
+        later = F.array_contains(F.slice("_ids", i + 2, F.size("_ids")), entity)
+        # Beside unknown names, "not found" is NULL.
+        return entity.isNotNull() & ~F.coalesce(later, F.lit(False))
+
+    placed = F.transform("_trusted", lambda s, i: F.struct(s.alias("s"), F.get("_ids", i).alias("entity_id")))
     targeted = F.transform(
-        trusted,
-        lambda s: row("sentiment", None, s["name"], sentiment_label(s["score"]), s["score"], s["confidence"]),
+        F.filter(placed, lambda p, i: last_known(p, i)),
+        lambda p: row("sentiment", p["entity_id"], sentiment_label(p["s"]["score"]), p["s"]["score"], p["s"]["confidence"]),
     )
     stance = (
         F.when(a["stance"] == "oppose", -fv.STANCE_FALLBACK_SCORE)
@@ -127,39 +135,21 @@ def signal_candidates(analysed: DataFrame) -> DataFrame:
     fallback = F.when(
         F.size(a["entity_scores"]) == 0,
         F.transform(mentions, lambda m: row(
-            "sentiment", m["entity_id"], None, sentiment_label(stance), stance, fv.STANCE_FALLBACK_CONFIDENCE)),
+            "sentiment", m["entity_id"], sentiment_label(stance), stance, fv.STANCE_FALLBACK_CONFIDENCE)),
     ).otherwise(none)
     emotion = F.when(
         F.size(mentions) > 0,
-        F.transform(mentions, lambda m: row(
-            "emotion", m["entity_id"], None, a["emotion"], None, fv.EMOTION_CONFIDENCE)),
-    ).otherwise(F.array(row("emotion", None, None, a["emotion"], None, fv.EMOTION_CONFIDENCE)))
-    topics = F.transform(
-        F.array_distinct(a["topics"]), lambda t: row("topic", None, None, t, None, fv.TOPIC_CONFIDENCE)
-    )
-    toxicity = F.array(row(
-        "toxicity", None, None, toxicity_level(a["toxicity"]), a["toxicity"], fv.TOXICITY_CONFIDENCE))
+        F.transform(mentions, lambda m: row("emotion", m["entity_id"], a["emotion"], None, fv.EMOTION_CONFIDENCE)),
+    ).otherwise(F.array(row("emotion", None, a["emotion"], None, fv.EMOTION_CONFIDENCE)))
+    topics = F.transform(F.array_distinct(a["topics"]), lambda t: row("topic", None, t, None, fv.TOPIC_CONFIDENCE))
+    toxicity = F.array(row("toxicity", None, toxicity_level(a["toxicity"]), a["toxicity"], fv.TOXICITY_CONFIDENCE))
     sarcasm = F.when(
-        a["sarcasm"], F.array(row("sarcasm", None, None, F.lit("sarcasm"), F.lit(1.0), fv.SARCASM_CONFIDENCE))
+        a["sarcasm"], F.array(row("sarcasm", None, F.lit("sarcasm"), F.lit(1.0), fv.SARCASM_CONFIDENCE))
     ).otherwise(none)
     items = F.concat(targeted, fallback, emotion, topics, toxicity, sarcasm)
     weight = like_weight(F.col("likes")).alias("weight_score")
-    out = unnest(analysed, ["comment_id", weight], items, "s", "_ord")
-    return out.select("comment_id", "weight_score", "_ord", "s.*")
-
-
-def response_signals(
-    analysed: DataFrame, entities: DataFrame, run_ts: Column, source_model: str
-) -> DataFrame:
-    """Signal rows of validated analyses, entities resolved by any spelling.
-
-    Two spellings of one entity in a comment give one signal: the last wins.
-    """
-    found = resolve_names(signal_candidates(analysed), "entity_name", entities)
-    kept = found.filter(F.col("entity_name").isNull() | F.col("resolved_entity_id").isNotNull())
-    rows = kept.withColumn("entity_id", F.coalesce("entity_id", "resolved_entity_id"))
-    done = finish_signals(rows, run_ts, F.lit(source_model), "_ord")
-    return last_by_key(done, "signal_id", "_ord").drop("_ord")
+    out = unnest(found, ["comment_id", weight, *keep], items, "s").select("comment_id", "weight_score", *keep, "s.*")
+    return finish_signals(out, run_ts, F.lit(source_model), *keep)
 
 
 def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -198,15 +188,19 @@ def review_items(analysed: DataFrame, run_ts: Column) -> DataFrame:
             F.format_string("Low confidence (%.2f) for entity assignment", s["confidence"]).alias("reason"),
         ),
     )
+    # Of a name that a comment queues twice the last item counts.
+    once = let(F.concat(unsure, a["ambiguous_mentions"]), lambda items: let(
+        F.transform(items, lambda x: x["name"]),
+        lambda names: F.filter(items, lambda x, i: ~F.coalesce(F.array_contains(F.slice(names, i + 2, F.size(names)), x["name"]), F.lit(False))),
+    ))
     kept = ["comment_id", F.col("text").alias("context"), F.col("caption").alias("post_caption")]
-    items = unnest(analysed, kept, F.concat(unsure, a["ambiguous_mentions"]), "m", "_ord")
-    rows = items.select(
+    items = unnest(analysed, kept, once, "m")
+    return items.select(
         review_id(F.col("comment_id"), F.col("m.name")).alias("review_id"),
         "comment_id", F.col("m.name").alias("entity_mention"), "context", "post_caption",
         "m.confidence", "m.possible_entities", "m.reason", F.lit(False).alias("reviewed"),
-        run_ts.alias("created_at"), "_ord",
+        run_ts.alias("created_at"),
     )
-    return last_by_key(rows, "review_id", "_ord").drop("_ord")
 
 
 def discovered_from_responses(analysed: DataFrame, entities: DataFrame) -> DataFrame:
@@ -224,11 +218,22 @@ def discovered_from_responses(analysed: DataFrame, entities: DataFrame) -> DataF
     once = let(listed, lambda names: F.filter(
         names, lambda x, i: F.array_position(F.transform(names, lambda y: y["key"]), x["key"]) == i + 1
     ))
-    names = unnest(analysed, ["comment_id", "created_at", "text"], once, "n")
-    found = resolve_names(names.select("comment_id", "created_at", "text", "n.name", "n.sure"), "name", entities)
-    return found.filter(F.col("sure") | F.col("resolved_entity_id").isNull()).filter(
-        is_discovered_name(F.col("name"))
-    ).select("comment_id", "name", F.lit("PERSON").alias("entity_type"), "created_at", "text")
+    found = analysed.withColumn("_listed", once)
+    found = found.withColumn("_ids", resolved_ids(found, F.transform("_listed", lambda n: n["name"]), entities))
+    outside = F.filter("_listed", lambda n, i: (n["sure"] | F.get("_ids", i).isNull()) & is_discovered_name(n["name"]))
+    names = unnest(found, ["comment_id", "created_at", "text"], outside, "n")
+    return names.select("comment_id", "n.name", F.lit("PERSON").alias("entity_type"), "created_at", "text")
+
+
+def discovered_in_texts(matched: DataFrame, entity_type: str = "PERSON") -> DataFrame:
+    """Names the built-in annotator finds in texts, once per comment, unless the catalog's mentions cover them.
+
+    Needs ``comment_id, created_at, text, mentions``.
+    """
+    known = F.transform("mentions", lambda m: m["mention_text"])
+    named = F.filter(F.array_distinct(capitalised_names(F.col("text"))), lambda n: ~F.array_contains(known, F.lower(n)))
+    names = unnest(matched, ["comment_id", "created_at", "text"], named, "name")
+    return names.select("comment_id", "name", F.lit(entity_type).alias("entity_type"), "created_at", "text")
 
 
 def enrichment_stats(comments: DataFrame, signals: DataFrame, discovered: DataFrame, review: DataFrame | None = None) -> DataFrame:

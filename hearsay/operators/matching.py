@@ -11,6 +11,9 @@ lend context, are joined as one short array per post.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +91,29 @@ def resolve_names(df: DataFrame, name: str, entities: DataFrame, how: str = "lef
     return keyed.join(aliases, keyed["_key"] == aliases["alias"], how).drop("_key", "alias")
 
 
+def resolved_ids(df: DataFrame, names: Column, entities: DataFrame) -> Column:
+    """Beside every name of an array the id of its entity, by any spelling; NULL for unknown names.
+
+    As ``resolve_names``, inside the row: the spellings of the catalog are broadcast, rows are neither
+    exploded nor moved. ``df`` only names the session. A NULL array has no ids.
+    """
+    table = alias_table(entities).orderBy("alias").toArrow().combine_chunks()
+    spellings, owners = (
+        pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in (table.column("alias"), table.column("entity_id"))
+    )
+    payload = df.sparkSession.sparkContext.broadcast((spellings, owners))
+
+    @F.arrow_udf(f"array<{entities.schema['entity_id'].dataType.simpleString()}>")
+    def ids(lists: pa.Array) -> pa.Array:
+        spellings, owners = payload.value
+        asked = lists.flatten()
+        found = owners.take(pc.index_in(asked, value_set=spellings.cast(asked.type)))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), found)
+
+    return ids(F.transform(names, lambda n: strip(F.lower(n))))
+
+
 def caption_context(entities: DataFrame, posts: DataFrame, caption: str = "caption") -> DataFrame:
     """(post_id, entity_id) for every entity named in a post's caption."""
     terms = _ordered(entities).select(

@@ -146,3 +146,26 @@ def test_rule_signals(spark, rows, catalog):
     got = rows(en.rule_signals(comments, catalog, None, run(spark)), "entity_id", "value", "numeric_value", "confidence", "weight_score")
     assert (None, "Strongly Positive", 1.0, 0.7, 2.0) in got and ("e1", "Strongly Positive", 1.0, 0.7, 2.0) in got
     assert {r[0] for r in got} == {None, "e1", "e2", "e4"}
+
+
+def test_names_are_resolved_inside_the_row(spark, rows, catalog):
+    """The later of two spellings wins, unknown and missing names stay out, and nothing is shuffled."""
+    frame = analysed(spark, {"ambiguous_mentions": [("Ryan", ["e2"], 0.4, "one"), ("Ryan", ["e3"], 0.3, "two")]})
+    # Built as a map column: a Python dict does not reach Spark in its order.
+    scores = F.map_from_arrays(F.array(*map(F.lit, ["T-Swift", "taylor swift", "Nobody Known"])), F.array(*map(F.lit, [0.8, 0.4, 0.2])))
+    frame = frame.withColumn("analysis", F.col("analysis").withField("entity_scores", scores))
+    frame = frame.unionByName(analysed(spark, {}).withColumn("analysis", F.lit(None).cast(ANALYSIS)))
+    signals = en.response_signals(frame, catalog, run(spark), "m", "created_at")
+    assert [r[1:] for r in rows(signals, "signal_type", "entity_id", "numeric_value") if r[0] == "sentiment"] == [("e1", 0.4)]
+    items = en.review_items(frame, run(spark))
+    assert rows(items, "entity_mention", "reason") == [("Ryan", "two")]
+    for df in (signals, items, en.discovered_from_responses(frame, catalog)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_in_texts_outside_the_catalog(spark, rows):
+    mentions = "array<struct<entity_id:string,mention_text:string,confidence:double>>"
+    frame = spark.sql(f"""SELECT 'c1' AS comment_id, current_timestamp() AS created_at, "Jane Doe met Ann Lee and Jane Doe" AS text,
+      from_json('[{{"mention_text": "ann lee"}}]', '{mentions}') AS mentions
+      UNION ALL SELECT 'c2', NULL, NULL, CAST(array() AS {mentions})""")
+    assert rows(en.discovered_in_texts(frame), "comment_id", "name") == [("c1", "Jane Doe")]
