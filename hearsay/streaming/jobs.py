@@ -15,6 +15,7 @@ from hearsay.functions.numbers import percent_change
 from hearsay.functions.text import clip
 from hearsay.operators.enrich import rule_signals
 from hearsay.operators.merge import apply_comments, apply_posts, apply_signals, post_records
+from hearsay.operators.run import enrich
 from hearsay.tables import read_tables
 
 
@@ -73,6 +74,32 @@ def enrich_stream(
     return _start(comments, merge, checkpoint, **trigger)
 
 
+def response_stream(
+    comments: DataFrame, responses: DataFrame, entities: DataFrame, posts: DataFrame, root: str, checkpoint: str,
+    run_ts: Column, source_model: str, name: str = "responses", wait: str = "1 hour", delay: str = "10 minutes", **trigger,
+) -> StreamingQuery:
+    """Join live comments to the responses that follow them, and enrich both into the stored tables.
+
+    ``comments`` as in ``enrich``; ``responses``: comment_id, raw_json, responded_at. A response counts if it
+    comes within ``wait`` of its comment; a comment that has none by then, or a late one, gets the neutral analysis once the
+    watermark shows it. Of two deliveries of a comment or a response the first counts. Rows that arrive
+    more than ``delay`` behind their stream may be left out, as may rows without id or time.
+    Each batch is a named run, so a batch replayed after a failure changes nothing.
+    """
+    said = comments.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["comment_id"])
+    answers = responses.select(F.col("comment_id").alias("_answered"), "raw_json", "responded_at")
+    answers = answers.withWatermark("responded_at", delay).dropDuplicatesWithinWatermark(["_answered"])
+    near = (F.col("comment_id") == F.col("_answered")) & (F.col("responded_at") >= F.col("created_at")) & (
+        F.col("responded_at") <= F.col("created_at") + F.expr(f"INTERVAL {wait}")
+    )
+    joined = said.join(answers, near, "left_outer").drop("_answered", "responded_at")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        enrich(batch, None, entities, posts, root, f"{name}-{batch_id}", run_ts, source_model)
+
+    return _start(joined, merge, checkpoint, **trigger)
+
+
 def append_batches(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append results as files; the file sink commits each batch once."""
     return (

@@ -151,6 +151,16 @@ VIEWS = {
         SELECT comment_id, CASE WHEN user_id % 5 = 0 THEN substr(raw_full, 1, length(raw_full) - user_id * 3 - 1)
           ELSE raw_full END AS raw_json
         FROM full_responses""",
+    # Replies at a day of their conversation, and what an analyser answers to each, up to two hours
+    # later; some calls fail.
+    "run_comments": """
+        SELECT *, CAST(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST(post_id % 20 AS INT) AS TIMESTAMP) AS created_at,
+          comment_id % (SELECT count(*) FROM events) AS asked_id
+        FROM replies""",
+    "run_responses": """
+        SELECT r.comment_id, CASE WHEN r.likes % 9 = 0 THEN NULL ELSE s.raw_json END AS raw_json,
+          CAST(r.created_at + INTERVAL '1' HOUR * CAST(r.comment_id % 3 AS INT) AS TIMESTAMP) AS responded_at
+        FROM run_comments r JOIN responses s ON s.comment_id = r.asked_id""",
 }
 
 

@@ -382,6 +382,101 @@ def _(c):
     return en.enrichment_stats(analysed, signals, en.discovered_from_responses(analysed, _nations(c)))
 
 
+# ------------------------------------------------------------ whole runs
+
+def _run_sql(answered: str, counts: str = "") -> str:
+    """The stored tables after a run over all replies; ``answered`` gives each its response or NULL."""
+    return f"""
+  WITH rr AS (SELECT comment_id, coalesce(raw_json, '{{}}') AS raw_json FROM ({answered}) a),
+  men AS (SELECT d.* FROM ({_D11}) d JOIN rr ON rr.comment_id = d.comment_id),
+  {_PARTS.replace("FROM responses)", "FROM rr)").strip()[4:]},
+  ent AS (SELECT entity_id, concat('nation_', entity_id) AS key FROM catalog),
+  fan AS (
+    SELECT sc.comment_id, ent.entity_id, 'sentiment' AS kind, {_LEVEL.format('score')} AS value, score AS numeric_value, confidence
+      FROM sc JOIN ent ON key = lower(name) WHERE confidence >= 0.7
+    UNION ALL SELECT comment_id, entity_id, 'sentiment', {_LEVEL.format('st')}, st, 0.7 FROM (
+      SELECT men.comment_id, entity_id, CASE stance WHEN 'oppose' THEN -0.5::DOUBLE WHEN 'support' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS st
+      FROM lab JOIN men ON men.comment_id = lab.comment_id WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.comment_id = lab.comment_id)) x
+    UNION ALL SELECT lab.comment_id, entity_id, 'emotion', emotion, NULL, 0.8 FROM lab LEFT JOIN men ON men.comment_id = lab.comment_id
+    UNION ALL SELECT DISTINCT comment_id, CAST(NULL AS BIGINT), 'topic', t, CAST(NULL AS DOUBLE), 0.7::DOUBLE FROM (SELECT comment_id, unnest(topics) AS t FROM lab) x
+    UNION ALL SELECT comment_id, NULL, 'toxicity', CASE WHEN toxicity >= 0.7 THEN 'high' WHEN toxicity >= 0.4 THEN 'medium' ELSE 'low' END, toxicity, 0.8 FROM lab
+    UNION ALL SELECT comment_id, NULL, 'sarcasm', 'sarcasm', 1, 0.7 FROM lab WHERE sarcasm),
+  run_names AS (
+    SELECT comment_id, name FROM (SELECT comment_id, unnest(others) AS name FROM lab
+      UNION ALL SELECT comment_id, name FROM sc WHERE lower(name) NOT IN (SELECT key FROM ent)) o WHERE lower(name) <> 'photo'
+    UNION SELECT a.comment_id, name FROM (SELECT comment_id, unnest({_CAPS}) AS name FROM replies) a JOIN rr ON rr.comment_id = a.comment_id
+      WHERE NOT EXISTS (SELECT 1 FROM men WHERE men.comment_id = a.comment_id AND mention_text = lower(name))),
+  run_items AS (SELECT comment_id, name, confidence FROM sc WHERE confidence < 0.7
+    UNION ALL SELECT comment_id, 'Justin', 0.4::DOUBLE FROM j WHERE ok AND contains(raw_json, 'two of them')),
+  run_stored AS (SELECT kind, comment_id, entity_id, value, numeric_value, confidence, CAST(NULL AS BIGINT) AS n FROM fan
+    UNION ALL SELECT 'discovered', NULL, NULL, name, NULL, NULL, count(*) FROM run_names GROUP BY name
+    UNION ALL SELECT 'review', comment_id, NULL, name, NULL, confidence, NULL FROM run_items)
+  SELECT * FROM run_stored{counts}"""
+
+
+def _run_store(c, root: str, counts=None):
+    from hearsay.tables import read_tables
+
+    stored = read_tables(c.spark, root, ["extracted_signals", "discovered_entities", "review_queue"])
+    columns = ["kind", "comment_id", "entity_id", "value", "numeric_value", "confidence", "n"]
+    kinds = ["string", "bigint", "bigint", "string", "double", "double", "bigint"]
+
+    def rows(df, **given):
+        return df.select(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in zip(columns, kinds)])
+
+    s, d, q = stored.extracted_signals, stored.discovered_entities, stored.review_queue
+    out = rows(s, **{**{n: F.col(n) for n in columns[1:6]}, "kind": F.col("signal_type")})
+    out = out.unionByName(rows(d, kind=F.lit("discovered"), value=F.col("name"), n=F.col("mention_count")))
+    out = out.unionByName(rows(q, kind=F.lit("review"), comment_id=F.col("comment_id"), value=F.col("entity_mention"), confidence=F.col("confidence")))
+    return out if counts is None else out.unionByName(rows(counts, kind=F.col("kind"), n=F.col("count")))
+
+
+def _run_catalog(c):
+    known = F.concat(F.lit("NATION_"), F.col("entity_id").cast("string"))
+    return c.catalog().withColumn("aliases", F.concat("aliases", F.array(known)))
+
+
+@query("d22_enrichment_run", _run_sql("SELECT c.comment_id, raw_json FROM run_comments c LEFT JOIN run_responses r ON r.comment_id = c.comment_id", """
+  UNION ALL SELECT 'comments_processed', NULL, NULL, NULL, NULL, NULL, count(*) FROM rr
+  UNION ALL SELECT 'signals_created', NULL, NULL, NULL, NULL, NULL, count(*) FROM fan
+  UNION ALL SELECT 'entities_discovered', NULL, NULL, NULL, NULL, NULL, count(*) FROM run_names
+  UNION ALL SELECT 'queued_for_review', NULL, NULL, NULL, NULL, NULL, count(*) FROM run_items"""))
+def _(c):
+    from hearsay.operators.run import create_store, enrich
+    from hearsay.session import scratch_path
+
+    root = scratch_path(c.spark, "store")
+    create_store(c.spark, root)
+    for name in ("first", "second"):
+        # The second run meets all comments again and changes nothing.
+        counts = enrich(c.view("run_comments"), c.view("run_responses"), _run_catalog(c), c.view("tposts"), root, name, F.timestamp_seconds(F.lit(0)), "model")
+    return _run_store(c, root, counts)
+
+
+# Responses of a third of the comments come too late; the last day's comments are still waiting for theirs.
+@query("j2_response_stream", _run_sql("""
+  SELECT c.comment_id, r.raw_json FROM run_comments c LEFT JOIN run_responses r
+    ON r.comment_id = c.comment_id AND r.responded_at <= c.created_at + INTERVAL '1' HOUR
+  WHERE r.comment_id IS NOT NULL OR c.created_at < (SELECT max(created_at) FROM run_comments)"""))
+def _(c):
+    from hearsay.operators.run import create_store
+    from hearsay.session import scratch_path
+    from hearsay.streaming.jobs import response_stream
+
+    def live(name):
+        path = scratch_path(c.spark, name)
+        c.view(name).write.parquet(path)
+        return c.spark.readStream.schema(c.view(name).schema).parquet(path)
+
+    root = scratch_path(c.spark, "store")
+    create_store(c.spark, root)
+    response_stream(
+        live("run_comments"), live("run_responses"), _run_catalog(c), c.view("tposts"), root, scratch_path(c.spark, "progress"),
+        F.timestamp_seconds(F.lit(0)), "model",
+    ).awaitTermination()
+    return _run_store(c, root)
+
+
 @query("f25_score_totals", _PARTS + """ SELECT count(*) AS responses, count(DISTINCT sc.comment_id) AS with_entity_scores,
     count(DISTINCT CASE WHEN recovered THEN lab.comment_id END) AS recovered, count(DISTINCT CASE WHEN toxicity > 0.5 THEN lab.comment_id END) AS high_toxicity,
     max(toxicity) AS max_toxicity FROM lab LEFT JOIN sc ON sc.comment_id = lab.comment_id""")
