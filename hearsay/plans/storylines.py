@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay import fixed_values as fv
 from hearsay.functions.labels import trajectory
 from hearsay.plans.facts import window_comments
 from hearsay.session import checkpointed
-from hearsay.sizing import packed
+from hearsay.sizing import packed, unnest
 from hearsay.tables import Tables
 
 
@@ -21,14 +23,24 @@ def engaged_comments(
     return liked.orderBy(F.desc("likes"), "comment_id").limit(limit)
 
 
+def _hits(text: Column, line: str) -> Column:
+    """Whole-word hits of ``line``, a word, phrase or pattern, in a lower-case text.
+
+    Only a text that contains the phrase is worth the pattern.
+    """
+    counted = F.regexp_count(text, F.lit(rf"(?U)\b{line}\b"))
+    if re.search(r"[^\w ]", line):
+        return counted
+    return F.when(F.contains(text, F.lit(line)), counted).when(text.isNotNull(), 0)
+
+
 def storyline_counts(
     comments: DataFrame, storylines: list[str] | None = None, min_hits: int = fv.STORYLINE_MIN_HITS,
     keep: int = fv.STORYLINE_KEEP,
 ) -> DataFrame:
     """Whole-word hits of each storyline over the texts, the most frequent first."""
     names = storylines or fv.STORYLINES
-    text = F.lower("text")
-    hits = [F.sum(F.regexp_count(text, F.lit(rf"(?U)\b{s}\b"))).alias(f"_{i}") for i, s in enumerate(names)]
+    hits = [F.sum(_hits(F.lower("text"), s)).alias(f"_{i}") for i, s in enumerate(names)]
     listed = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(s).alias("storyline"), F.col(f"_{i}").alias("mention_count")) for i, s in enumerate(names)
     ])
@@ -53,26 +65,39 @@ def storylines(
     if limit is not None:
         # Staged: a few rows that the counts and the pairs both read.
         comments = checkpointed(comments.orderBy(F.desc("likes"), "comment_id").limit(limit).select("comment_id", "text"))
-    # Staged: a handful of rows that are read three times, each a scan of the texts otherwise.
-    counts = checkpointed(storyline_counts(comments, names))
-    lines = packed(counts.select("ord", "storyline", F.lower("storyline").alias("term")), "ord")
+    listed = names or fv.STORYLINES
     people = packed(top.select("rank", "entity_name", F.lower("entity_name").alias("term")), "rank")
-    texts = comments.select(F.lower("text").alias("_text"), lines.alias("_lines"), people.alias("_people"))
-    met = texts.select(
-        F.filter("_lines", lambda x: F.contains(F.col("_text"), x["term"])).alias("_lines"),
-        F.filter("_people", lambda x: F.contains(F.col("_text"), x["term"])).alias("_people"),
+    texts = comments.select(F.lower("text").alias("_text"), people.alias("_people"))
+    found = F.array(*[
+        F.struct(F.lit(i).alias("ord"), _hits(F.col("_text"), s).alias("hits"), F.contains("_text", F.lit(s.lower())).alias("inside"))
+        for i, s in enumerate(listed)
+    ])
+    met = texts.select("_text", "_people", F.filter(found, lambda x: (x["hits"] > 0) | x["inside"]).alias("_lines")).select(
+        "_lines", F.when(
+            F.size("_lines") > 0, F.filter("_people", lambda x: F.contains(F.col("_text"), x["term"]))
+        ).alias("_people"),
+    )
+    # A line gives one row with its hits and one for each entity of the same comment.
+    nobody = F.array(F.lit(None).cast(top.select("rank", "entity_name", F.lower("entity_name").alias("term")).schema))
+    lines = unnest(met, ["_people"], F.col("_lines"), "line")
+    with_them = F.when(F.col("line.inside"), F.concat(nobody, "_people")).otherwise(nobody)
+    rows = lines.select("line", F.explode_outer(with_them).alias("who"))
+    # Staged: at most lines times entities rows, all that one scan of the texts gives.
+    folded = checkpointed(rows.groupBy("line.ord", "who.rank", "who.entity_name").agg(F.count(F.lit(1)).alias("n"), F.sum("line.hits").alias("hits")))
+    titles = F.array(*map(F.lit, listed))
+    counts = (
+        folded.filter("rank IS NULL AND hits >= 1").withColumn("storyline", F.get(titles, F.col("ord")))
+        .filter(F.col("hits") >= fv.STORYLINE_MIN_HITS).orderBy(F.desc("hits"), "ord").limit(fv.STORYLINE_KEEP)
+        .select("ord", "storyline", F.col("hits").alias("mention_count"))
     )
-    pairs = met.select("_people", F.explode("_lines").alias("line")).select("line.storyline", F.explode("_people").alias("who"))
     linked = (
-        pairs.groupBy("storyline", "who.rank", "who.entity_name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n >= 2")
-        .groupBy("storyline")
+        folded.filter("rank IS NOT NULL AND n >= 2")
+        .groupBy("ord")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "entity_name"))).alias("_who"))
     )
     shown = F.array_join(F.slice(F.transform("_who", lambda w: w["entity_name"]), 1, 3), ", ")
     highest = counts.agg(F.max("mention_count").alias("m")).scalar()
-    out = counts.join(linked, "storyline", "left").withColumn("_max", highest)
+    out = counts.join(linked, "ord", "left").withColumn("_max", highest)
     return out.select(
         F.initcap("storyline").alias("storyline"), "mention_count",
         F.coalesce(shown, F.lit("General")).alias("entities"),
