@@ -8,12 +8,16 @@ the first bin with room on to its successors until one is compatible. A bin take
 most ``per_source`` segments of one source and one segment of a cluster.
 
 Packing is sequential, so it is done in shards of bounded size, dealt by a hash of
-the id: a hot source or cluster is spread over all shards. Only lengths, sources and
-clusters travel, no text. A bin is named by shard and number.
-
-Cases: NULL and empty text have no token and take no room, yet a place. A NULL
-source or cluster conflicts with nothing. Rows that repeat an id are packed each.
-Empty tables give empty results; further columns are not read.
+the id, cluster and number among equal rows: a hot source or cluster, and a row that is
+repeated any number of times, is spread over all shards. Equal rows are counted
+map-side before they move. Only lengths, sources and clusters travel, no text. A bin is
+named by shard and number.
+
+Cases: NULL and empty text have no token and no cluster; they take no room, yet a place, and count for
+their source. A NULL source or cluster conflicts with nothing. Rows that repeat an
+id are packed each; which of them has which place is the same in every run. A very long text fills bins of
+its own and packs what is left over. Equal lengths go by id, missing ids last, then by cluster.
+Empty tables give empty results; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 8192
+REPEATS = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -84,9 +89,16 @@ def pack(
     if cluster is None:
         cluster = F.xxhash64(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " "))
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), length.alias("length"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)))
+    facts = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), length.cast("long").alias("length"),
+    )
+    facts = facts.withColumn("cluster", F.when(F.col("length") > 0, F.col("cluster")))
+    times = facts.groupBy("id", "source", "cluster", "length").agg(F.count(F.lit(1)).alias("times"))
+    # In two steps, so that no array grows with the number of equal rows beyond a fraction of it.
+    chunks = times.select("*", F.explode(F.expr(f"sequence(0L, (times - 1) div {REPEATS})")).alias("chunk"))
+    first = F.col("chunk") * REPEATS
+    nth = F.explode(F.sequence(first, F.least(first + (REPEATS - 1), F.col("times") - 1))).alias("nth")
+    rows = chunks.select("id", "source", "cluster", "length", nth).withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "nth"), F.lit(shards))).drop("nth")
     # pandas makes floats of a column of numbers with a NULL, so NULLs travel in columns of their own.
     for name in ("id", "cluster"):
         rows = rows.withColumn(f"no_{name}", F.col(name).isNull()).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))

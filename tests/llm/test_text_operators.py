@@ -282,3 +282,22 @@ def test_packing_keeps_large_ids_beside_null(spark):
     assert sorted(map(str, (r.doc_id for r in found))) == sorted(str(i) for i, _, _ in rows)
     assert {r.bin for r in found} == {0} and sum(r.n_tokens for r in found) == 6
     assert packing.pack(docs).columns == ["doc_id", "segment", "n_tokens", "shard", "bin", "bin_offset"]
+
+
+def test_equal_rows_go_to_many_shards_and_empty_texts_have_no_cluster(spark):
+    many = spark.range(9000).select(
+        packing.F.lit(None).cast("long").alias("doc_id"), packing.F.lit("one two").alias("text"), packing.F.lit("s").alias("source"), packing.F.lit(1).alias("shard"))
+    found = packing.pack(many, capacity=8, shard_rows=100).groupBy("shard").count().collect()
+    assert len(found) == 90 and sum(r["count"] for r in found) == 9000 and max(r["count"] for r in found) < 200
+    for source, bins in ((None, 1), ("s", 75)):
+        empty = spark.createDataFrame([(i, t, source) for i, t in enumerate(["", None, " \n"] * 100)], "doc_id long, text string, source string")
+        assert packing.pack(empty, per_source=4).select("shard", "bin").distinct().count() == bins
+
+
+def test_packing_of_a_very_long_text_and_ties(spark):
+    rows = [(1, "w " * 200_003), (2, "a b c"), (3, "d e f"), (4, "a b c")]
+    first, again = (sorted(map(tuple, packing.pack(frame(spark, r), capacity=4096, per_source=1).collect())) for r in (rows, rows[::-1]))
+    assert first == again
+    assert sum(r[2] for r in first if r[0] == 1) == 200_003 and max(r[2] for r in first) == 4096
+    same = {r[0]: r[4] for r in first}
+    assert same[2] != same[4]
