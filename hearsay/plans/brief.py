@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay import fixed_values as fv
@@ -41,6 +41,19 @@ TITLES = {
     "risk_signals": "Risk Signals",
     "topline_summary": "Topline Summary",
 }
+# --- fixed values: summaries of sections by their number of items, and of sections without any ---
+SUMMARIES = {
+    "velocity_alerts": ("%d entities with significant sentiment shifts (30%%+ change in 72hrs)", None),
+    "discovered_entities": ("%d new entities discovered by NLP (not yet in monitoring)", None),
+    "platform_breakdown": ("Comment volume and sentiment by platform", None),
+    "entity_comparison": ("Top entities ranked by mention volume and sentiment", "No comparison data available"),
+    "cross_platform_deltas": ("Platform-specific sentiment analysis for %d top entities", None),
+    "key_risks": ("%d actionable risks identified", None),
+    "emotion_analysis": ("Emotion analysis for top %d entities", "No emotion signals found"),
+    "topic_clusters": ("%d trending topics identified", "No topic signals found"),
+    "stance_summary": ("Stance breakdown for top %d entities", "No stance signals found"),
+    "risk_signals": ("Risk signal detection not yet implemented", None),
+}
 RISK_SIGNALS = struct("risk string, severity string, type string")
 
 
@@ -90,8 +103,8 @@ def _with_alerts(top: DataFrame, alerts: DataFrame) -> DataFrame:
     return top.join(F.broadcast(moved), "entity_name", "left")
 
 
-def what_changed(top: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Risers, fallers, new negative and positive entities, surprising shifts."""
+def _changes(top: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Every riser, faller, new negative and positive entity and surprising shift, numbered by kind."""
     change, score = F.col("percent_change"), F.col("avg_sentiment")
     riser = F.coalesce(change > fv.ALERT_PERCENT, F.lit(False))
     faller = F.coalesce(change < -fv.ALERT_PERCENT, F.lit(False))
@@ -115,11 +128,55 @@ def what_changed(top: DataFrame, alerts: DataFrame) -> DataFrame:
     ))
     rows = _with_alerts(top, alerts).select("entity_name", F.explode(entries).alias("e")).select("entity_name", "e.*")
     nth = F.row_number().over(Window.partitionBy("place").orderBy("order"))
-    return rows.withColumn("nth", nth).filter("nth <= keep").select(
+    return rows.withColumn("nth", nth)
+
+
+def what_changed(top: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The first risers, fallers, new negative and positive entities and surprising shifts."""
+    return _changes(top, alerts).filter("nth <= keep").select(
         "place", "nth", "category", F.col("entity_name").alias("entity"), "metric", "detail"
     )
 
 
+def change_summary(top: DataFrame, alerts: DataFrame) -> DataFrame:
+    """How many changes of each kind there are, shown or not."""
+    n = [F.count_if(F.col("place") == place) for place in (1, 2, 3, 4)]
+    known = top.agg(F.count(F.lit(1)).alias("n")).scalar()
+    text = F.format_string("%d risers, %d fallers, %d new negative trends, %d new positive narratives", *n)
+    return _changes(top, alerts).agg(text.alias("_text")).select(
+        F.when(known > 0, F.col("_text")).otherwise("No entity data available").alias("summary"))
+
+
+def top_summary(top: DataFrame) -> DataFrame:
+    return top.agg(F.min(F.struct("rank", "entity_name", "mention_count", "avg_sentiment")).alias("f")).select(
+        F.when(F.col("f").isNull(), say.NO_ACTIVITY).otherwise(
+            say.headline(F.col("f.entity_name"), F.col("f.mention_count"), F.col("f.avg_sentiment"))).alias("summary"))
+
+
+def toxicity_summary(alerts: DataFrame) -> DataFrame:
+    n = F.count(F.lit(1))
+    return alerts.agg(F.when(n > 0, F.format_string("%d high-toxicity comments (threshold: 0.7)", n)).otherwise(
+        "No high-toxicity comments detected").alias("summary"))
+
+
+def storyline_summary(found: DataFrame, comments: DataFrame) -> DataFrame:
+    """``comments`` has the number of comments that were searched."""
+    searched = comments.select("comment_count").scalar()
+    n = F.count(F.lit(1))
+    return found.agg(n.alias("n")).select(
+        F.when(searched == 0, "No high-engagement comments found for storyline detection")
+        .when(F.col("n") == 0, "No clear storylines detected in high-engagement comments")
+        .otherwise(F.format_string("%d storylines detected from %d high-engagement comments", "n", searched)).alias("summary"))
+
+
+class Sections(dict[str, DataFrame]):
+    """The sections of a brief by name, and one-row frames (``summary``) of those that items alone do not tell."""
+
+    def __init__(self, sections: dict[str, DataFrame], summaries: dict[str, DataFrame]):
+        super().__init__(sections)
+        self.summaries = summaries
+
+
 def key_risks(top: DataFrame, alerts: DataFrame, platforms: DataFrame, keep: int = 5) -> DataFrame:
     """Critical swings first, then fragile entities and a negative platform."""
     critical = alerts.filter(F.abs("percent_change") > fv.CRITICAL_PERCENT).select(
@@ -251,8 +308,9 @@ def post_section_summary(t: Tables, start, end, posts: DataFrame) -> DataFrame:
 
 
 def build_brief(
-    t: Tables, start, end, platforms: list[str] | None = None, as_of=None, stage: bool = True
-) -> dict[str, DataFrame]:
+    t: Tables, start, end, platforms: list[str] | None = None, as_of=None, stage: bool = True,
+    storyline_names: list[str] | None = None,
+) -> Sections:
     """All sections of the brief as small DataFrames.
 
     ``as_of`` (by default ``end``) anchors the look-back sections. The signal and
@@ -272,8 +330,18 @@ def build_brief(
     alerts = hold(velocity_alerts(facts, top, as_of))
     by_platform = hold(an.platform_breakdown(facts, start, end, platforms))
     posts = hold(post_section(facts, start, end))
+    toxic = hold(an.toxicity_alerts(facts, as_of, 0.7, days))
+    stories = hold(storylines(t, start, end, top, storyline_names))
     spark = t.comments.sparkSession
-    return {
+    summaries = {
+        "top_entities": top_summary(top),
+        "contextual_narrative": narrative(top, alerts).select(F.col("narrative").alias("summary")),
+        "what_changed": change_summary(top, alerts),
+        "toxicity_alerts": toxicity_summary(toxic),
+        "post_performance": post_section_summary(facts, start, end, posts),
+        "storylines": storyline_summary(stories, an.comment_count(facts, start, end)),
+    }
+    return Sections({
         "topline_summary": topline(facts, start, end, top, alerts),
         "top_entities": top,
         "velocity_alerts": alerts,
@@ -289,12 +357,12 @@ def build_brief(
         "entity_micro_insights": micro_insights(top, alerts),
         "emotion_analysis": emotion_section(facts, top, as_of, days),
         "topic_clusters": an.top_topics(facts, as_of, days, 10),
-        "toxicity_alerts": an.toxicity_alerts(facts, as_of, 0.7, days, 10),
+        "toxicity_alerts": toxic.orderBy(F.desc("toxicity"), F.desc("likes"), "comment_id").limit(10),
         "stance_summary": stance_section(facts, top, as_of, days),
         "post_performance": posts,
-        "storylines": storylines(t, start, end, top),
+        "storylines": stories,
         "risk_signals": spark.createDataFrame([], RISK_SIGNALS),
-    }
+    }, summaries)
 
 
 # What orders the items of sections that do not lead with a rank.
@@ -307,34 +375,66 @@ ITEM_ORDER = {
 }
 
 
-def brief_rows(sections: dict[str, DataFrame]) -> DataFrame:
-    """One row per section: name, title and its items as a JSON array, in their order.
+def _section(name: str, df: DataFrame, summary: DataFrame | None) -> DataFrame:
+    """One row: the section as a struct of its title, items in their order and summary.
 
     Sections are bounded by the limits of the brief, so each fits one array.
     """
+    maps = {c for c, kind in df.dtypes if kind.startswith("map")}
+    order = [F.expr(key).alias(f"_{i}") for i, key in enumerate(ITEM_ORDER.get(name, []))]
+    # Maps cannot be ordered, so they are lists of entries while the items are sorted.
+    columns = [F.map_entries(c).alias(c) if c in maps else F.col(c) for c in df.columns]
+    key = F.struct(*order, *[F.col(c) for c in df.columns if c not in maps])
+    listed = df.agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(*columns).alias("item")))).alias("_items"))
+
+    def item(row: Column) -> Column:
+        cells = [(c, row["item"][c]) for c in df.columns]
+        return F.struct(*[(F.map_from_entries(cell) if c in maps else cell).alias(c) for c, cell in cells])
+
+    n = F.size("_items")
+    some, none = SUMMARIES.get(name, (None, None))
+    told = F.lit(None).cast("string") if some is None else F.format_string(some, n) if "%d" in some else F.lit(some)
+    if none is not None:
+        told = F.when(n > 0, told).otherwise(none)
+    if summary is not None:
+        told = summary.scalar()
+    return listed.select(F.struct(
+        F.lit(TITLES[name]).alias("title"), F.transform("_items", item).alias("items"), told.alias("summary")).alias("section"))
+
+
+def brief_rows(sections: Sections) -> DataFrame:
+    """One row per section: name, title, number of items, the items as a JSON array in their order, and summary."""
     out = None
     keep_nulls = {"ignoreNullFields": "false"}
+    notes = getattr(sections, "summaries", {})
     for name, df in sections.items():
-        order = [F.expr(key).alias(f"_{i}") for i, key in enumerate(ITEM_ORDER.get(name, []))]
-        # Maps cannot be ordered; the section that has one leads with its rank.
-        first = order + [F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]
-        rows = F.array_sort(F.collect_list(F.struct(F.struct(*first).alias("k"), F.to_json(
-            F.struct(*df.columns), keep_nulls).alias("item"))))
-        listed = df.agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.transform(rows, lambda r: r["item"]), ",").alias("_items"))
-        row = listed.select(
-            F.lit(name).alias("section"), F.lit(TITLES[name]).alias("title"), "n_items",
-            F.concat(F.lit("["), "_items", F.lit("]")).alias("items"),
+        row = _section(name, df, notes.get(name)).select(
+            F.lit(name).alias("section"), "section.title", F.size("section.items").cast("bigint").alias("n_items"),
+            F.to_json("section.items", keep_nulls).alias("items"), "section.summary",
         )
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def brief_document(sections: dict[str, DataFrame], start, end, platforms: list[str] | None = None) -> DataFrame:
-    """The whole brief as one JSON document (one row per section are folded)."""
-    listed = brief_rows(sections).select(F.format_string(
-        '"%s":{"title":%s,"items":%s}', "section", F.to_json(F.array("title")).substr(F.lit(2), F.length(F.to_json(F.array("title"))) - 2), "items").alias("part"))
-    head = F.to_json(F.struct(F.struct(
-        F.lit(str(_moment(start).isoformat())).alias("start"), F.lit(str(_moment(end).isoformat())).alias("end")).alias("timeframe"),
-        F.array(*[F.lit(p) for p in (platforms or ["all"])]).alias("platforms")))
-    body = listed.agg(F.array_join(F.sort_array(F.collect_list("part")), ",").alias("body"))
-    return body.select(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), "body", F.lit("}")).alias("brief"))
+def brief_struct(
+    sections: Sections, start, end, platforms: list[str] | None = None, focus_entities: list[str] | None = None, generated_at=None,
+) -> DataFrame:
+    """The brief as one typed row: timeframe, platforms, a struct for each section, and metadata."""
+    spark = next(iter(sections.values())).sparkSession
+    told = F.array(*[F.lit(p) for p in (platforms or ["all"])])
+    focus = F.array(*[F.lit(str(e)) for e in focus_entities or []]).cast("array<string>")
+    at = F.current_timestamp() if generated_at is None else F.lit(_moment(generated_at))
+    frame = F.struct(F.lit(_moment(start).isoformat()).alias("start"), F.lit(_moment(end).isoformat()).alias("end"))
+    # Each section is a subquery of one value, so no section meets another in a join.
+    parts = [_section(name, df, sections.summaries.get(name)).scalar().alias(name) for name, df in sections.items()]
+    metadata = F.struct(at.alias("generated_at"), told.alias("platforms"), focus.alias("focus_entities"))
+    return spark.range(1).select(frame.alias("timeframe"), told.alias("platforms"), *parts, metadata.alias("metadata"))
+
+
+def brief_document(
+    sections: Sections, start, end, platforms: list[str] | None = None, focus_entities: list[str] | None = None, generated_at=None,
+) -> DataFrame:
+    """The whole brief as one JSON document; times are in ISO form, missing values are null."""
+    whole = brief_struct(sections, start, end, platforms, focus_entities, generated_at)
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return whole.select(F.to_json(F.struct(*whole.columns), options).alias("brief"))
