@@ -313,7 +313,8 @@ def build_brief(
 ) -> Sections:
     """All sections of the brief as small DataFrames.
 
-    ``as_of`` (by default ``end``) anchors the look-back sections. The signal and
+    ``as_of`` (by default ``end``) anchors the look-back sections, which see no comment later than it or
+    ``end``, staged or not; only the quotes are the best of all time. The signal and
     comment tables are joined once and staged; rankings that several sections
     use are staged too. Nothing is collected here.
     """
@@ -323,7 +324,7 @@ def build_brief(
         _moment(start), _moment(as_of) - timedelta(days=days), _moment(as_of) - timedelta(hours=2 * fv.VELOCITY_HOURS)
     )
     latest = max(_moment(end), _moment(as_of))
-    facts = stage_facts(t, earliest, latest) if stage else t
+    facts = stage_facts(t, earliest, latest) if stage else t.with_(comments=t.comments.filter(F.col("created_at") <= F.lit(latest)))
     hold = checkpointed if stage else (lambda df: df)
 
     top = hold(ranked(dynamic_entities(facts, start, end, 10, platforms, fv.TOP_ENTITIES_TABLE)))

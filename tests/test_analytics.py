@@ -119,6 +119,26 @@ def test_brief(tables):
     assert line["storyline"] == "Win" and line["trajectory"] == "High"
     assert {c["category"] for c in brief["what_changed"]["items"]} == {"Top Riser", "Top Faller"}
     assert brief["topline_summary"]["items"][0]["velocity_alerts_count"] == 2
+    assert all(set(brief[name]) == {"title", "items", "summary"} for name in br.TITLES)
+    assert brief["what_changed"]["summary"] == "1 risers, 1 fallers, 0 new negative trends, 0 new positive narratives"
+    assert brief["risk_signals"]["summary"] == "Risk signal detection not yet implemented"
+    assert set(brief["metadata"]) == {"generated_at", "platforms", "focus_entities"}
+
+
+def test_a_brief_is_the_same_staged_or_not_and_sees_nothing_later(tables):
+    import json
+
+    start, as_of = NOW - timedelta(days=7), NOW - timedelta(days=2)
+
+    def document(stage):
+        sections = br.build_brief(tables, start, as_of, stage=stage)
+        text = br.brief_document(sections, start, as_of, ["tiktok"], ["e1"], as_of).first().brief
+        # Sums of doubles depend on the order of rows in their last digits.
+        return json.loads(text, parse_float=lambda x: round(float(x), 9) + 0.0)
+
+    staged = document(True)
+    assert staged == document(False)
+    assert staged["metadata"]["generated_at"].startswith("2024-") and staged["metadata"]["focus_entities"] == ["e1"]
 
 
 def test_items_of_a_section_keep_their_ranking(spark):
