@@ -524,8 +524,8 @@ def _(c):
 
 
 def _stream(c: Context, table: str):
-    schema = c.raw(table).schema
-    return c.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(c.sf_dir)
+    # A pattern, which may name one file or a folder of them; a stream takes no plain path of a file.
+    return c.spark.readStream.schema(c.raw(table).schema).parquet(f"{c.sf_dir}/{table}.parque[t]")
 
 
 def _fact_stream(c: Context):
