@@ -11,12 +11,22 @@ NO_ACTIVITY = "No significant entity activity in this period."
 
 
 def _even(value: Column, decimals: int) -> Column:
-    """Rounded with ties to the even digit, where the formatter would round up.
+    """The nearest number of so many decimals, with ties to the even digit, where the formatter would round up.
 
-    A small negative number keeps its sign.
+    What counts is the stored number: -0.015 is stored a little nearer to zero, which makes it -0.01. A small
+    negative number keeps its sign.
     """
-    number = value.cast("double")
-    return F.when(number < 0, -F.bround(F.abs(number), decimals)).otherwise(F.bround(number, decimals))
+    number = F.abs(value.cast("double"))
+    scale = 2.0 * 10**decimals
+    halves = F.rint(number * scale)
+    # The rest is exact: a head of 26 bits and a tail, each times the scale, have room in a double.
+    wide = number * 134217729.0
+    head = wide - (wide - number)
+    rest = (head * scale - halves) + (number - head) * scale
+    near = F.when(halves % 2 == 0, halves / 2).when(rest > 0, (halves + 1) / 2).when(rest < 0, (halves - 1) / 2).otherwise(F.rint(halves / 2))
+    # Beyond this, far beyond any score or percentage, the formatter rounds.
+    rounded = F.when(number < 2.0**40, near / 10.0**decimals).otherwise(number)
+    return F.when(value < 0, -rounded).otherwise(rounded)
 
 
 def signed(value: Column, decimals: int = 2) -> Column:

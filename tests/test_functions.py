@@ -69,3 +69,13 @@ def test_rounding_in_sentences(spark):
 def test_micro_insight_keeps_two_bullets(spark):
     got = one(spark, sentences.micro_insight(F.lit(0.6), F.lit(1200), F.lit(60000), F.lit(-45.0)))[0]
     assert got == "Strong positive sentiment (+0.60) with 1,200 mentions • Sentiment declined 45.0% in past 72hrs"
+
+
+def test_numbers_in_sentences_are_rounded_as_they_are_stored(spark):
+    """As the reference's format strings do; only true ties go to the even digit."""
+    from hearsay.functions import sentences as say
+
+    values = [k / 1000 * sign for k in range(0, 1200, 5) for sign in (1, -1) if k or sign > 0] + [0.125, 0.375, 12345.675, 1e9 + 0.125, -2e-9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shown = df.select("v", say.signed(df.v), say.signed(df.v, 1), say.fixed(df.v, 2)).collect()
+    assert [tuple(r) for r in shown] == [(v, f"{v:+.2f}", f"{v:+.1f}", f"{v:.2f}") for v in values]
