@@ -261,3 +261,26 @@ def test_records_of_many_files_keep_their_order(spark):
     got = read_strings(spark, path).orderBy("seq").collect()
     assert [int(r.n) for r in got] == list(range(40))
     assert len({r.seq for r in got}) == 40
+
+
+def test_merged_comments_meet_their_posts_in_one_join(spark, tmp_path):
+    """Ids and posts are joined among themselves first: the texts of comments move once."""
+    from hearsay.sources.comments import read_merged_comments
+
+    raw = spark.createDataFrame([("37730205154569226", "a"), ("37730205154569200", "b"), ("9", "c")], "media_id string, text string")
+    raw.write.option("header", True).csv(f"{tmp_path}/raw")
+    posts = spark.createDataFrame(
+        [("37730205154569226", "C1", "u", "caption", 5, 0)], "id string, shortcode string, url string, caption string, likes_count long, seq long")
+    merged = read_merged_comments(spark, [f"{tmp_path}/raw"], posts)
+    assert sorted(tuple(r) for r in merged.select("comment_text", "match_tier", "post_caption").collect()) == [
+        ("a", "exact", "caption"), ("b", "prefix", "caption")]
+    lines = merged._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    top = next(i for i, line in enumerate(lines) if "Join" in line)
+    column = lines[top + 1].index(":")
+    left = []
+    for line in lines[top + 1:]:
+        if line[column:column + 1] != ":":
+            break
+        left.append(line)
+    # One join: of the lines with the listing of the files.
+    assert sum("Join" in line for line in left) == 1
