@@ -3,7 +3,7 @@
 The terms become an Aho-Corasick automaton (``automaton``), broadcast in tables of
 bounded size; a list beyond one table has several, which the same Arrow pass walks in
 turn. Texts are neither joined nor shuffled: each row gets the array of the terms it
-holds.
+holds. ``find_terms`` joins a list that outgrows a catalog instead (``termjoin``).
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.operators.automaton import TABLE_BYTES, build, split_terms, walk
-from hearsay.sizing import unnest
+from hearsay.operators.termjoin import join_terms
+from hearsay.sizing import unnest, within
 
 # Bytes of texts that one step of the walk handles.
 BATCH_BYTES = 8 << 20
+# Rows of terms up to which every task can hold the whole list; it may grow with the texts beyond.
+CATALOG_TERMS = 60_000
 
 
 def _pairs(machine, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +114,10 @@ def find_terms(texts: DataFrame, text: str, terms: DataFrame, table_bytes: int =
 
     ``terms`` has a lower-case ``term`` column, an order column ``ord`` and any
     further columns; matching ignores the case of the text. Empty terms match nothing.
+    A list of more than ``CATALOG_TERMS`` rows is joined to the texts, as it may grow with them.
     """
+    if not within(terms, CATALOG_TERMS):
+        return join_terms(texts, text, terms)
     keys = [c for c in texts.columns if c != text]
     found = unnest(with_terms(texts, F.lower(text), terms, "_found", table_bytes), keys, F.col("_found"), "_hit")
     return found.select(*keys, *[F.col(f"_hit.{c}").alias(c) for c in terms.columns])

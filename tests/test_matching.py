@@ -121,3 +121,37 @@ def test_names_with_special_characters(spark, rows):
     comments = spark.createDataFrame([(1, "so a.b (c+) it is"), (2, "axb")], "comment_id long, text string")
     assert rows(ma.full_name_mentions(comments, entities).select("comment_id")) == [(1,)]
     assert rows(ma.mention_arrays(comments, entities).select("comment_id", F.size("mentions"))) == [(1, 1), (2, 0)]
+
+
+@pytest.mark.parametrize("steps", [1 << 20, 7])
+def test_chunks_find_what_contains_finds(monkeypatch, steps):
+    """Terms of all gram sizes, equal at both ends or not, in texts that hold them inside, at their ends, or across two."""
+    import pyarrow as pa
+
+    from hearsay.operators import termjoin
+
+    monkeypatch.setattr(termjoin, "STEPS", steps)
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 300):
+        terms = ["".join(rng.choice(list("abéx "), rng.integers(1, 30))) for _ in range(size)] + ["aaaaaaaa" + x + "bbbbbbbb" for x in ("", "ab", "ba")]
+        texts = ["".join(rng.choice(list("abé "), rng.integers(0, 200))) for _ in range(10)] + ["", None, "a" * 12, "xaaaaaaaababbbbbbbb"]
+        texts += [x + terms[0] + y for x in ("", "q") for y in ("", "z")] + [terms[0][:-1]]
+        text, term = termjoin.find(pa.array(texts, pa.string())[0:], pa.array(terms))
+        assert list(zip(text.tolist(), term.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) for k, x in enumerate(terms) if t and x in t]
+
+
+def test_a_list_that_grows_with_the_texts(spark, rows, monkeypatch):
+    """A longer list is joined: no task gets all of it, and the result is that of the automaton."""
+    from hearsay.operators import textsearch
+    from hearsay.operators.termjoin import join_terms
+
+    said = spark.range(300).select("id", F.concat_ws(" ", *[F.concat(F.lit("Wör"), ((F.col("id") * k) % 40).cast("string")) for k in (1, 7, 11)]).alias("t"))
+    said = said.union(spark.createDataFrame([(900, None), (901, ""), (902, "wör1")], "id long, t string"))
+    terms = said.select(F.explode(F.array(F.lower("t"), F.substring(F.lower("t"), 3, 9), F.substring(F.lower("t"), 2, 3), F.lit(""))).alias("term"))
+    terms = terms.distinct().select((F.hash("term") % 50).alias("ord"), "term")
+    by_automaton = rows(find_terms(said, "t", terms))
+    assert len(by_automaton) > 1000 and rows(join_terms(said, "t", terms, chunk_bytes=100)) == by_automaton
+    monkeypatch.setattr(textsearch, "CATALOG_TERMS", 10)
+    found = find_terms(said, "t", terms)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == by_automaton

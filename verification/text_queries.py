@@ -16,6 +16,7 @@ from hearsay.plans import discovery as di
 from hearsay.plans import quality as qa
 from hearsay.plans import storylines as st
 from hearsay.plans.facts import window_comments
+from hearsay.sizing import let, unnest
 from verification.core import END, START, VIEWS, query, rounded
 from verification.function_queries import listed
 
@@ -154,13 +155,15 @@ _RUNS = """
   WHERE t.term <> '' GROUP BY c.conv_id, c.turn""")
 def _(c):
     turns = c.view("conversations").select("conv_id", "turn", "text")
-    ws = F.split(F.regexp_replace(F.lower("text"), "[ ]+", " "), " ")
-    n = F.size(ws)
+    words = F.split(F.regexp_replace(F.lower("text"), "[ ]+", " "), " ")
 
-    def runs(size):
+    def runs(ws, size):
+        n = F.size(ws)
         return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.array_join(F.slice(ws, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
-    terms = turns.select(F.explode(F.concat(runs(2), runs(3))).alias("term")).distinct().withColumn("ord", F.col("term"))
+    # Words are split once a text, not once a run.
+    both = let(words, lambda ws: F.concat(runs(ws, 2), runs(ws, 3)))
+    terms = unnest(turns, [], both, "term").distinct().withColumn("ord", F.col("term"))
     hits = find_terms(turns.select("conv_id", "turn", "text"), "text", terms)
     return hits.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.char_length("term")).alias("chars"))
 
