@@ -23,14 +23,21 @@ def engaged_comments(
     return liked.orderBy(F.desc("likes"), "comment_id").limit(limit)
 
 
+# The border of a word of letters, digits of any kind and underscores; Java's own takes accents that
+# stand alone and invisible joiners for parts of words, and raised digits and fractions for none.
+_WORD = r"[\p{L}\p{N}_]"
+_BORDER = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
 def _hits(text: Column, line: str) -> Column:
     """Whole-word hits of ``line``, a word, phrase or pattern, in a lower-case text.
 
     Only a text that contains the phrase is worth the pattern.
     """
-    counted = F.regexp_count(text, F.lit(rf"(?U)\b{line}\b"))
-    if re.search(r"[^\w ]", line):
-        return counted
+    if re.search(r"[^\w ]", line) or line != line.strip():
+        return F.regexp_count(text, F.lit(rf"(?U){_BORDER}{line}{_BORDER}"))
+    # The phrase comes first in the pattern, so places without it cost little.
+    counted = F.regexp_count(text, F.lit(rf"{line}(?<!{_WORD}{line})(?!{_WORD})"))
     return F.when(F.contains(text, F.lit(line)), counted).when(text.isNotNull(), 0)
 
 

@@ -77,3 +77,12 @@ def test_merges_combine_before_the_shuffle(spark):
 
     text = plan(mg.fold_posts(mg.post_records(spark.createDataFrame([], RAW_COMMENT))))
     assert "partial_max_by" in text and "partial_min_by" in text
+
+
+def test_words_of_storylines_end_at_marks_and_not_at_raised_digits(spark):
+    from hearsay.plans.storylines import storyline_counts
+
+    said = ["win", "win\u0301 win", "win\u200d", "win\u00b2", "wins, win_", "new show", "new-show", "new  show", "(win) -win- win"]
+    frame = spark.createDataFrame([(t,) for t in said], "text string")
+    counts = storyline_counts(frame, ["win", "new show", "wins?"], min_hits=0)
+    assert {r["storyline"]: r["mention_count"] for r in counts.collect()} == {"win": 7, "new show": 1, "wins?": 8}
