@@ -381,8 +381,9 @@ def toxicity_alerts(
     after = _ago(as_of, days=days)
     toxic = signal_facts(t, "toxicity", after=after).filter(F.col("numeric_value") >= threshold)
     top = toxic.orderBy(F.desc("numeric_value"), F.desc_nulls_last("likes"), "comment_id").limit(limit)
-    # Text and url are fetched for the kept rows only.
-    detail = window_comments(t, after=after).select("comment_id", "text", F.col("author_name").alias("author"))
+    # Text and url are fetched for the kept rows only, which are staged once (``limit`` rows).
+    top = checkpointed(top)
+    detail = _of_these(window_comments(t, after=after), top).select("comment_id", "text", F.col("author_name").alias("author"))
     urls = t.posts.select("post_id", F.col("url").alias("post_url"))
     shown = detail.join(broadcast_top(top), "comment_id")
     return (
@@ -403,11 +404,23 @@ def _few_per_entity(best: DataFrame, entities: DataFrame, per_entity: int) -> Da
     return F.broadcast(best) if within(entities, SMALL_ROWS // max(per_entity, 1)) else best
 
 
-def top_comments(t: Tables, per_entity: int = 3, entities: DataFrame | None = None) -> DataFrame:
+def _of_these(comments: DataFrame, few: DataFrame) -> DataFrame:
+    """The comments of ``few``, staged rows of a bounded number.
+
+    Their posts are named too: texts that are stored with posts are then filtered
+    before a join moves them.
+    """
+    ids, posts = (few.agg(F.collect_set(c).alias("ids")).scalar() for c in ("comment_id", "post_id"))
+    of_post = F.array_contains(posts, F.col("post_id")) | F.col("post_id").isNull()
+    return comments.filter(F.array_contains(ids, F.col("comment_id")) & of_post)
+
+
+def top_comments(t: Tables, per_entity: int = 3, entities: DataFrame | None = None, stage: bool = False) -> DataFrame:
     """The most liked comments of each entity, newest first among equals.
 
     Ranking runs on ids; the planner keeps ``per_entity`` rows per entity in
-    every task before the shuffle. Text is joined to the winners only.
+    every task before the shuffle. Text is joined to the winners only; with ``stage``
+    winners of few entities are written first, so that texts of no others are moved.
     """
     facts = signal_facts(t, "sentiment", with_entity=True)
     if entities is not None:
@@ -415,11 +428,17 @@ def top_comments(t: Tables, per_entity: int = 3, entities: DataFrame | None = No
     order = Window.partitionBy("entity_id").orderBy(
         F.desc_nulls_last("likes"), F.desc("created_at"), "comment_id"
     )
-    best = facts.select("entity_id", "comment_id", "likes", "created_at").withColumn(
+    best = facts.select("entity_id", "comment_id", "post_id", "likes", "created_at").withColumn(
         "rank", F.row_number().over(order)
     ).filter(F.col("rank") <= per_entity)
-    best = _few_per_entity(best, entities if entities is not None else t.monitored_entities, per_entity)
-    return t.comments.select("comment_id", "text").join(best, "comment_id").select(
+    known = entities if entities is not None else t.monitored_entities
+    comments = t.comments
+    if stage and within(known, SMALL_ROWS // max(per_entity, 1)):
+        best = F.broadcast(checkpointed(best))
+        comments = _of_these(comments, best)
+    else:
+        best = _few_per_entity(best, known, per_entity)
+    return comments.select("comment_id", "text").join(best.drop("post_id"), "comment_id").select(
         "entity_id", "rank", "comment_id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("likes", F.lit(0)).alias("likes"), "created_at",
     )

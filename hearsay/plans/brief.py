@@ -239,10 +239,10 @@ def stance_section(t: Tables, top: DataFrame, as_of, days: int, limit: int = 5)
         "rank", "entity_name", "support", "oppose", "neutral", "total")
 
 
-def narrative_context(t: Tables, top: DataFrame, alerts: DataFrame, samples: int = 3) -> DataFrame:
-    """The detailed entities with velocity and sample quotes."""
+def narrative_context(t: Tables, top: DataFrame, alerts: DataFrame, samples: int = 3, stage: bool = True) -> DataFrame:
+    """The detailed entities with velocity and sample quotes, which ``stage`` chooses first."""
     detailed = top.filter(F.col("rank") <= fv.TOP_ENTITIES_NARRATIVE)
-    quoted = an.top_comments(t, samples, detailed.filter("entity_id is not null")).filter("text <> ''")
+    quoted = an.top_comments(t, samples, detailed.filter("entity_id is not null"), stage).filter("text <> ''")
     quotes = quoted.groupBy("entity_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", quote_sample(F.col("text"), F.col("likes")).alias("q")))).alias("_q")
     ).select("entity_id", F.transform("_q", lambda x: x["q"]).alias("sample_comments"))
@@ -350,7 +350,7 @@ def build_brief(
         "platform_breakdown": by_platform,
         "sentiment_distribution": an.score_distribution(facts, start, end, platforms),
         # Sample quotes are the best of all time, so they read the full tables.
-        "contextual_narrative": narrative_context(t, top, alerts),
+        "contextual_narrative": narrative_context(t, top, alerts, stage=stage),
         "entity_comparison": entity_comparison(top),
         "what_changed": what_changed(top, alerts),
         "cross_platform_deltas": cross_platform_deltas(facts, start, end, top),

@@ -39,3 +39,14 @@ def test_texts_of_comments_are_not_dealt_out(spark):
     """Only their keys and the documents are."""
     plan = Context(spark, SF_DIR).view("tcomments")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan[:plan.index("SortMergeJoin")]
+
+
+def test_comment_texts_are_joined_by_many_tasks(spark, monkeypatch):
+    """Their keys are not sent to the documents, which one task may read."""
+    c = Context(spark, SF_DIR)
+    monkeypatch.setattr(core, "ROWS_PER_TASK", 50)
+    spread = c.tables(text=True).comments
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan[:plan.index("SortMergeJoin")]
+    assert spread.rdd.getNumPartitions() >= spread.count() / 100
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, c.sql("SELECT * FROM comment_texts").collect()))

@@ -57,6 +57,21 @@ def test_top_per_entity_is_cut_before_the_shuffle(stored):
     assert plan(an.top_comments(stored, 3)).count("WindowGroupLimit") == 2
 
 
+def test_few_texts_are_chosen_before_texts_are_moved(spark, stored):
+    said = spark.createDataFrame([("p", "said"), ("q", "other")], "doc string, text string")
+    comments = stored.comments.drop("text").join(said, F.col("post_id") == F.col("doc")).drop("doc")
+    t = stored.with_(comments=comments)
+    quotes = an.top_comments(t, 3, spark.createDataFrame([("0",)], "entity_id string"), stage=True)
+    for df in (an.toxicity_alerts(t, "2024-01-12 00:00:00"), quotes):
+        # The side of the texts is filtered by the posts of the kept comments below its exchange.
+        below = plan(df).split("Exchange hashpartitioning(doc")[1].split("Exchange")[0]
+        assert "array_contains" in below and "doc" in below
+    assert [(r["comment_id"], r["text"]) for r in quotes.collect()] == [("c", "said")]
+    # A comment without a post keeps its text.
+    homeless = stored.with_(comments=stored.comments.withColumn("post_id", F.lit(None).cast("string")))
+    assert [r["text"] for r in an.top_comments(homeless, 3, stage=True).collect()] == ["t"]
+
+
 def test_no_cross_joins(spark, stored, catalog):
     comments = spark.createDataFrame([("1", "1", "t")], "comment_id string, post_id string, text string")
     posts = spark.createDataFrame([("1", "c")], "post_id string, caption string")

@@ -173,6 +173,7 @@ _REGISTERED: dict[tuple, str] = {}
 # they start from (and what these are dealt by): texts then join where they are used and do not move.
 _COSTLY_ROWS = {
     "tcomments": ("text_keys", "said_id"),
+    "comment_texts": ("comments", "post_id"),
     "responses": ("scored", "event_id"),
     "replies": ("conversations", "conv_id", "turn"),
 }
