@@ -249,16 +249,15 @@ def families(links: DataFrame) -> DataFrame:
 
 def open_pairs(stars: DataFrame, of: DataFrame, classes: DataFrame, percent: int, block: int, part_rows: int) -> DataFrame:
     """Distinct pairs (x, z) of heads of families in different components that may hold a link: the index level."""
-    a, b = (of.select(F.col("name").alias(c), F.col("head").alias(f"h{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
-    known = stars.join(a, "a", "left").join(b, "b", "left")
-    known = known.withColumns({"ha": F.coalesce("ha", "a"), "hb": F.coalesce("hb", "b"), "ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-    known = staged(known, "join-known")
-    # A list of one pair has been compared whole.
-    mixed = known.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("ca") != F.col("cb")).alias("mixed")).filter("m > 1 AND mixed").select("token")
-    rows = known.join(mixed, "token", "left_semi")
-    sides = [rows.select("token", F.col(s).alias("name"), F.col(f"h{s}").alias("head"), F.col(f"c{s}").alias("component"), F.col(f"n{s}").alias("n"), F.col(f"p{s}").alias("p")) for s in "ab"]
+    # A list of one pair has been compared whole; the others move once by their token, as entries, and once by name.
+    several = stars.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
+    sides = [F.struct(F.col(s).alias("name"), F.col(f"n{s}").alias("n"), F.col(f"p{s}").alias("p")) for s in "ab"]
+    ends = stars.join(several, "token", "left_semi").select("token", F.inline(F.array(*sides))).distinct()
+    known = staged(ends.join(of, "name", "left").select(
+        "token", "name", "n", "p", F.coalesce("head", "name").alias("head"), F.coalesce("component", "name").alias("component")), "join-known")
+    mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
     heads = classes.select(F.col("name").alias("head"), F.col("n").alias("head_n"), "marks")
-    entries = sides[0].union(sides[1]).distinct().join(heads, "head")
+    entries = known.join(mixed, "token", "left_semi").join(heads, "head")
     away = F.when(F.col("name") == F.col("head"), 0).otherwise(F.col("n") + F.col("head_n"))
     inside = staged(entries.groupBy("token", "head", "component", "marks").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("rest"), F.max(away).alias("away")

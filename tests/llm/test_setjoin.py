@@ -92,3 +92,17 @@ def test_derived_overlaps_are_the_counted_ones():
         real = {(b, a) for a, y in ys for b, w in ws if 100 * len(np.intersect1d(y, w)) >= 80 * len(np.union1d(y, w))}
         link = setjoin.derived_link(x, z, setjoin.common(x, z), *changes, 80)
         assert link in real if real else link is None
+
+
+def test_lists_of_one_pair_are_not_labelled_again(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(setjoin, "staged", lambda df, name, staged=setjoin.staged: held.setdefault(name, staged(df, name)))
+    rows = [(1, 10, 20), (2, 10, 20), (2, 30, 20), (3, 10, 40), (3, 20, 40)]
+    stars = spark.createDataFrame([(t, a, b, 9, 9, 0, 0) for t, a, b in rows], setjoin.STARS)
+    of = spark.createDataFrame([(10, 20, 10), (20, 20, 10), (40, 20, 10)], "name long, head long, component long")
+    marks = bytearray(setjoin.MARK_BITS // 8)
+    classes = spark.createDataFrame([(k, 9, marks) for k in (10, 20, 30, 40)], "name long, n long, marks binary")
+    found = setjoin.open_pairs(stars, of, classes, 90, 512, 100).collect()
+    # List 1 has one pair, list 3 one component; of list 2, each class stands once.
+    assert sorted((r.token, r.name, r.head, r.component) for r in held["join-known"].filter("token < 3").collect()) == [(2, 10, 20, 10), (2, 20, 20, 10), (2, 30, 30, 30)]
+    assert [tuple(sorted(r)) for r in found] == [(20, 30)]
