@@ -155,3 +155,38 @@ def test_a_list_that_grows_with_the_texts(spark, rows, monkeypatch):
     found = find_terms(said, "t", terms)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert rows(found) == by_automaton
+
+
+def test_terms_meet_chunks_in_packs_of_bounded_size(monkeypatch):
+    """However many terms a part has, a step opens a bounded pack; together the packs hold every term a chunk may hold."""
+    import pyarrow as pa
+
+    from hearsay.operators import termjoin as tj
+
+    monkeypatch.setattr(tj, "PACK_BYTES", 2000)
+    rng = np.random.default_rng(6)
+    texts = {k: ["".join(rng.choice(list("abé "), 60)) for _ in range(8)] for k in range(3)}
+    terms = sorted({"".join(rng.choice(list("abé "), rng.integers(1, 20))) for _ in range(900)})
+    grams = [tj._chunk_grams(2)(pa.table({"_chunk": pa.array([k] * 8, pa.int32()), "_text": said})) for k, said in texts.items()]
+    batches = pa.table({"term": terms, "place": range(len(terms))}).to_batches(max_chunksize=40)
+    listed = [pa.Table.from_batches([b]) for b in tj._packed_terms(2)(iter(batches))]
+    assert sum(len(tj._opened(b.as_py())) for t in listed for b in t.column("_blob")) == len(terms) and len(listed) > 5
+    rows = [row for t in [*grams, *listed] for row in t.to_pylist()]
+    rows.sort(key=lambda row: (row["_part"], row["_chunk"] is None))
+    packs = [row for b in tj._candidates(iter(pa.Table.from_pylist(rows, grams[0].schema).to_batches(max_chunksize=3))) for row in b.to_pylist()]
+    assert max(tj._opened(row["_blob"]).nbytes for row in packs) < 6000
+    found = []
+    for row in packs:
+        opened = tj._opened(row["_blob"])
+        text, term = tj.Texts(pa.array(texts[row["_chunk"]])).find(opened.column("term"))
+        found += [(row["_chunk"], t, opened.column("place")[n].as_py()) for t, n in zip(text.tolist(), term.tolist(), strict=True)]
+    assert sorted(found) == [(k, t, n) for k, said in texts.items() for t, x in enumerate(said) for n, term in enumerate(terms) if term in x]
+
+
+def test_texts_without_any_candidate(spark, rows):
+    from hearsay.operators.termjoin import join_terms
+
+    said = spark.createDataFrame([(1, "abc"), (2, "de")], "id long, t string")
+    assert rows(join_terms(said, "t", spark.createDataFrame([("zz", 1)], "term string, ord int"))) == []
+    assert rows(join_terms(said, "t", spark.createDataFrame([], "term string, ord int"))) == []
+    assert rows(join_terms(said, "t", spark.createDataFrame([("bc", 1), ("e", 2)], "term string, ord int"))) == [(1, "bc", 1), (2, "e", 2)]

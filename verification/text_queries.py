@@ -163,7 +163,8 @@ def _(c):
 
     # Words are split once a text, not once a run.
     both = let(words, lambda ws: F.concat(runs(ws, 2), runs(ws, 3)))
-    terms = unnest(turns, [], both, "term").distinct().withColumn("ord", F.col("term"))
+    # No hit depends on the order of the terms.
+    terms = unnest(turns, [], both, "term").distinct().withColumn("ord", F.lit(0))
     hits = find_terms(turns.select("conv_id", "turn", "text"), "text", terms)
     return hits.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("terms"), F.sum(F.char_length("term")).alias("chars"))
 
