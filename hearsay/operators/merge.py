@@ -251,6 +251,8 @@ def merge_discovered(old: DataFrame, mentions: DataFrame, counted: DataFrame | N
     ``counted`` holds the (comment_id, name) pairs of earlier runs; passing it
     makes a repeated run change nothing.
     """
+    # No more of a text is kept, so no more moves.
+    mentions = mentions.withColumn("text", clip(F.col("text"), SAMPLE_LENGTH))
     if counted is not None:
         mentions = mentions.join(counted.select("comment_id", "name"), ["comment_id", "name"], "left_anti")
     joined = old.alias("o").join(discovered_totals(mentions).alias("n"), F.col("o.name") == F.col("n.name"), "full_outer")

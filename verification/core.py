@@ -199,6 +199,8 @@ class Context:
             return self.raw(name)
         if name == "exports":
             return self.exported()
+        if name == "source_mentions":
+            return self.mentioned()
         if name not in _COSTLY_ROWS:
             return self.sql(f"SELECT * FROM {name}")
         start, *keys = _COSTLY_ROWS[name]
@@ -210,6 +212,16 @@ class Context:
         dealt.createOrReplaceTempView(f"spread_{start}")
         return self._run(re.sub(rf"\bFROM {start}\b", f"FROM spread_{start}", with_views(f"SELECT * FROM {name}")))
 
+    def mentioned(self) -> DataFrame:
+        """The view ``source_mentions``, its keys joined to their sources first, so that texts do not move for them."""
+        rows = self.view("text_keys")
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+        rows.repartition(tasks, "said_id").hint("merge").createOrReplaceTempView("dealt_keys")
+        named = self._run("SELECT k.*, d.source AS name FROM dealt_keys k JOIN documents d ON d.doc_id = k.said_id")
+        named.hint("merge").createOrReplaceTempView("named_keys")
+        said = VIEWS["tcomments"].replace("FROM text_keys e", "FROM named_keys e").replace("SELECT e.event_id", "SELECT e.name, e.said_id, e.event_id")
+        return self._run(said)
+
     def exported(self) -> DataFrame:
         """The view ``exports``, its keys joined to their posts first, so that texts do not move for the captions."""
         keys = self.sql("SELECT k.*, p.caption FROM text_keys k JOIN tposts p ON p.post_id = k.conv_id")
