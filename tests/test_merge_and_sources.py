@@ -284,3 +284,50 @@ def test_merged_comments_meet_their_posts_in_one_join(spark, tmp_path):
         left.append(line)
     # One join: of the lines with the listing of the files.
     assert sum("Join" in line for line in left) == 1
+
+
+def test_urls_and_short_captions_meet_the_comments_where_they_are(spark, monkeypatch, tmp_path):
+    """While the posts are few, no text of a comment is shuffled for them; beyond that the result is the same."""
+    from hearsay import sinks, sizing
+
+    raw = spark.createDataFrame([("37730205154569226", "a"), ("37730205154569200", "b"), ("9", "c"), (None, "d")], "media_id string, text string")
+    raw.write.option("header", True).csv(f"{tmp_path}/raw")
+    urls = spark.createDataFrame([("9", "https://www.instagram.com/p/C9/"), ("8", "x"), ("37730205154569200", "")], "media_id string, post_url string")
+    posts = spark.createDataFrame(
+        [("37730205154569226", "C1", "u", "y" * 300, 5, 0)], "id string, shortcode string, url string, caption string, likes_count long, seq long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (sizing.BESIDE_BYTES, 0):
+            monkeypatch.setattr(sizing.beside, "__defaults__", (most,))
+            named = cs.read_raw_comments(spark, f"{tmp_path}/raw", urls)
+            merged = sinks.merged_records_view(cs.read_merged_comments(spark, [f"{tmp_path}/raw"], posts, caption_length=sinks.CAPTION_LENGTH))
+            assert sorted(map(repr, (tuple(r) for r in named.select("comment_text", "post_url").collect()))) == sorted(map(repr, [
+                ("a", "https://www.instagram.com/p/37730205154569226/"), ("b", "https://www.instagram.com/p/37730205154569200/"),
+                ("c", "https://www.instagram.com/p/C9/"), ("d", None)]))
+            assert sorted(tuple(r) for r in merged.select("comment_text", "post_caption").collect()) == [("a", "y" * 200), ("b", "y" * 200)]
+            for df in (named, merged):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert ("SortMergeJoin" in plan) == (most == 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_index_moves_its_posts_only_where_they_are_wanted(spark):
+    """Who takes the key and the order of the last rows leaves the rest behind."""
+    posts = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", None, 3), ("c", "x", None)], "id string, caption string, seq long")
+    last = im.keep_last(posts, "id")
+    assert sorted(map(repr, (tuple(r) for r in last.collect()))) == sorted(map(repr, [("a", "new", 2), ("b", None, 3), ("c", None, None)]))
+    assert "max_by" in last._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in last.select("id", "seq")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_of_names_are_cut_before_they_move(spark):
+    kind = "comment_id string, name string, entity_type string, created_at timestamp, text string"
+    mentions = spark.createDataFrame([(f"c{i}", "Ann", "PERSON", _ts("2024-01-01 00:00:00"), f"{i}" * 500) for i in range(3)], kind)
+    both = mg.merge_discovered(spark.createDataFrame([], DISCOVERED), mentions, counted=mentions.limit(1))
+    assert [[len(x) for x in r.sample_mentions] for r in both.collect()] == [[200, 200]]
+    lines = both._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    anti = [at for at, line in enumerate(lines) if "LeftAnti" in line]
+    # Below the join that drops counted mentions, not above it.
+    assert anti and any("substring" in line for line in lines[anti[-1]:]) and not any("substring" in line for line in lines[:anti[0]])
