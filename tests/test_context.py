@@ -50,3 +50,28 @@ def test_comment_texts_are_joined_by_many_tasks(spark, monkeypatch):
     assert "SortMergeJoin" in plan and "Exchange" not in plan[:plan.index("SortMergeJoin")]
     assert spread.rdd.getNumPartitions() >= spread.count() / 100
     assert sorted(map(repr, spread.collect())) == sorted(map(repr, c.sql("SELECT * FROM comment_texts").collect()))
+
+
+@pytest.mark.parametrize("name", ["a1_vendor_comments", "a2_simple_comments", "a3_raw_comments", "a4_layout_by_columns", "a9_feed_items", "e10_constructed_urls", "k2_named_source"])
+def test_exports_of_comments_are_compressed(spark, monkeypatch, tmp_path, name):
+    """A comment repeats the text of its document, and an export all of them; the result is that of plain files."""
+    import os
+
+    from verification import QUERIES, table_queries
+
+    monkeypatch.setattr(table_queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    assert QUERIES[name].run(Context(spark, SF_DIR)).count() == Context(spark, SF_DIR).raw("events").count()
+    files = [f"{d}/{f}" for d, _, found in os.walk(tmp_path) for f in found if f.startswith("part-")]
+    assert files and all(f.endswith(".lz4") for f in files)
+
+
+def test_texts_do_not_move_for_the_names_they_mention(spark, monkeypatch):
+    c = Context(spark, SF_DIR)
+    monkeypatch.setattr(core, "ROWS_PER_TASK", 50)
+    spread = c.view("source_mentions")
+    lines = spread._jdf.queryExecution().executedPlan().toString().split("\n")
+    # The keys with their sources go from one join to the next as they are.
+    joins = [at for at, line in enumerate(lines) if "SortMergeJoin" in line]
+    assert len(joins) > 1 and not any("Exchange" in line for line in lines[:joins[1]])
+    plain = c.sql("SELECT * FROM source_mentions")
+    assert sorted(map(repr, spread.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
